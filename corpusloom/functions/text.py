@@ -217,8 +217,7 @@ def clean_text(
         return repair_text(text)
     out = F.lower(text) if lowercase else text
     if strip_whitespace:
-        out = F.regexp_replace(out, f"^{SPACE}+|{SPACE}+$", "")
-        out = F.regexp_replace(out, SPACE + "+", " ")
+        out = F.trim(F.regexp_replace(out, SPACE + "+", " "))
     return out
 
 

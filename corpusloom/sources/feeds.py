@@ -15,11 +15,25 @@ _ENTRY = (
 )
 
 
-def read_rss(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _reader(spark: SparkSession, row_tag: str, schema: str):
+    return (
+        spark.read.format("xml")
+        .option("rowTag", row_tag)
+        .option("ignoreSurroundingSpaces", False)
+        .schema(schema)
+    )
+
+
+def _feed(by: str):
+    """The feed is the file, or the folder its files lie in."""
+    at = {"file": -1, "folder": -2}[by]
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), at).alias("feed")
+
+
+def read_rss(spark: SparkSession, path: str | list[str], feed_by: str = "file") -> DataFrame:
     """Items of RSS files: ``feed, entry_id, url, title, date, text``."""
-    items = spark.read.format("xml").option("rowTag", "item").schema(_ITEM).load(path)
-    return items.select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("feed"),
+    return _reader(spark, "item", _ITEM).load(path).select(
+        _feed(feed_by),
         F.col("guid").alias("entry_id"),
         F.col("link").alias("url"),
         "title",
@@ -28,11 +42,10 @@ def read_rss(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def read_atom(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_atom(spark: SparkSession, path: str | list[str], feed_by: str = "file") -> DataFrame:
     """Entries of Atom files, in the same shape."""
-    entries = spark.read.format("xml").option("rowTag", "entry").schema(_ENTRY).load(path)
-    return entries.select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("feed"),
+    return _reader(spark, "entry", _ENTRY).load(path).select(
+        _feed(feed_by),
         F.col("id").alias("entry_id"),
         F.col("link._href").alias("url"),
         "title",

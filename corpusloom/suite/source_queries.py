@@ -1 +1,312 @@
-"""."""
+"""S01-S08 and K01-K06.
+
+Files of other formats are derived from the driver tables by Spark, written
+below the work folder and read back.
+"""
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions import urls
+from corpusloom.models import scoring
+from corpusloom.operators import evaluation, sampling
+from corpusloom.plans import process
+from corpusloom.session import materialise, work_path
+from corpusloom.sources import audit, feeds, files, pages, synthetic
+from corpusloom.suite import sqlparts as S
+from corpusloom.suite.aggregate_queries import logit_frame, logit_sql
+from corpusloom.suite.registry import CORPUS, query
+from corpusloom.suite.sample_queries import split_sql
+
+_DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@query("s01_csv", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def _(t):
+    path = work_path(t.spark, "csv")
+    files.write_csv(t.documents, path)
+    return files.read_csv(t.spark, path, _DOCS)
+
+
+@query("s02_parquet", "SELECT doc_id, source FROM documents")
+def _(t):
+    return files.read_parquet(t.spark, f"{t.folder}/documents.parquet").select("doc_id", "source")
+
+
+@query(
+    "s03_json_lines",
+    "SELECT doc_id, text, lang FROM documents ORDER BY doc_id LIMIT 5000",
+)
+def _(t):
+    path = work_path(t.spark, "json")
+    t.documents.select("doc_id", "text", "lang").write.json(path)
+    return files.read_json_lines(
+        t.spark, path, "doc_id bigint, text string, lang string", 5000, "doc_id"
+    )
+
+
+def write_feeds(t, tag: str):
+    """RSS items of all documents, one folder per source."""
+    path = work_path(t.spark, tag)
+    items = t.documents.select(
+        F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "doc_id").alias("link"),
+        F.concat(F.lit("Item "), "doc_id").alias("title"),
+        F.lit("Mon, 01 Jan 2024 00:00:00 GMT").alias("pubDate"),
+        # signs that XML cannot carry
+        F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\r]", "").alias("description"),
+        F.col("doc_id").cast("string").alias("guid"),
+        "source",
+    )
+    items.write.format("xml").option("rootTag", "rss").option("rowTag", "item").partitionBy(
+        "source"
+    ).save(path)
+    return path
+
+
+FEED_TEXT = r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\r]', '', 'g')"
+
+
+def feed_sql(cap: int) -> str:
+    return f"""fd AS (SELECT doc_id, source, {FEED_TEXT} AS text FROM documents),
+    fc AS (SELECT * FROM fd QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= {cap}),
+    feed AS (SELECT 'source=' || source AS feed, doc_id AS entry_id,
+      'https://' || source || '.example.com/' || doc_id AS url, 'Item ' || doc_id AS title,
+      'Mon, 01 Jan 2024 00:00:00 GMT' AS date, left(text, 1000) AS text
+      FROM fc WHERE length(text) > 200)"""
+
+
+@query(
+    "s04_feed_entries",
+    f"""WITH {feed_sql(500)} SELECT feed, CAST(entry_id AS VARCHAR) AS entry_id, url, title, date,
+    text FROM feed""",
+)
+def _(t):
+    entries = feeds.read_rss(t.spark, write_feeds(t, "feeds"), feed_by="folder")
+    return feeds.feed_articles(entries, max_articles=500)
+
+
+INDEX_ENTRIES = [
+    {"domain": "www.cheap-pills.example.com", "pattern": "*", "label": 1},
+    {"domain": "spam-farm.example.org", "pattern": "en/*", "label": 1},
+    {"domain": "blog.ththan.example.net", "pattern": "*", "label": 0},
+    {"domain": "thther.example.org", "pattern": "en/7*", "label": 0},
+    {"domain": "thther.example.org", "pattern": "*", "label": 0},
+]
+
+
+def index_sql(limit: int) -> str:
+    listed = ", ".join(
+        f"('{e['domain']}', '{e['pattern']}', {e['label']}, "
+        f"'{e['domain']}/{e['pattern'].replace('*', '%')}')"
+        for e in INDEX_ENTRIES
+    )
+    return f"""idx AS (SELECT p.page_id, p.url, p.html, e.domain, e.pattern, e.label
+      FROM pages p JOIN (VALUES {listed}) AS e(domain, pattern, label, pat)
+      ON {S.bare('p.url')} LIKE e.pat
+      QUALIFY row_number() OVER (PARTITION BY e.domain, e.pattern ORDER BY p.page_id) <= {limit})"""
+
+
+@query(
+    "s05_url_index",
+    f"WITH {index_sql(5)} SELECT page_id, url, domain, pattern, label FROM idx",
+)
+def _(t):
+    return pages.match_index(t.pages, INDEX_ENTRIES, limit=5).drop("html")
+
+
+@query(
+    "s05_url_index_by_table",
+    f"""WITH {index_sql(1000)} SELECT page_id, url, domain, pattern, label FROM idx""",
+)
+def _(t):
+    table = t.spark.createDataFrame(
+        [(e["domain"], e["pattern"], e["label"]) for e in INDEX_ENTRIES],
+        "domain string, pattern string, label int",
+    )
+    return pages.match_index(t.pages, table, limit=1000).drop("html")
+
+
+_TAGS = "script style nav footer aside form noscript".split()
+_NOISE = "|".join(["<!--.*?-->"] + [rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in _TAGS])
+
+
+def _text_of(markup: str) -> str:
+    out = rf"regexp_replace({markup}, '(?i)<(br|/p|/h[1-6]|/li|/div|p)\b[^>]*>', ' ', 'g')"
+    out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
+    for a, b in [
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"),
+        ("&#x27;", "''"), ("&#34;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
+        ("&trade;", "™"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"),
+        ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
+        ("&rdquo;", "”"), ("&eacute;", "é"), ("&amp;", "&"),
+    ]:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"array_to_string({S.word_list(out)}, ' ')"
+
+
+def article_sql(source: str, max_words: int) -> str:
+    """CTE ``art`` with title and text of the pages in ``source``."""
+    return rf"""cln AS (SELECT *, regexp_replace(html, '(?is){_NOISE}', ' ', 'g') AS clean,
+        regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS rawt FROM {source}),
+    mk AS (SELECT *, CASE
+        WHEN regexp_extract(clean, '(?is)<article\b[^>]*>(.*)</article>', 1) <> ''
+        THEN regexp_extract(clean, '(?is)<article\b[^>]*>(.*)</article>', 1)
+        WHEN regexp_extract(clean, '(?is)<body\b[^>]*>(.*)</body>', 1) <> ''
+        THEN regexp_extract(clean, '(?is)<body\b[^>]*>(.*)</body>', 1) ELSE clean END AS inner_html
+        FROM cln),
+    full_text AS (SELECT * EXCLUDE (clean, html, inner_html, rawt),
+        CASE WHEN rawt <> '' THEN {_text_of('rawt')} END AS title,
+        {_text_of('inner_html')} AS whole FROM mk),
+    art AS (SELECT *, array_to_string((string_split(whole, ' '))[1:{max_words}], ' ') AS text
+        FROM full_text WHERE whole <> '')"""
+
+
+@query(
+    "s06_articles",
+    f"WITH {article_sql('pages', 500)} SELECT page_id, url, title, text FROM art",
+)
+def _(t):
+    return pages.extract_articles(t.pages)
+
+
+@query(
+    "s08_synthetic_posts",
+    """WITH b AS (SELECT doc_id * 2 + (1 - label) AS row_id, source AS topic, label
+             FROM documents, (VALUES (1), (0)) AS l(label)),
+    k AS (SELECT *, CAST('0x' || substr(md5('42:opener:' || row_id), 1, 8) AS BIGINT) % 3 AS o,
+                    CAST('0x' || substr(md5('42:closer:' || row_id), 1, 8) AS BIGINT) % 3 AS c FROM b)
+    SELECT row_id, CAST(label AS INTEGER) AS is_bs, replace(CASE WHEN label = 1 THEN
+        CASE o WHEN 0 THEN 'Nobody is ready for what is coming in %s.'
+               WHEN 1 THEN 'One weekend with %s changed my whole career.'
+               ELSE 'Forget all you were taught about %s.' END ELSE
+        CASE o WHEN 0 THEN 'Notes from a year of work on %s.'
+               WHEN 1 THEN 'What we measured when we tried %s, and what it cost.'
+               ELSE 'Two assumptions about %s that did not hold.' END END, '%s', topic)
+      || chr(10) || chr(10) || CASE WHEN label = 1
+        THEN '1. Ask the machine' || chr(10) || '2. Tidy the answer' || chr(10) || '3. Ship it tonight'
+        ELSE '- Plan for the failing case first' || chr(10) || '- Old documents mislead' || chr(10)
+          || '- Measure on your own load' END
+      || chr(10) || chr(10) || CASE WHEN label = 1 THEN
+        CASE c WHEN 0 THEN 'Send this to a friend who is still waiting.'
+               WHEN 1 THEN 'Those who start now will own the field.'
+               ELSE 'More of this every morning, so stay close.' END ELSE
+        CASE c WHEN 0 THEN 'The hard part was the part we had not budgeted for.'
+               WHEN 1 THEN 'It holds most days, and we know why on the others.'
+               ELSE 'The prototype told us little about the real thing.' END END AS text FROM k""",
+)
+def _(t):
+    return synthetic.posts_about(
+        t.documents.select(F.col("doc_id").alias("row_id"), F.col("source").alias("topic"))
+    )
+
+
+@query("k01_parquet_sink", "SELECT doc_id, text FROM documents")
+def _(t):
+    path = work_path(t.spark, "parquet")
+    files.write_parquet(t.documents.select("doc_id", "text"), path)
+    return files.read_parquet(t.spark, path)
+
+
+@query(
+    "k02_csv_sink",
+    """SELECT page_id, url, '["' || replace(array_to_string(string_split(url, '/'), '","'), '"', '"') || '"]'
+    AS parts FROM pages""",
+)
+def _(t):
+    path = work_path(t.spark, "csv-nested")
+    files.write_csv(t.pages.select("page_id", "url", F.split("url", "/").alias("parts")), path)
+    return files.read_csv(t.spark, path, "page_id bigint, url string, parts string")
+
+
+@query(
+    "k03_split_writer",
+    f"WITH {CORPUS}, {split_sql('corpus', 'is_bs', '0.1')} SELECT row_id, is_bs, split FROM sp",
+)
+def _(t):
+    split = sampling.stratified_split(t.corpus.select("row_id", "is_bs"), 0.9, 0.1, ["is_bs"])
+    split = materialise(split, "k03", ["split"])
+    train, test = sampling.train_only(split, lambda d: d)
+    folder = work_path(t.spark, "pair")
+    files.write_split(train, test, folder)
+    sides = [
+        files.read_parquet(t.spark, f"{folder}/{side}").withColumn("split", F.lit(side))
+        for side in ("train", "test")
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+@query(
+    "k04_step_audit",
+    f"""WITH {CORPUS}, d AS (SELECT *, row_id = min(row_id) OVER (PARTITION BY text) AS keep
+      FROM corpus),
+    l AS (SELECT *, keep AND {S.n_words('text')} BETWEEN 150 AND 1000 AS fits,
+          {S.repaired('text')} AS fixed FROM d)
+    SELECT 'remove_duplicates' AS step, count(*) AS rows_in, count(*) FILTER (keep) AS rows_out,
+      CAST(0 AS BIGINT) AS rows_changed FROM l
+    UNION ALL SELECT 'normalize_text_length', count(*) FILTER (keep), count(*) FILTER (fits), 0 FROM l
+    UNION ALL SELECT 'clean_text', count(*) FILTER (fits), count(*) FILTER (fits),
+      count(*) FILTER (fits AND fixed <> text) FROM l""",
+)
+def _(t):
+    steps = {
+        k: process.RECIPE_2["processing"][k]
+        for k in ("remove_duplicates", "normalize_text_length", "clean_text")
+    }
+    _train, steps_audit = process.process_train(t.corpus, steps)
+    return steps_audit
+
+
+@query(
+    "k05_run_metrics",
+    f"""WITH {CORPUS}, {logit_sql('lang')}
+    SELECT 'by-language' AS run, g AS dataset, 'accuracy' AS metric, CAST(0 AS INTEGER) AS step,
+      round(accuracy, 6) AS value FROM l
+    UNION ALL SELECT 'by-language', g, 'f1_macro', 0, round(f1_macro, 6) FROM w""",
+)
+def _(t):
+    path = work_path(t.spark, "metrics")
+    measured = evaluation.logit_metrics(logit_frame(t), "logits", "is_bs", by=["lang"])
+    # one row per language
+    for row in measured.select("lang", "accuracy", "f1_macro").take(1000):
+        values = {"accuracy": row["accuracy"], "f1_macro": row["f1_macro"], "note": "text"}
+        audit.log_metrics(t.spark, path, "by-language", values, dataset=row["lang"])
+    return t.spark.read.parquet(path).withColumn("value", F.round("value", 6))
+
+
+@query("k06_file_fingerprint")
+def _(t):
+    return audit.file_fingerprint(t.spark, t.folder, "*.parquet")
+
+
+@query(
+    "k06_content_fingerprint",
+    """SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(doc_id || '|' || text || '|'
+    || coalesce(lang, '<null>')), 1, 12) AS HUGEINT)) % 1000000000000000 AS BIGINT) AS content_print
+    FROM documents""",
+)
+def _(t):
+    return audit.content_fingerprint(t.documents, ["doc_id", "text", "lang"])
+
+
+@query("y01_apply_text", "SELECT doc_id, length(text) AS n FROM documents")
+def _(t):
+    docs = t.documents.select("doc_id", "text")
+    return scoring.apply_text(docs, len, "text", "n", "bigint").drop("text")
+
+
+@query(
+    "y01_apply_rows",
+    "SELECT page_id, length(url) + page_id AS n FROM pages",
+)
+def _(t):
+    rows = t.pages.select("page_id", "url")
+    return scoring.apply_rows(rows, lambda r: len(r["url"]) + r["page_id"], "n", "bigint").drop(
+        "url"
+    )
+
+
+@query("y02_map_batches", f"SELECT page_id, {S.host('url')} AS host FROM pages")
+def _(t):
+    hosts = t.pages.select("page_id", urls.url_host(F.col("url")).alias("host"))
+    return scoring.map_batches(
+        hosts, lambda b: b.assign(host=b["host"].str.strip()), "page_id bigint, host string"
+    )
