@@ -48,7 +48,7 @@ def page_rows(
         raise ValueError("no domains listed")
     found = web.match_index(pages, entries, samples_per_domain)
     return web.extract_articles(found, max_words).select(
-        _row_id(F.col("page_id"), 1).alias("row_id"),
+        _row_id(F.col("page_id") * len(entries) + F.col("entry_no"), 1).alias("row_id"),
         "text",
         F.col("label").alias("is_bs"),
         F.lit("CC-index").alias("source"),

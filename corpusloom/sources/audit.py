@@ -59,6 +59,24 @@ def log_metrics(
         spark.createDataFrame(rows, RUN_METRIC).coalesce(1).write.mode("append").parquet(path)
 
 
+def log_metric_table(
+    metrics: DataFrame, path: str, run: str, names: list[str], dataset_col: str, step: int = 0
+) -> None:
+    """K05 from a table with one row per dataset; nothing passes through the driver."""
+    pairs = F.array(
+        *[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]
+    )
+    (
+        metrics.select(F.col(dataset_col).cast("string").alias("dataset"), F.inline(pairs))
+        .select(
+            F.lit(run).alias("run"), "dataset", "metric", F.lit(step).alias("step"), "value"
+        )
+        .filter(F.col("value").isNotNull())
+        .write.mode("append")
+        .parquet(path)
+    )
+
+
 def log_params(spark: SparkSession, path: str, run: str, params: Mapping[str, object]) -> None:
     """Append parameters as text."""
     rows = [(run, name, str(value)) for name, value in params.items()]

@@ -71,7 +71,7 @@ def match_index(
     """Pages that match ``domain/pattern`` entries, first ``limit`` each.
 
     All entries are tried in one pass; a page that fits several entries gives
-    a row for each.  ``entries`` is a list of mappings with ``domain``,
+    a row for each, told apart by ``entry_no`` for a list.  ``entries`` is a list of mappings with ``domain``,
     ``pattern`` and optionally ``label``, or a table of such columns for lists
     too long for a query text.
     """
@@ -93,14 +93,17 @@ def match_index(
         tries = F.array(
             *[
                 F.when(
-                    F.col("_bare").like(urls.like_pattern(str(e["domain"]), str(e.get("pattern", "*")))),
+                    F.col("_bare").like(
+                        urls.like_pattern(str(e["domain"]), str(e.get("pattern", "*")))
+                    ),
                     F.struct(
+                        F.lit(no).alias("entry_no"),
                         F.lit(str(e["domain"]).strip()).alias("domain"),
                         F.lit(str(e.get("pattern", "*"))).alias("pattern"),
                         F.lit(e.get("label")).cast("int").alias("label"),
                     ),
                 )
-                for e in listed
+                for no, e in enumerate(listed)
             ]
         )
         found = (

@@ -1 +1,239 @@
-"""."""
+"""M02-M13.  Iterative fits have no SQL twin; their relational parts have one."""
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from corpusloom.models import baseline, scoring, sweep, topics, vectors
+from corpusloom.operators import aggregates, evaluation, sampling, windows
+from corpusloom.session import materialise, work_path
+from corpusloom.suite.aggregate_queries import logit_frame, logit_sql, rounded
+from corpusloom.suite.registry import CORPUS, query
+
+TERMS = 1000
+ITERATIONS = 20
+
+
+@query("m02_document_vectors")
+def _(t):
+    made = vectors.document_vectors(t.documents, "text", "vector", 256)
+    values = vector_to_array("vector")
+    return made.select(
+        "doc_id",
+        F.size(F.filter(values, lambda v: v != 0)).alias("n_nonzero"),
+        F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v), 6).alias("norm"),
+    )
+
+
+@query("m03_reduced_vectors")
+def _(t):
+    reduced = vectors.reduce_dimensions(
+        vectors.as_vector(t.embeddings, "embedding"), 150, "vector", "reduced"
+    )
+    parts = vectors.components(reduced).select(F.posexplode("reduced").alias("component", "x"))
+    return parts.groupBy("component").agg(
+        F.round(F.var_samp("x"), 6).alias("variance"), F.round(F.avg("x"), 6).alias("mean")
+    )
+
+
+@query("m04_kmeans_label_counts")
+def _(t):
+    vectored = vectors.as_vector(t.embeddings, "embedding")
+    clustered, _model = vectors.kmeans(vectored, 2, "vector", "cluster")
+    return aggregates.cluster_label_counts(clustered, "cluster", "label")
+
+
+@query("m04_kmeans_after_reduction")
+def _(t):
+    reduced = vectors.reduce_dimensions(vectors.as_vector(t.embeddings, "embedding"), 3)
+    clustered, _model = vectors.kmeans(reduced, 2, "reduced", "cluster")
+    return aggregates.cluster_label_counts(clustered, "cluster", "label")
+
+
+@query("m05_topics")
+def _(t):
+    docs = t.documents.select(F.col("doc_id").alias("row_id"), "text")
+    placed = topics.assign_topics(docs, n_topics=8, min_cluster_size=30)
+    return placed.groupBy("topic").agg(F.count("*").alias("n_rows"))
+
+
+STOP = ["the", "of", "and", "to", "in", "de", "la", "le", "et", "der", "die", "und", "en", "el"]
+_STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+
+
+@query(
+    "m06_topic_terms",
+    rf"""WITH {CORPUS}, t AS (SELECT topic, list_filter(regexp_extract_all(lower(text), '\p{{L}}+'),
+        lambda w: w NOT IN ({_STOP_SQL})) AS ws FROM corpus),
+    g AS (SELECT topic, unnest(ws) AS term FROM t
+          UNION ALL SELECT topic, unnest(list_transform(range(1, len(ws)),
+            lambda i: ws[i] || ' ' || ws[i + 1])) FROM t),
+    c AS (SELECT topic, term, count(*) AS tf FROM g GROUP BY topic, term),
+    f AS (SELECT term, sum(tf) AS f FROM c GROUP BY term),
+    a AS (SELECT sum(tf) / count(DISTINCT topic) AS a FROM c),
+    w AS (SELECT topic, c.term, tf, round(tf * ln(1 + a / f), 6) AS weight
+          FROM c JOIN f ON c.term = f.term, a)
+    SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS INTEGER)
+      AS rank, term, tf, weight FROM w
+    QUALIFY row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) <= 10""",
+)
+def _(t):
+    return topics.topic_terms(t.corpus, k=10, stop=STOP)
+
+
+@query(
+    "m07_tfidf",
+    r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS ws
+             FROM documents),
+    g AS (SELECT doc_id, unnest(ws) AS term FROM t
+          UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)),
+            lambda i: ws[i] || ' ' || ws[i + 1])) FROM t),
+    c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term),
+    v AS (SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000),
+    r AS (SELECT doc_id, c.term, df, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1)
+            AS raw FROM c JOIN v ON c.term = v.term),
+    n AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM r GROUP BY doc_id)
+    SELECT term, count(*) AS df, round(sum(raw / norm), 4) AS weight
+    FROM r JOIN n ON r.doc_id = n.doc_id GROUP BY term""",
+)
+def _(t):
+    table = baseline.tfidf_table(t.documents, "text", "doc_id")
+    return table.groupBy("term").agg(
+        F.count("*").alias("df"), F.round(F.sum("weight"), 4).alias("weight")
+    )
+
+
+def _balanced_split(t):
+    rows = sampling.balanced_sample(t.corpus, ["is_bs"], 20_000)
+    split = sampling.stratified_split(rows, 0.8, 0.2, ["is_bs"])
+    split = materialise(split.select("row_id", "text", "is_bs", "lang", "split"), "m08", ["split"])
+    return (
+        split.filter(F.col("split") == "train").drop("split"),
+        split.filter(F.col("split") == "test").drop("split"),
+    )
+
+
+def _fitted(t):
+    train, test = _balanced_split(t)
+    return baseline.fit_baseline(train, max_terms=TERMS, max_iter=ITERATIONS), test
+
+
+@query("m08_logistic_regression")
+def _(t):
+    model, test = _fitted(t)
+    return rounded(
+        evaluation.logit_metrics(baseline.predict(model, test), "logits", "is_bs")
+    )
+
+
+@query("m09_term_weights")
+def _(t):
+    model, test = _fitted(t)
+    top, bottom = windows.extremes(baseline.term_weights(model, test))
+    return top.withColumn("side", F.lit("top")).unionByName(
+        bottom.withColumn("side", F.lit("bottom"))
+    )
+
+
+@query("m10_batch_scoring")
+def _(t):
+    model, _test = _fitted(t)
+    docs = t.documents.select(F.col("doc_id").alias("row_id"), "text")
+    _minimal, full = scoring.label_outputs(scoring.score_with_model(model, docs))
+    return full.select("row_id", "is_bs", F.round("score", 6).alias("score"))
+
+
+def _length_model():
+    """A stand-in for a user's own model: scores by text length."""
+
+    def score(texts):
+        return [
+            [
+                {"label": "0", "score": 1 - min(len(x), 2000) / 2000},
+                {"label": "1", "score": min(len(x), 2000) / 2000},
+            ]
+            for x in texts
+        ]
+
+    return score
+
+
+@query(
+    "m10_python_model",
+    """SELECT doc_id AS row_id, CASE WHEN length(text) > 1000 THEN '1' ELSE '0' END AS is_bs,
+    round(greatest(least(length(text), 2000) / 2000, 1 - least(length(text), 2000) / 2000), 6)
+    AS score FROM documents""",
+)
+def _(t):
+    docs = t.documents.select(F.col("doc_id").alias("row_id"), "text")
+    scored = scoring.score_with_function(docs, _length_model)
+    _minimal, full = scoring.label_outputs(scored)
+    return rounded(full.drop("text"))
+
+
+@query("m11_sweep")
+def _(t):
+    train, test = _balanced_split(t)
+    experiments = {
+        "small": {"max_terms": 200, "max_iter": 10, "c": 1.0},
+        "broken": {"max_terms": -1, "max_iter": 10},
+        "strong": {"max_terms": 200, "max_iter": 10, "c": 0.1},
+    }
+    return sweep.run_experiments(
+        t.spark,
+        experiments,
+        work_path(t.spark, "runs"),
+        lambda config: sweep.train_and_evaluate(train, test, config),
+    ).drop("message")
+
+
+@query(
+    "m12_external_evaluation",
+    f"""WITH {CORPUS}, {logit_sql('lang')}
+    SELECT l.g AS dataset, l.g || '_' || name AS metric, round(value, 6) AS value
+    FROM l JOIN w ON l.g = w.g, LATERAL (VALUES ('accuracy', accuracy),
+      ('precision_macro', precision_macro), ('recall_macro', recall_macro),
+      ('f1_macro', f1_macro), ('log_loss', log_loss)) AS m(name, value)""",
+)
+def _(t):
+    frame = logit_frame(t).withColumn("dataset", F.col("lang"))
+    measured = evaluation.logit_metrics(frame, "logits", "is_bs", by=["dataset"])
+    return rounded(evaluation.metrics_long(measured))
+
+
+@query("m12_model_on_named_sets")
+def _(t):
+    model, _test = _fitted(t)
+    sets = {lang: t.corpus.filter(F.col("lang") == lang) for lang in ("en", "de", "fr", "es")}
+    return rounded(sweep.external_evaluation(model, sets))
+
+
+_STEPS = """st AS (SELECT lang AS run, CAST(substr(source, 4) AS INTEGER) AS step,
+    round(avg(toxic), 6) AS f1_macro FROM corpus GROUP BY ALL)"""
+
+
+@query(
+    "m13_best_step",
+    f"""WITH RECURSIVE {CORPUS}, {_STEPS},
+    o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM st),
+    walk AS (SELECT run, k, step, f1_macro AS best, step AS best_step, 0 AS stale FROM o WHERE k = 1
+      UNION ALL SELECT o.run, o.k, o.step, greatest(best, o.f1_macro),
+        CASE WHEN o.f1_macro > best THEN o.step ELSE best_step END,
+        CASE WHEN o.f1_macro > best THEN 0 ELSE stale + 1 END
+      FROM walk w JOIN o ON o.run = w.run AND o.k = w.k + 1 WHERE stale < 2)
+    SELECT run, arg_max(best_step, k) AS best_step, arg_max(best, k) AS best_f1_macro,
+           max(step) AS last_step FROM walk GROUP BY run""",
+)
+def _(t):
+    steps = t.corpus.groupBy(
+        F.col("lang").alias("run"), F.substring("source", 4, 10).cast("int").alias("step")
+    ).agg(F.round(F.avg("toxic"), 6).alias("f1_macro"))
+    return evaluation.best_run(steps)
+
+
+@query("m13_iteration_ladder")
+def _(t):
+    train, test = _balanced_split(t)
+    _best, steps = sweep.iteration_ladder(train, test, [1, 2, 4, 8, 16], max_terms=200)
+    return rounded(steps)
+
+

@@ -1 +1,271 @@
-"""."""
+"""Composed jobs."""
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.functions import entities as ent
+from corpusloom.operators import aggregates, filters, joins
+from corpusloom.plans import baseline_report, corpus as build, eda, enrich, prepare, process
+from corpusloom.sources import feeds
+from corpusloom.suite import sqlparts as S
+from corpusloom.suite.aggregate_queries import LENGTH_CTE, SUMMARY, _describe_sql, rounded
+from corpusloom.suite.function_queries import _shown
+from corpusloom.suite.registry import CORPUS, NEWS, query
+from corpusloom.suite.sample_queries import balanced_sql, split_sql
+from corpusloom.suite.source_queries import (
+    INDEX_ENTRIES,
+    article_sql,
+    feed_sql,
+    index_sql,
+    write_feeds,
+)
+
+_NO = " ".join(
+    f"WHEN domain = '{e['domain']}' AND pattern = '{e['pattern']}' THEN {i}"
+    for i, e in enumerate(INDEX_ENTRIES)
+)
+
+
+@query(
+    "x01_build_corpus",
+    rf"""WITH {NEWS}, {index_sql(20)}, {article_sql('idx', 500)}, {feed_sql(30)}
+    SELECT row_id * 3 AS row_id, regexp_replace(text, '^.*\(Reuters\){S.SP}*-{S.SP}*', '') AS text,
+      is_bs, 'news' AS source, CAST(NULL AS VARCHAR) AS source_detail FROM news
+      WHERE is_bs = 1 OR position('(Reuters) -' IN text) > 0
+    UNION ALL SELECT (page_id * {len(INDEX_ENTRIES)} + CASE {_NO} END) * 3 + 1, text, label,
+      'CC-index', 'cc:' || domain FROM art
+    UNION ALL SELECT entry_id * 3 + 2, text, CAST(feed LIKE 'source=src1%' AS INTEGER), 'RSS', feed
+      FROM feed""",
+)
+def _(t):
+    path = write_feeds(t, "corpus-feeds")
+    news = t.news
+    made, failed = build.build_corpus(
+        t.spark,
+        {
+            "news": build.news_rows(news.filter("is_bs = 1"), news.filter("is_bs = 0")),
+            "pages": lambda: build.page_rows(
+                t.pages,
+                [e for e in INDEX_ENTRIES if e["label"] == 1],
+                [e for e in INDEX_ENTRIES if e["label"] == 0],
+                samples_per_domain=20,
+            ),
+            "feeds": lambda: build.feed_rows(
+                feeds.read_rss(t.spark, f"{path}/source=src[02-9]*", feed_by="folder"),
+                feeds.read_rss(t.spark, f"{path}/source=src1*", feed_by="folder"),
+                max_articles=30,
+            ),
+            "unreachable": lambda: build.news_rows(t.missing_table, t.missing_table),
+        },
+    )
+    if set(failed) != {"unreachable"}:
+        raise AssertionError(failed)
+    return made
+
+
+@query("x02_enrich")
+def _(t):
+    docs = t.corpus.drop("topic")
+    made = enrich.enrich(docs, S.GAZETTEER, n_topics=8, min_cluster_size=15)
+    return rounded(enrich.topic_summary(made))
+
+
+@query(
+    "x02_entities_and_summary",
+    f"""WITH {CORPUS} SELECT topic, count(*) FILTER (is_bs = 0) AS n_label_0,
+    count(*) FILTER (is_bs = 1) AS n_label_1, count(*) AS total,
+    round(count(*) FILTER (is_bs = 1) / count(*), 6) AS fake_ratio,
+    CAST(sum(len({S.entity_list('text')})) AS BIGINT) AS n_entities FROM corpus GROUP BY topic""",
+)
+def _(t):
+    tagged = ent.extract_entities(t.corpus, S.GAZETTEER)
+    per_topic = tagged.groupBy("topic").agg(F.sum(F.size("entities")).alias("n_entities"))
+    return rounded(joins.lookup(enrich.topic_summary(tagged), per_topic, "topic"))
+
+
+SAMPLE = 2000
+RECIPE_1 = process.scaled(process.RECIPE_1, min_topic_size=20, sample_n=SAMPLE)
+RECIPE_2 = process.scaled(process.RECIPE_2, min_topic_size=20, sample_n=SAMPLE)
+_SPLIT = f"""{CORPUS},
+    par AS (SELECT * FROM corpus QUALIFY count(*) OVER (PARTITION BY topic) >= 20),
+    {balanced_sql('par', 'is_bs', SAMPLE)}, {split_sql('bal', 'is_bs', '0.1')}"""
+_TRAIN = f"""{_SPLIT},
+    ded AS (SELECT * FROM sp WHERE split = 'train'
+      QUALIFY row_id = min(row_id) OVER (PARTITION BY text)),
+    fit AS (SELECT row_id, text AS raw, {S.repaired('text')} AS fixed FROM ded
+      WHERE {S.n_words('text')} BETWEEN 150 AND 1000),
+    msk AS (SELECT row_id, {S.masked('fixed', 'raw')} AS text FROM fit),
+    {S.hdd_ctes('msk')}"""
+
+
+def _sides(train: DataFrame, test: DataFrame) -> DataFrame:
+    return (
+        train.withColumn("split", F.lit("train"))
+        .unionByName(test.withColumn("split", F.lit("test")))
+        .select("row_id", "split", "text")
+    )
+
+
+def _tagged(t):
+    return ent.extract_entities(
+        t.corpus.select("row_id", "text", "is_bs", "source", "topic"), S.GAZETTEER
+    )
+
+
+@query("x04_recipe_1", f"WITH {_SPLIT} SELECT row_id, split, text FROM sp")
+def _(t):
+    train, test, _steps = process.run_recipe(_tagged(t), RECIPE_1)
+    return _sides(train, test)
+
+
+@query(
+    "x04_recipe_2",
+    f"""WITH {_TRAIN}
+    SELECT m.row_id, 'train' AS split, m.text FROM msk m JOIN hdd h ON m.row_id = h.row_id
+      WHERE h.hdd >= 0.7
+    UNION ALL SELECT row_id, split, text FROM sp WHERE split = 'test'""",
+)
+def _(t):
+    train, test, _steps = process.run_recipe(_tagged(t), RECIPE_2)
+    return _sides(train, test)
+
+
+@query(
+    "x03_recipe_audit",
+    f"""WITH {_TRAIN}, j AS (SELECT f.*, m.text AS masked, h.hdd FROM fit f
+      JOIN msk m ON f.row_id = m.row_id LEFT JOIN hdd h ON f.row_id = h.row_id)
+    SELECT 'remove_duplicates' AS step, (SELECT count(*) FROM sp WHERE split = 'train') AS rows_in,
+      (SELECT count(*) FROM ded) AS rows_out, CAST(0 AS BIGINT) AS rows_changed
+    UNION ALL SELECT 'normalize_text_length', (SELECT count(*) FROM ded), count(*), 0 FROM j
+    UNION ALL SELECT 'clean_text', count(*), count(*), count(*) FILTER (raw <> fixed) FROM j
+    UNION ALL SELECT 'mask_entities', count(*), count(*), count(*) FILTER (fixed <> masked) FROM j
+    UNION ALL SELECT 'filter_low_lexical_diversity', count(*), count(*) FILTER (hdd >= 0.7), 0
+      FROM j""",
+)
+def _(t):
+    _train, _test, steps = process.run_recipe(_tagged(t), RECIPE_2)
+    return steps
+
+
+@query(
+    "x03_shared_texts",
+    f"""WITH {_SPLIT} SELECT count(*) AS n_shared_texts FROM
+    (SELECT DISTINCT text FROM sp WHERE split = 'train') a
+    JOIN (SELECT DISTINCT text FROM sp WHERE split = 'test') b ON a.text = b.text""",
+)
+def _(t):
+    train, test, _steps = process.run_recipe(_tagged(t), RECIPE_1)
+    return process.shared_texts(train, test)
+
+
+@query(
+    "x05_prepare",
+    rf"""WITH {CORPUS}, mrg AS (SELECT row_id, is_bs AS labels, CAST(is_bs AS VARCHAR) AS label_name,
+        text || ' [SEP] ' || {_shown('text')} AS text FROM corpus),
+    lists AS (SELECT *, regexp_extract_all(lower(text), '{S.TOK}') AS ts FROM mrg
+      WHERE regexp_matches(text, '{S.NSP}')),
+    vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS INTEGER)
+      AS id FROM (SELECT unnest(ts) AS token FROM lists) GROUP BY token
+      ORDER BY count(*) DESC, token LIMIT 30000),
+    cut AS (SELECT row_id, unnest(ts[1:64]) AS token, generate_subscripts(ts[1:64], 1) AS pos
+      FROM lists),
+    ids AS (SELECT row_id, list(coalesce(v.id, 1) ORDER BY pos) AS ids
+      FROM cut c LEFT JOIN vocab v ON c.token = v.token GROUP BY row_id)
+    SELECT l.row_id, labels, label_name,
+      array_to_string(list_resize(coalesce(ids, []), 64, 0), ' ') AS input_ids
+    FROM lists l LEFT JOIN ids i ON l.row_id = i.row_id""",
+)
+def _(t):
+    made = prepare.prepare_dataset(_tagged(t), use_entities=True, entity_format="append")
+    return made.select(
+        "row_id",
+        "labels",
+        "label_name",
+        F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
+    )
+
+
+@query(
+    "x06_eda_numbers",
+    f"""WITH {CORPUS}, {SUMMARY}
+    SELECT 'duplicates' AS item, count(*) - count(DISTINCT text) AS n FROM corpus
+    UNION ALL SELECT 'class_' || is_bs, count(*) FROM corpus GROUP BY is_bs
+    UNION ALL SELECT 'null_text', count(*) - count(text) FROM corpus
+    UNION ALL SELECT 'topics', count(*) FROM s
+    UNION ALL SELECT 'above_half', count(*) FROM s WHERE fake_ratio > 0.5
+    UNION ALL SELECT 'balanced_rows', count(*) FROM corpus WHERE topic <> -1 AND topic IN
+      (SELECT topic FROM s WHERE fake_ratio BETWEEN 0.4 AND 0.6)""",
+)
+def _(t):
+    df = t.corpus
+    topics = aggregates.topic_label_summary(df)
+    bands = aggregates.band_tally(topics)
+    balanced = filters.balanced_topics(topics).select("topic")
+    parts = [
+        aggregates.duplicate_count(df).select(
+            F.lit("duplicates").alias("item"), F.col("n_duplicates").alias("n")
+        ),
+        aggregates.value_counts(df, "is_bs").select(
+            F.concat(F.lit("class_"), F.col("is_bs").cast("string")).alias("item"),
+            F.col("n_rows").alias("n"),
+        ),
+        filters.null_profile(df.select("text")).select(
+            F.lit("null_text").alias("item"), F.col("n_nulls").alias("n")
+        ),
+        bands.select(F.lit("topics").alias("item"), F.col("n_topics").alias("n")),
+        bands.select(F.lit("above_half").alias("item"), F.col("above_half").alias("n")),
+        joins.keep_keys(df, balanced, "topic").agg(
+            F.first(F.lit("balanced_rows")).alias("item"), F.count("*").alias("n")
+        ).select(F.lit("balanced_rows").alias("item"), "n"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "x06_eda_lengths",
+    f"WITH {CORPUS}, {LENGTH_CTE} "
+    + _describe_sql("lens", ["chars_length", "words_length", "tokens_length"]),
+)
+def _(t):
+    return rounded(aggregates.describe(eda.measures(t.corpus, richness=()), eda.LENGTHS))
+
+
+@query(
+    "x06_eda_richness",
+    f"""WITH {CORPUS}, {S.hdd_ctes('corpus')}, r AS (SELECT c.is_bs, h.hdd,
+      CAST(h.terms AS DOUBLE) / h.words AS ttr
+      FROM corpus c LEFT JOIN hdd h ON c.row_id = h.row_id) """
+    + _describe_sql("r", ["ttr", "hdd"]),
+)
+def _(t):
+    measured = eda.measures(t.corpus, lengths=False, richness=("ttr", "hdd"))
+    return rounded(aggregates.describe(measured, ["ttr", "hdd"]))
+
+
+@query("x06_eda_report_sizes")
+def _(t):
+    tables = eda.report(t.corpus)
+    parts = [
+        frame.agg(F.count("*").alias("n_rows")).withColumn("table", F.lit(name))
+        for name, frame in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "x07_topic_leakage",
+    f"""WITH {CORPUS}, m AS (SELECT topic, CAST(2 * sum(is_bs) > count(*) AS INTEGER) AS pred
+      FROM corpus GROUP BY topic)
+    SELECT is_bs AS actual, count(*) FILTER (pred = 0) AS pred_0, count(*) FILTER (pred = 1) AS pred_1
+    FROM corpus c JOIN m ON c.topic = m.topic GROUP BY is_bs""",
+)
+def _(t):
+    return eda.topic_leakage(t.corpus)
+
+
+@query("x08_baseline_report")
+def _(t):
+    made = baseline_report.baseline_report(t.corpus, max_terms=1000, max_iter=20)
+    return made["report"]

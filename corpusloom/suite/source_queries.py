@@ -110,7 +110,7 @@ def index_sql(limit: int) -> str:
     f"WITH {index_sql(5)} SELECT page_id, url, domain, pattern, label FROM idx",
 )
 def _(t):
-    return pages.match_index(t.pages, INDEX_ENTRIES, limit=5).drop("html")
+    return pages.match_index(t.pages, INDEX_ENTRIES, limit=5).drop("html", "entry_no")
 
 
 @query(
@@ -265,10 +265,7 @@ def _(t):
 def _(t):
     path = work_path(t.spark, "metrics")
     measured = evaluation.logit_metrics(logit_frame(t), "logits", "is_bs", by=["lang"])
-    # one row per language
-    for row in measured.select("lang", "accuracy", "f1_macro").take(1000):
-        values = {"accuracy": row["accuracy"], "f1_macro": row["f1_macro"], "note": "text"}
-        audit.log_metrics(t.spark, path, "by-language", values, dataset=row["lang"])
+    audit.log_metric_table(measured, path, "by-language", ["accuracy", "f1_macro"], "lang")
     return t.spark.read.parquet(path).withColumn("value", F.round("value", 6))
 
 
