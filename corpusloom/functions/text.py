@@ -59,6 +59,7 @@ TERMINAL_ESCAPE = r"\x1b\[[0-9;]*[a-zA-Z]"
 CONTROL = (
     r"[\x00-\x08\x0b\x0e-\x1f\x7f\x{206a}-\x{206f}\x{feff}\x{fff9}-\x{fffc}]"
 )
+NEEDS_LOOK = r"[^\t\n\x0c\x20-\x7e]|&"
 UTF8_AS_LATIN1 = (
     r"[\x{c2}-\x{df}][\x{80}-\x{bf}]"
     r"|\x{e0}[\x{a0}-\x{bf}][\x{80}-\x{bf}]"
@@ -147,12 +148,24 @@ def add_length_column(df: DataFrame, text_col: str = "text", method: str = "char
     return df.withColumn(name, text_length(F.col(text_col), method)), name
 
 
+def _where(text: Column, test: Callable[[Column], Column], fix: Callable[[Column], Column]):
+    """``fix`` only the texts that pass ``test``; the text is worked out once."""
+    return let(text, lambda x: F.when(test(x), fix(x)).otherwise(x))
+
+
+def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def unescape_html(text: Column) -> Column:
     """Unescape common entities, unless the text looks like markup itself."""
-    out = text
-    for entity, sign in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(sign))
-    return F.when(F.contains(text, F.lit("&")) & ~F.contains(text, F.lit("<")), out).otherwise(text)
+    return _where(
+        text,
+        lambda x: F.contains(x, F.lit("&")) & ~F.contains(x, F.lit("<")),
+        lambda x: _replace_all(x, HTML_ENTITIES),
+    )
 
 
 def fix_mojibake(text: Column) -> Column:
@@ -161,49 +174,63 @@ def fix_mojibake(text: Column) -> Column:
     Only when the whole text decodes: after removing well-formed sequences no
     sign above ASCII may be left.
     """
+    lead_and_trail = r"[\x{c2}-\x{f4}][\x{80}-\x{bf}" + _CP1252_SHOWN + "]"
+
+    def repair(shown: Column) -> Column:
+        def decoded(points: Column) -> Column:
+            decodable = ~F.regexp_replace(points, UTF8_AS_LATIN1, "").rlike(r"[^\x00-\x7f]")
+            # a conditional evaluates one branch, so decode sees valid bytes only
+            return F.when(
+                decodable, F.decode(F.encode(points, "ISO-8859-1"), "UTF-8")
+            ).otherwise(shown)
 
-    def repair(points: Column) -> Column:
-        decodable = points.rlike(UTF8_AS_LATIN1) & ~F.regexp_replace(
-            points, UTF8_AS_LATIN1, ""
-        ).rlike(r"[^\x00-\x7f]")
-        # both branches of a conditional stay lazy, so decode sees valid bytes only
-        return F.when(
-            decodable, F.decode(F.encode(points, "ISO-8859-1"), "UTF-8")
-        ).otherwise(text)
+        return let(F.translate(shown, _CP1252_SHOWN, _CP1252_RAW), decoded)
 
-    return F.when(
-        text.rlike(r"[\x{c2}-\x{f4}]"),
-        let(F.translate(text, _CP1252_SHOWN, _CP1252_RAW), repair),
-    ).otherwise(text)
+    return _where(text, lambda x: x.rlike(lead_and_trail), repair)
 
 
 def straighten_quotes(text: Column) -> Column:
-    return F.translate(
-        text,
-        SINGLE_QUOTES + DOUBLE_QUOTES,
-        "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES),
+    signs = SINGLE_QUOTES + DOUBLE_QUOTES
+    plain = "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES)
+    return _where(
+        text, lambda x: x.rlike(f"[{signs}]"), lambda x: F.translate(x, signs, plain)
     )
 
 
 def split_ligatures(text: Column) -> Column:
-    out = text
-    for ligature, letters in LIGATURES:
-        out = F.replace(out, F.lit(ligature), F.lit(letters))
-    return out
+    signs = "".join(ligature for ligature, _ in LIGATURES)
+    return _where(
+        text, lambda x: x.rlike(f"[{signs}]"), lambda x: _replace_all(x, LIGATURES)
+    )
 
 
 def narrow_width(text: Column) -> Column:
-    return F.translate(text, _WIDE, _NARROW)
+    return _where(
+        text,
+        lambda x: x.rlike(f"[{_WIDE[0]}-{_WIDE[-2]}{_WIDE[-1]}]"),
+        lambda x: F.translate(x, _WIDE, _NARROW),
+    )
 
 
 def repair_text(text: Column) -> Column:
-    """entities, mojibake, ligatures, widths, quotes, breaks, controls."""
-    out = unescape_html(text)
-    out = let(out, fix_mojibake)
-    out = straighten_quotes(narrow_width(split_ligatures(out)))
-    out = F.regexp_replace(out, LINE_BREAKS, "\n")
-    out = F.regexp_replace(out, TERMINAL_ESCAPE, "")
-    return F.regexp_replace(out, CONTROL, "")
+    """entities, mojibake, ligatures, widths, quotes, breaks, controls.
+
+    Plain ASCII text without an ampersand is recognised in one scan and passed
+    through; the costlier rewrites run only where their signs occur.
+    """
+
+    def repaired(x: Column) -> Column:
+        out = fix_mojibake(unescape_html(x))
+        out = straighten_quotes(narrow_width(split_ligatures(out)))
+        out = F.regexp_replace(out, LINE_BREAKS, "\n")
+        out = _where(
+            out,
+            lambda y: F.contains(y, F.lit("\x1b")),
+            lambda y: F.regexp_replace(y, TERMINAL_ESCAPE, ""),
+        )
+        return F.regexp_replace(out, CONTROL, "")
+
+    return _where(text, lambda x: x.rlike(NEEDS_LOOK), repaired)
 
 
 def clean_text(

@@ -15,9 +15,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.bounded import checked
+from corpusloom.functions.lexical import run_lengths
 from corpusloom.functions.text import let
+from corpusloom.session import materialise
 
 # ---- fixed values -------------------------------------------------------
 TERM_WORD = r"[\p{L}\p{N}_]{2,}"
@@ -60,12 +63,19 @@ _TERMS_SQL = (
 
 
 def term_counts(df: DataFrame, text_col: str = "text", id_col: str = "row_id") -> DataFrame:
-    """``(row_id, term, tf)``."""
-    return (
-        df.select(id_col, F.explode(terms(F.col(text_col))).alias("term"))
-        .groupBy(id_col, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    """``(row_id, term, tf)``, counted within the row: no shuffle."""
+
+    def counted(ordered: Column) -> Column:
+        return F.when(
+            F.size(ordered) > 0,
+            F.zip_with(
+                F.array_distinct(ordered),
+                run_lengths(ordered),
+                lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("tf")),
+            ),
+        )
+
+    return df.select(id_col, F.inline(let(F.array_sort(terms(F.col(text_col))), counted)))
 
 
 def vocabulary(counted: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -91,10 +101,9 @@ def tfidf_table(
         "tf",
         (F.col("tf") * (F.ln((n + F.lit(1.0)) / (F.col("df") + 1)) + 1)).alias("raw"),
     )
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, id_col).select(
-        id_col, "term", "tf", (F.col("raw") / F.col("norm")).alias("weight")
-    )
+    # a row's terms meet in one group, which is as large as the row's text
+    squares = F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col))
+    return raw.select(id_col, "term", "tf", (F.col("raw") / F.sqrt(squares)).alias("weight"))
 
 
 def fit_features(
@@ -137,8 +146,6 @@ def fit_baseline(
     c: float = 1.0,
 ) -> PipelineModel:
     """Features and classifier as one model that takes the text column."""
-    from corpusloom.session import materialise
-
     features = fit_features(train, text_col, max_terms)
     # the optimiser reads the vectors once per iteration, the texts only now
     vectored = materialise(features.transform(train).select("features", label_col), "tfidf")

@@ -12,6 +12,7 @@ from corpusloom.bounded import join_checked
 from corpusloom.functions.lexical import letter_runs
 from corpusloom.functions.text import let
 from corpusloom.models import vectors
+from corpusloom.session import materialise
 
 OUTLIER = -1
 
@@ -65,8 +66,6 @@ def assign_topics(
     their centre than the given quantile of all distances, and clusters below
     the minimum size, form topic -1; the others are numbered by size.
     """
-    from corpusloom.session import materialise
-
     vectored = vectors.document_vectors(df.select(id_col, text_col), text_col, "_v", width)
     reduced = vectors.reduce_dimensions(vectored, n_components, "_v", "_r").select(id_col, "_r")
     # k-means passes over its input many times
@@ -123,11 +122,11 @@ def topic_terms(
         .groupBy(topic_col, "term")
         .agg(F.count("*").alias("tf"))
     )
-    overall = counted.groupBy("term").agg(F.sum("tf").alias("f"))
     mean = counted.agg(F.sum("tf") / F.count_distinct(topic_col)).scalar()
     rank = Window.partitionBy(topic_col).orderBy(F.desc("weight"), "term")
     return (
-        counted.join(overall, "term")
+        # a term's group holds one row per topic
+        counted.withColumn("f", F.sum("tf").over(Window.partitionBy("term")))
         .withColumn("weight", F.round(F.col("tf") * F.ln(F.lit(1.0) + mean / F.col("f")), 6))
         .withColumn("rank", F.row_number().over(rank))
         .filter(F.col("rank") <= k)

@@ -155,8 +155,20 @@ def null_profile(df: DataFrame) -> DataFrame:
     return counted.select("n_rows", F.inline(pairs)).select("column_name", "n_nulls", "n_rows")
 
 
+def filter_in_place(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that stays where it is written.
+
+    The optimizer moves a cheap predicate down to the scan, which is right; one
+    that costs more than the join or repartition it would pass under is better
+    evaluated after it.  A generator keeps its place.
+    """
+    return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")).drop(
+        "_kept"
+    )
+
+
 def lexically_diverse(
     df: DataFrame, threshold: float = 0.7, text_col: str = "text"
 ) -> DataFrame:
     """Keep rows whose HD-D reaches the threshold; only HD-D is computed."""
-    return df.filter(lexical.hdd(F.col(text_col)) >= threshold)
+    return filter_in_place(df, lexical.hdd(F.col(text_col)) >= threshold)

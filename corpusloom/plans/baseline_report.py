@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.models import baseline
 from corpusloom.operators import evaluation, sampling, windows
-from corpusloom.session import materialise
+from corpusloom.session import materialise, spread
 
 
 def baseline_report(
@@ -24,7 +24,7 @@ def baseline_report(
         "baseline-split",
         ["split"],
     )
-    train = split.filter(F.col("split") == "train").drop("split")
+    train = spread(split.filter(F.col("split") == "train").drop("split"), "row_id")
     test = split.filter(F.col("split") == "test").drop("split")
     model = baseline.fit_baseline(
         train, label_col=label_col, max_terms=max_terms, max_iter=max_iter

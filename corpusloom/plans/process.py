@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import entities as ent, keys, lexical, text as tx
 from corpusloom.operators import sampling
-from corpusloom.session import materialise
+from corpusloom.session import materialise, spread
 from corpusloom.sources import audit, files
 
 RECIPE_1 = {
@@ -147,7 +147,7 @@ def run_recipe(
     split = materialise(split_corpus(df, recipe, seed), "split", ["split"])
     train = split.filter(F.col("split") == "train").drop("split")
     test = split.filter(F.col("split") == "test").drop("split")
-    train, steps = process_train(train, recipe.get("processing", {}))
+    train, steps = process_train(spread(train, "row_id"), recipe.get("processing", {}))
     return train, test, steps
 
 

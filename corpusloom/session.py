@@ -63,3 +63,16 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a freshly read table enough tasks for heavy per-row work.
+
+    A small file, or one with few row groups, keeps a single task busy however
+    many cores there are.  A table whose scan already has several tasks per core
+    is returned as it is, so large data is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    return df.repartition(2 * cores, *keys)

@@ -52,13 +52,17 @@ def extract_articles(
 ) -> DataFrame:
     """Url, title and the first words of every page that has text."""
     others = [c for c in pages.columns if c not in (html_col, url_col)]
-    text = tx.let(
+    title = page_title(F.col(html_col))
+    found = tx.let(
         article_text(F.col(html_col)),
-        lambda t: F.when(t != "", tx.first_words(t, max_words)),
+        lambda t: F.when(
+            t != "",
+            F.array(F.struct(title.alias("title"), tx.first_words(t, max_words).alias("text"))),
+        ),
     )
-    return pages.select(
-        *others, url_col, page_title(F.col(html_col)).alias("title"), text.alias("text")
-    ).filter(F.col("text").isNotNull())
+    # a generator evaluates the extraction once; a filter on the text would be
+    # moved below it and extract every page twice
+    return pages.select(*others, url_col, F.inline(found))
 
 
 def match_index(

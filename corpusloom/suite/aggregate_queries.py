@@ -61,6 +61,7 @@ LENGTH_CTE = f"""lens AS (SELECT row_id, is_bs, length(text) AS chars_length,
     "a03_describe_lengths",
     f"WITH {CORPUS}, {LENGTH_CTE} "
     + _describe_sql("lens", ["chars_length", "words_length", "tokens_length"]),
+    heavy=True,
 )
 def _(t):
     df = t.corpus
@@ -206,6 +207,7 @@ def _(t):
     f"""WITH {CORPUS} SELECT is_bs AS label, count(*) AS n_hits FROM corpus
     WHERE CASE WHEN is_bs = 0 THEN regexp_matches(lower(text), '{_whole(ALIASES[0])}')
           ELSE regexp_matches(lower(text), '{_whole(ALIASES[1])}') END GROUP BY is_bs""",
+    heavy=True,
 )
 def _(t):
     return aggregates.alias_leakage(t.corpus, ALIASES)
@@ -303,6 +305,7 @@ def _(t):
           QUALIFY row_number() OVER (PARTITION BY is_bs ORDER BY count(*) DESC, x.word) <= 10)
     SELECT entity, coalesce(max(n) FILTER (is_bs = 1), 0) AS n_label_1,
            coalesce(max(n) FILTER (is_bs = 0), 0) AS n_label_0 FROM c GROUP BY entity""",
+    heavy=True,
 )
 def _(t):
     tagged = ent.extract_entities(t.corpus, S.GAZETTEER)
@@ -320,6 +323,7 @@ _WEIGHTS = r"""w AS (SELECT term, CAST(count(*) AS DOUBLE) / length(term) AS wei
     (SELECT 'top' AS side, term, round(weight, 6) AS weight FROM w
      ORDER BY w.weight DESC, term LIMIT 30)
     UNION ALL (SELECT 'bottom', term, round(weight, 6) FROM w ORDER BY w.weight, term LIMIT 30)""",
+    heavy=True,
 )
 def _(t):
     weights = (

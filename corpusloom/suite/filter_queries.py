@@ -63,6 +63,7 @@ def _(t):
 @query(
     "p08_words_between",
     f"SELECT doc_id FROM documents WHERE {S.n_words('text')} BETWEEN 150 AND 1000",
+    heavy=True,
 )
 def _(t):
     return filters.words_between(t.documents, 150, 1000).select("doc_id")
@@ -175,6 +176,7 @@ def _(t):
     "p16_lexical_diversity",
     f"""WITH {S.hdd_ctes('documents', 'doc_id')}
     SELECT row_id AS doc_id FROM hdd WHERE hdd >= 0.7""",
+    heavy=True,
 )
 def _(t):
     return filters.lexically_diverse(t.documents).select("doc_id")
@@ -252,6 +254,7 @@ def _whole(words):
     f"""WITH {CORPUS} SELECT row_id, CASE WHEN is_bs = 0
       THEN regexp_matches(lower(text), '{_whole(ALIASES[0])}')
       ELSE regexp_matches(lower(text), '{_whole(ALIASES[1])}') END AS hit FROM corpus""",
+    heavy=True,
 )
 def _(t):
     hit = joins.mentions_own_alias(F.col("text"), F.col("is_bs"), ALIASES)

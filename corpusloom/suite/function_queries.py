@@ -37,6 +37,7 @@ def _(t):
     f"""SELECT doc_id, CAST(length(text) AS INTEGER) AS chars_length,
     {S.n_words('text')} AS words_length,
     CAST(len(regexp_extract_all(text, '{S.TOK}')) AS INTEGER) AS tokens_length FROM documents""",
+    heavy=True,
 )
 def _(t):
     df = t.documents.select("doc_id", "text")
@@ -49,12 +50,13 @@ def _(t):
     "f05_clean_plain",
     f"""SELECT doc_id, regexp_replace(regexp_replace(lower(text), '^{S.SP}+|{S.SP}+$', '', 'g'),
     '{S.SP}+', ' ', 'g') AS text FROM documents""",
+    heavy=True,
 )
 def _(t):
     return t.documents.select("doc_id", tx.clean_text(F.col("text"), repair=False).alias("text"))
 
 
-@query("f06_repair", f"SELECT doc_id, {S.repaired('text')} AS text FROM documents")
+@query("f06_repair", f"SELECT doc_id, {S.repaired('text')} AS text FROM documents", heavy=True)
 def _(t):
     return t.documents.select("doc_id", tx.clean_text(F.col("text")).alias("text"))
 
@@ -63,6 +65,7 @@ def _(t):
     "f06_repair_markup",
     f"""WITH h AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages)
     SELECT page_id, {S.repaired('text')} AS text FROM h""",
+    heavy=True,
 )
 def _(t):
     bare = F.regexp_replace("html", "<[^>]*>", " ")
@@ -72,6 +75,7 @@ def _(t):
 @query(
     "f07_mask_entities",
     f"""SELECT doc_id, {S.masked('text', 'text')} AS text FROM documents""",
+    heavy=True,
 )
 def _(t):
     tagged = ent.tag_entities(F.col("text"), S.GAZETTEER)
@@ -94,6 +98,7 @@ def _shown(text: str) -> str:
     "f09_merge_entities",
     f"""SELECT doc_id, CASE WHEN lang = 'en' THEN text || ' [SEP] ' || {_shown('text')}
        ELSE {_shown('text')} || ' [SEP] ' || text END AS text FROM documents""",
+    heavy=True,
 )
 def _(t):
     tagged = t.documents.withColumn("entities", ent.tag_entities(F.col("text"), S.GAZETTEER))
@@ -150,6 +155,7 @@ VOCABULARY = f"""lists AS (SELECT doc_id, regexp_extract_all(lower(text), '{S.TO
       array_to_string(list_resize(coalesce(ids, []), 64, 0), ' ') AS input_ids,
       CAST(least(len(ts), 64) AS INTEGER) AS n_real
     FROM lists l LEFT JOIN ids i ON l.doc_id = i.doc_id""",
+    heavy=True,
 )
 def _(t):
     docs = t.documents.select("doc_id", "text")
@@ -177,6 +183,7 @@ def _(t):
 @query(
     "n01_entities",
     f"SELECT doc_id, {_shown('text')} AS entities FROM documents",
+    heavy=True,
 )
 def _(t):
     docs = t.documents.withColumnRenamed("doc_id", "row_id")
@@ -191,6 +198,7 @@ def _(t):
     f"""WITH e AS (SELECT doc_id, {S.entity_list('text')} AS es FROM documents),
     x AS (SELECT doc_id, unnest(CASE WHEN len(es) = 0 THEN [NULL] ELSE es END) AS s FROM e)
     SELECT doc_id, s.word AS entity, s.g AS entity_group FROM x""",
+    heavy=True,
 )
 def _(t):
     tagged = t.documents.select(
@@ -206,6 +214,7 @@ def _(t):
     d AS (SELECT doc_id, w, min(i) AS i FROM x GROUP BY doc_id, w),
     o AS (SELECT doc_id, string_agg(w, '|' ORDER BY length(w) DESC, i) AS words FROM d GROUP BY doc_id)
     SELECT e.doc_id, coalesce(words, '') AS words FROM e LEFT JOIN o ON e.doc_id = o.doc_id""",
+    heavy=True,
 )
 def _(t):
     tagged = ent.tag_entities(F.col("text"), S.GAZETTEER)
@@ -260,6 +269,7 @@ def _(t):
     SELECT d.doc_id, CAST(coalesce(terms, 0) AS INTEGER) AS terms,
            round(CAST(terms AS DOUBLE) / words, 6) AS ttr
     FROM documents d LEFT JOIN hdd h ON d.doc_id = h.row_id""",
+    heavy=True,
 )
 def _(t):
     rich = lexical.add_richness(t.documents.select("doc_id", "text"), "text", ("terms", "ttr"))
@@ -295,6 +305,7 @@ def _(t):
     SELECT d.doc_id, round((n / CASE WHEN fa = 0 THEN 1 ELSE fa END
       + n / CASE WHEN fb = 0 THEN 1 ELSE fb END) / 2, 6) AS mtld
     FROM documents d LEFT JOIN fac f ON d.doc_id = f.doc_id""",
+    heavy=True,
 )
 def _(t):
     rich = lexical.add_richness(t.documents.select("doc_id", "text"), "text", ("mtld",))
@@ -306,6 +317,7 @@ def _(t):
     f"""WITH {S.hdd_ctes('documents', 'doc_id')}
     SELECT d.doc_id, round(h.hdd, 6) AS hdd
     FROM documents d LEFT JOIN hdd h ON d.doc_id = h.row_id""",
+    heavy=True,
 )
 def _(t):
     rich = lexical.add_richness(t.documents.select("doc_id", "text"), "text", ("hdd",))
@@ -320,6 +332,7 @@ def _(t):
     {S.hdd_ctes('u')}
     SELECT u.row_id, CAST(coalesce(terms, 0) AS INTEGER) AS terms, round(h.hdd, 6) AS hdd,
       round(CAST(terms AS DOUBLE) / words, 6) AS ttr FROM u LEFT JOIN hdd h ON u.row_id = h.row_id""",
+    heavy=True,
 )
 def _(t):
     emptied = t.pages.select(

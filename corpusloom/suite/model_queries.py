@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.models import baseline, scoring, sweep, topics, vectors
 from corpusloom.operators import aggregates, evaluation, sampling, windows
-from corpusloom.session import materialise, work_path
+from corpusloom.session import materialise, spread, work_path
 from corpusloom.suite.aggregate_queries import logit_frame, logit_sql, rounded
 from corpusloom.suite.registry import CORPUS, query
 
@@ -13,7 +13,7 @@ TERMS = 1000
 ITERATIONS = 20
 
 
-@query("m02_document_vectors")
+@query("m02_document_vectors", heavy=True)
 def _(t):
     made = vectors.document_vectors(t.documents, "text", "vector", 256)
     values = vector_to_array("vector")
@@ -49,7 +49,7 @@ def _(t):
     return aggregates.cluster_label_counts(clustered, "cluster", "label")
 
 
-@query("m05_topics")
+@query("m05_topics", heavy=True)
 def _(t):
     docs = t.documents.select(F.col("doc_id").alias("row_id"), "text")
     placed = topics.assign_topics(docs, n_topics=8, min_cluster_size=30)
@@ -75,6 +75,7 @@ _STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
     SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS INTEGER)
       AS rank, term, tf, weight FROM w
     QUALIFY row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) <= 10""",
+    heavy=True,
 )
 def _(t):
     return topics.topic_terms(t.corpus, k=10, stop=STOP)
@@ -94,6 +95,7 @@ def _(t):
     n AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM r GROUP BY doc_id)
     SELECT term, count(*) AS df, round(sum(raw / norm), 4) AS weight
     FROM r JOIN n ON r.doc_id = n.doc_id GROUP BY term""",
+    heavy=True,
 )
 def _(t):
     table = baseline.tfidf_table(t.documents, "text", "doc_id")
@@ -107,7 +109,7 @@ def _balanced_split(t):
     split = sampling.stratified_split(rows, 0.8, 0.2, ["is_bs"])
     split = materialise(split.select("row_id", "text", "is_bs", "lang", "split"), "m08", ["split"])
     return (
-        split.filter(F.col("split") == "train").drop("split"),
+        spread(split.filter(F.col("split") == "train").drop("split"), "row_id"),
         split.filter(F.col("split") == "test").drop("split"),
     )
 
@@ -117,7 +119,7 @@ def _fitted(t):
     return baseline.fit_baseline(train, max_terms=TERMS, max_iter=ITERATIONS), test
 
 
-@query("m08_logistic_regression")
+@query("m08_logistic_regression", heavy=True)
 def _(t):
     model, test = _fitted(t)
     return rounded(
@@ -125,7 +127,7 @@ def _(t):
     )
 
 
-@query("m09_term_weights")
+@query("m09_term_weights", heavy=True)
 def _(t):
     model, test = _fitted(t)
     top, bottom = windows.extremes(baseline.term_weights(model, test))
@@ -134,7 +136,7 @@ def _(t):
     )
 
 
-@query("m10_batch_scoring")
+@query("m10_batch_scoring", heavy=True)
 def _(t):
     model, _test = _fitted(t)
     docs = t.documents.select(F.col("doc_id").alias("row_id"), "text")
@@ -162,6 +164,7 @@ def _length_model():
     """SELECT doc_id AS row_id, CASE WHEN length(text) > 1000 THEN '1' ELSE '0' END AS is_bs,
     round(greatest(least(length(text), 2000) / 2000, 1 - least(length(text), 2000) / 2000), 6)
     AS score FROM documents""",
+    heavy=True,
 )
 def _(t):
     docs = t.documents.select(F.col("doc_id").alias("row_id"), "text")
@@ -170,7 +173,7 @@ def _(t):
     return rounded(full.drop("text"))
 
 
-@query("m11_sweep")
+@query("m11_sweep", heavy=True)
 def _(t):
     train, test = _balanced_split(t)
     experiments = {
@@ -200,7 +203,7 @@ def _(t):
     return rounded(evaluation.metrics_long(measured))
 
 
-@query("m12_model_on_named_sets")
+@query("m12_model_on_named_sets", heavy=True)
 def _(t):
     model, _test = _fitted(t)
     sets = {lang: t.corpus.filter(F.col("lang") == lang) for lang in ("en", "de", "fr", "es")}
@@ -230,7 +233,7 @@ def _(t):
     return evaluation.best_run(steps)
 
 
-@query("m13_iteration_ladder")
+@query("m13_iteration_ladder", heavy=True)
 def _(t):
     train, test = _balanced_split(t)
     _best, steps = sweep.iteration_ladder(train, test, [1, 2, 4, 8, 16], max_terms=200)

@@ -38,6 +38,7 @@ _NO = " ".join(
       'CC-index', 'cc:' || domain FROM art
     UNION ALL SELECT entry_id * 3 + 2, text, CAST(feed LIKE 'source=src1%' AS INTEGER), 'RSS', feed
       FROM feed""",
+    heavy=True,
 )
 def _(t):
     path = write_feeds(t, "corpus-feeds")
@@ -65,7 +66,7 @@ def _(t):
     return made
 
 
-@query("x02_enrich")
+@query("x02_enrich", heavy=True)
 def _(t):
     docs = t.corpus.drop("topic")
     made = enrich.enrich(docs, S.GAZETTEER, n_topics=8, min_cluster_size=15)
@@ -78,6 +79,7 @@ def _(t):
     count(*) FILTER (is_bs = 1) AS n_label_1, count(*) AS total,
     round(count(*) FILTER (is_bs = 1) / count(*), 6) AS fake_ratio,
     CAST(sum(len({S.entity_list('text')})) AS BIGINT) AS n_entities FROM corpus GROUP BY topic""",
+    heavy=True,
 )
 def _(t):
     tagged = ent.extract_entities(t.corpus, S.GAZETTEER)
@@ -126,6 +128,7 @@ def _(t):
     SELECT m.row_id, 'train' AS split, m.text FROM msk m JOIN hdd h ON m.row_id = h.row_id
       WHERE h.hdd >= 0.7
     UNION ALL SELECT row_id, split, text FROM sp WHERE split = 'test'""",
+    heavy=True,
 )
 def _(t):
     train, test, _steps = process.run_recipe(_tagged(t), RECIPE_2)
@@ -143,6 +146,7 @@ def _(t):
     UNION ALL SELECT 'mask_entities', count(*), count(*), count(*) FILTER (fixed <> masked) FROM j
     UNION ALL SELECT 'filter_low_lexical_diversity', count(*), count(*) FILTER (hdd >= 0.7), 0
       FROM j""",
+    heavy=True,
 )
 def _(t):
     _train, _test, steps = process.run_recipe(_tagged(t), RECIPE_2)
@@ -176,6 +180,7 @@ def _(t):
     SELECT l.row_id, labels, label_name,
       array_to_string(list_resize(coalesce(ids, []), 64, 0), ' ') AS input_ids
     FROM lists l LEFT JOIN ids i ON l.row_id = i.row_id""",
+    heavy=True,
 )
 def _(t):
     made = prepare.prepare_dataset(_tagged(t), use_entities=True, entity_format="append")
@@ -227,6 +232,7 @@ def _(t):
     "x06_eda_lengths",
     f"WITH {CORPUS}, {LENGTH_CTE} "
     + _describe_sql("lens", ["chars_length", "words_length", "tokens_length"]),
+    heavy=True,
 )
 def _(t):
     return rounded(aggregates.describe(eda.measures(t.corpus, richness=()), eda.LENGTHS))
@@ -238,13 +244,14 @@ def _(t):
       CAST(h.terms AS DOUBLE) / h.words AS ttr
       FROM corpus c LEFT JOIN hdd h ON c.row_id = h.row_id) """
     + _describe_sql("r", ["ttr", "hdd"]),
+    heavy=True,
 )
 def _(t):
     measured = eda.measures(t.corpus, lengths=False, richness=("ttr", "hdd"))
     return rounded(aggregates.describe(measured, ["ttr", "hdd"]))
 
 
-@query("x06_eda_report_sizes")
+@query("x06_eda_report_sizes", heavy=True)
 def _(t):
     tables = eda.report(t.corpus)
     parts = [
@@ -265,7 +272,7 @@ def _(t):
     return eda.topic_leakage(t.corpus)
 
 
-@query("x08_baseline_report")
+@query("x08_baseline_report", heavy=True)
 def _(t):
     made = baseline_report.baseline_report(t.corpus, max_terms=1000, max_iter=20)
     return made["report"]

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,13 +18,16 @@ ORACLES: dict[str, str] = {}
 class Tables:
     """The driver tables of one folder, and the labelled corpus made from them."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, heavy: bool = False):
+        self.spark, self.folder, self.heavy = spark, folder.rstrip("/"), heavy
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if self.heavy and name in _TEXT_TABLES:
+            return spread(table, _TEXT_TABLES[name])
+        return table
 
     @property
     def corpus(self) -> DataFrame:
@@ -59,13 +66,16 @@ NEWS = (
 )
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name``."""
+def query(name: str, sql: str | None = None, heavy: bool = False):
+    """Register ``fn(tables) -> DataFrame`` under ``name``.
+
+    ``heavy`` marks queries that spend their time on each text.
+    """
 
     def add(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"two queries named {name}")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder, heavy))
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -163,6 +163,7 @@ def article_sql(source: str, max_words: int) -> str:
 @query(
     "s06_articles",
     f"WITH {article_sql('pages', 500)} SELECT page_id, url, title, text FROM art",
+    heavy=True,
 )
 def _(t):
     return pages.extract_articles(t.pages)
@@ -245,6 +246,7 @@ def _(t):
     UNION ALL SELECT 'normalize_text_length', count(*) FILTER (keep), count(*) FILTER (fits), 0 FROM l
     UNION ALL SELECT 'clean_text', count(*) FILTER (fits), count(*) FILTER (fits),
       count(*) FILTER (fits AND fixed <> text) FROM l""",
+    heavy=True,
 )
 def _(t):
     steps = {
@@ -284,7 +286,7 @@ def _(t):
     return audit.content_fingerprint(t.documents, ["doc_id", "text", "lang"])
 
 
-@query("y01_apply_text", "SELECT doc_id, length(text) AS n FROM documents")
+@query("y01_apply_text", "SELECT doc_id, length(text) AS n FROM documents", heavy=True)
 def _(t):
     docs = t.documents.select("doc_id", "text")
     return scoring.apply_text(docs, len, "text", "n", "bigint").drop("text")
