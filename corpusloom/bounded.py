@@ -15,7 +15,7 @@ MAX_BYTES = 32 * 1024 * 1024
 
 
 def _row_bytes(row) -> int:
-    return sum(len(v.encode("utf-8")) if isinstance(v, str) else 16 for v in row)
+    return sum(max(16, len(str(v).encode("utf-8"))) for v in row)
 
 
 def small_rows(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.bounded import join_checked
+from corpusloom.functions.keys import BUCKET_DIGITS, key_bucket, order_key
 from corpusloom.functions.lexical import letter_runs
 from corpusloom.functions.text import let
 from corpusloom.models import vectors
@@ -59,18 +60,28 @@ def assign_topics(
     width: int = 256,
     seed: int = vectors.SEED,
     out_col: str = "topic",
+    fit_share: float = 1.0,
 ) -> DataFrame:
     """Hashed TF-IDF, principal components, k-means, then the outlier rule.
 
     Only (id, reduced vector) is kept between the steps.  Rows further from
     their centre than the given quantile of all distances, and clusters below
     the minimum size, form topic -1; the others are numbered by size.
+
+    With ``fit_share`` below one the components and centres are fitted on that
+    share of the rows, chosen by their order key; every row is still assigned.
     """
     vectored = vectors.document_vectors(df.select(id_col, text_col), text_col, "_v", width)
-    reduced = vectors.reduce_dimensions(vectored, n_components, "_v", "_r").select(id_col, "_r")
+    fitted_on = None
+    if fit_share < 1.0:
+        edge = format(int(fit_share * 16**BUCKET_DIGITS), f"0{BUCKET_DIGITS}x")
+        fitted_on = key_bucket(order_key(F.col(id_col), seed)) < edge
+    reduced = vectors.reduce_dimensions(
+        vectored, n_components, "_v", "_r", fit_where=fitted_on
+    ).select(id_col, "_r")
     # k-means passes over its input many times
     reduced = materialise(reduced, "topic-vectors")
-    clustered, model = vectors.kmeans(reduced, n_topics, "_r", "_c", seed)
+    clustered, model = vectors.kmeans(reduced, n_topics, "_r", "_c", seed, fit_where=fitted_on)
     centres = F.array(
         *[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()]
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.lexical import letter_runs
@@ -31,8 +31,17 @@ def as_vector(df: DataFrame, array_col: str, out_col: str = "vector") -> DataFra
     return df.withColumn(out_col, array_to_vector(F.col(array_col).cast("array<double>")))
 
 
+def _rows(df: DataFrame, where: Column | None) -> DataFrame:
+    """The rows a model is fitted on."""
+    return df if where is None else df.filter(where)
+
+
 def reduce_dimensions(
-    df: DataFrame, n_components: int = 2, in_col: str = "vector", out_col: str = "reduced"
+    df: DataFrame,
+    n_components: int = 2,
+    in_col: str = "vector",
+    out_col: str = "reduced",
+    fit_where: Column | None = None,
 ) -> DataFrame:
     """Principal components; never more than the vectors are wide."""
     first = df.select(F.size(vector_to_array(in_col)).alias("w")).first()
@@ -41,7 +50,7 @@ def reduce_dimensions(
     if first["w"] > MAX_PCA_WIDTH:
         raise ValueError(f"vectors of width {first['w']} exceed {MAX_PCA_WIDTH}; hash them down")
     pca = PCA(k=min(n_components, first["w"]), inputCol=in_col, outputCol=out_col)
-    return pca.fit(df).transform(df)
+    return pca.fit(_rows(df, fit_where)).transform(df)
 
 
 def kmeans(
@@ -51,11 +60,12 @@ def kmeans(
     out_col: str = "cluster",
     seed: int = SEED,
     max_iter: int = 20,
+    fit_where: Column | None = None,
 ) -> tuple[DataFrame, KMeansModel]:
     """The frame with a cluster column, and the model."""
     model = KMeans(
         k=k, seed=seed, featuresCol=in_col, predictionCol=out_col, maxIter=max_iter
-    ).fit(df)
+    ).fit(_rows(df, fit_where))
     return model.transform(df), model
 
 

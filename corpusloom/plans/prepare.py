@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.bounded import join_checked
+from corpusloom.bounded import small_rows
 from corpusloom.functions import text as tx
 from corpusloom.operators import filters
 
@@ -33,6 +34,37 @@ def token_vocabulary(
     return top.select("token", (rank + FIRST_ID - 1).cast("int").alias("token_id"))
 
 
+def _ids_by_lookup(df: DataFrame, cut: Column, rows, out_col: str) -> DataFrame:
+    """Ids from a broadcast dictionary, in Arrow batches: no shuffle."""
+    known = df.sparkSession.sparkContext.broadcast({r["token"]: r["token_id"] for r in rows})
+
+    @F.pandas_udf("array<int>")
+    def look_up(tokens: pd.Series) -> pd.Series:
+        ids = known.value
+        return tokens.map(
+            lambda row: None if row is None else [ids.get(t, UNKNOWN) for t in row]
+        )
+
+    return df.withColumn(out_col, look_up(cut))
+
+
+def _ids_by_join(
+    df: DataFrame, cut: Column, vocabulary: DataFrame, id_col: str, out_col: str
+) -> DataFrame:
+    ids = (
+        df.select(id_col, F.posexplode(cut).alias("pos", "token"))
+        .join(vocabulary, "token", "left")
+        .groupBy(id_col)
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id")))
+            ).alias(out_col)
+        )
+        .select(id_col, F.transform(out_col, lambda x: x["id"]).alias(out_col))
+    )
+    return df.join(ids, id_col, "left")
+
+
 def encode(
     df: DataFrame,
     vocabulary: DataFrame,
@@ -42,27 +74,19 @@ def encode(
 ) -> DataFrame:
     """``input_ids`` and ``attention_mask`` of exactly ``max_length``.
 
-    Only the tokens that survive the cut are looked up; a row's ids come back
-    together after a map-side merge.
+    Only the tokens that survive the cut are looked up: in a broadcast
+    dictionary if the vocabulary is within the size bound, else by a join.
     """
     cut = F.slice(tx.tokens(F.lower(F.col(text_col))), 1, max_length)
-    ids = (
-        join_checked(
-            df.select(id_col, F.posexplode(cut).alias("pos", "token")), vocabulary, "token", "left"
-        )
-        .groupBy(id_col)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id")))
-            ).alias("_ids")
-        )
-        .select(id_col, F.transform("_ids", lambda x: x["id"]).alias("_ids"))
-    )
+    rows = small_rows(vocabulary)
+    if rows is None:
+        out = _ids_by_join(df, cut, vocabulary, id_col, "_ids")
+    else:
+        out = _ids_by_lookup(df, cut, rows, "_ids")
     known = F.coalesce(F.col("_ids"), F.array().cast("array<int>"))
     missing = F.lit(max_length) - F.size(known)
     return (
-        df.join(ids, id_col, "left")
-        .withColumn("input_ids", F.concat(known, F.array_repeat(F.lit(PAD), missing)))
+        out.withColumn("input_ids", F.concat(known, F.array_repeat(F.lit(PAD), missing)))
         .withColumn(
             "attention_mask",
             F.concat(F.array_repeat(F.lit(1), F.size(known)), F.array_repeat(F.lit(0), missing)),

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.bounded import checked
 from corpusloom.functions import text as tx, urls
 from corpusloom.operators import windows
 
@@ -86,7 +87,7 @@ def match_index(
         bare = urls.without_scheme(F.col(url_col))
         found = (
             found.withColumn("_host", F.split_part(bare, F.lit("/"), F.lit(1)))
-            .join(table, F.col("_host") == F.col("domain"))
+            .join(checked(table), F.col("_host") == F.col("domain"))
             .filter(F.expr(f"{_BARE.format(url_col)} like _like"))
             .drop("_host", "_like")
         )

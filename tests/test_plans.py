@@ -98,11 +98,13 @@ def test_work_root_is_the_session_folder(spark):
         work_root(Cluster)
 
 
-def test_tokens_fixed_length(spark):
+def test_tokens_fixed_length(spark, monkeypatch):
     df = spark.createDataFrame([(1, "b a a"), (2, "x " * 70), (3, "")], "row_id long, text string")
     vocab = prepare.token_vocabulary(df, size=2)
     assert [tuple(r) for r in vocab.orderBy("token_id").collect()] == [("x", 2), ("a", 3)]
     got = {r["row_id"]: r for r in prepare.encode(df, vocab).collect()}
+    monkeypatch.setattr(prepare, "small_rows", lambda _df: None)
+    assert {r["row_id"]: r for r in prepare.encode(df, vocab).collect()} == got
     assert all(len(r["input_ids"]) == len(r["attention_mask"]) == 64 for r in got.values())
     assert got[1]["input_ids"][:4] == [1, 3, 3, 0] and sum(got[2]["attention_mask"]) == 64
     assert sum(got[3]["attention_mask"]) == 0
@@ -127,6 +129,8 @@ def test_topics_cover_all_rows(t):
     assert sum(sizes.values()) == docs.count() and -1 in sizes
     real = [sizes[k] for k in sorted(sizes) if k >= 0]
     assert real == sorted(real, reverse=True) and min(real) >= 20
+    part = topics.assign_topics(docs, n_topics=4, min_cluster_size=20, fit_share=0.5)
+    assert part.count() == docs.count()
 
 
 def test_baseline_separates(spark, tmp_path):
