@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.bounded import checked, join_checked
+from corpusloom.bounded import checked, join_checked, small_rows
 from corpusloom.functions import keys
 from corpusloom.operators.joins import keep_keys
 from corpusloom.schemas import require
@@ -23,37 +23,70 @@ from corpusloom.schemas import require
 STRATUM = "_stratum"
 
 
-def topic_parity(df: DataFrame, min_topic_size: int = 100, topic_col: str = "topic") -> DataFrame:
-    """Rows of topics with enough rows; the outlier topic is no exception."""
-    valid = (
+def large_topics(
+    df: DataFrame, min_topic_size: int = 100, topic_col: str = "topic"
+) -> DataFrame:
+    """Topics with enough rows; the outlier topic is no exception."""
+    return (
         df.filter(F.col(topic_col).isNotNull())
         .groupBy(topic_col)
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") >= min_topic_size)
         .select(topic_col)
     )
-    return keep_keys(df, valid, topic_col)
 
 
-def smallest_keys(
+def topic_parity(df: DataFrame, min_topic_size: int = 100, topic_col: str = "topic") -> DataFrame:
+    """Rows of topics with enough rows."""
+    return keep_keys(df, large_topics(df, min_topic_size, topic_col), topic_col)
+
+
+class Cut:
+    """For every stratum the last key that is still taken.
+
+    ``table`` has at most one row per stratum; a stratum without a row is taken
+    whole.  It can be applied to any frame with the stratum columns and ids.
+    """
+
+    def __init__(self, table: DataFrame, stratum: Column, id_col: str, seed: int):
+        self.table, self.stratum, self.id_col, self.seed = table, stratum, id_col, seed
+
+    def flag(self, df: DataFrame) -> DataFrame:
+        """Add ``_taken`` by comparison with the cut: wide rows are not shuffled."""
+        key = F.col("_key")
+        taken = (
+            F.col("_edge").isNull()
+            | (keys.key_bucket(key) < F.col("_edge"))
+            | (key < F.col("_last_key"))
+            | ((key == F.col("_last_key")) & (F.col(self.id_col) <= F.col("_last_id")))
+        )
+        return (
+            df.withColumns(
+                {STRATUM: self.stratum, "_key": keys.order_key(F.col(self.id_col), self.seed)}
+            )
+            .join(self.table, STRATUM, "left")
+            .withColumn("_taken", F.coalesce(taken, F.lit(False)))
+            .drop(STRATUM, "_key", "_edge", "_last_key", "_last_id")
+        )
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return self.flag(df).filter("_taken").drop("_taken")
+
+
+def find_cut(
     df: DataFrame, quotas: DataFrame, stratum: Column, id_col: str, seed: int
-) -> DataFrame:
-    """Flag ``_taken`` on the ``_quota`` rows with the smallest keys per stratum.
+) -> Cut:
+    """The cut that takes the ``_quota`` rows with the smallest keys per stratum.
 
-    Two passes over (stratum, id) alone find each stratum's last taken key; the
-    wide rows are then flagged by comparison, without being shuffled.
+    Two passes over (stratum, id) alone.
     """
-    keyed = {
-        STRATUM: stratum,
-        "_key": keys.order_key(F.col(id_col), seed),
-    }
-    narrow = df.select(id_col, *[c.alias(n) for n, c in keyed.items()]).withColumn(
-        "_bucket", keys.key_bucket(F.col("_key"))
-    )
+    narrow = df.select(
+        id_col, stratum.alias(STRATUM), keys.order_key(F.col(id_col), seed).alias("_key")
+    ).withColumn("_bucket", keys.key_bucket(F.col("_key")))
     histogram = narrow.groupBy(STRATUM, "_bucket").agg(F.count("*").alias("_n"))
     running = Window.partitionBy(STRATUM).orderBy("_bucket")
     # per stratum: the first bucket that is not taken whole, and what it still gives
-    edge = checked(
+    edge = (
         join_checked(histogram, quotas, STRATUM)
         .withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
         .filter(F.col("_before") + F.col("_n") > F.col("_quota"))
@@ -63,6 +96,10 @@ def smallest_keys(
             F.min_by(F.col("_quota") - F.col("_before"), "_bucket").alias("_rest"),
         )
     )
+    rows = small_rows(edge)
+    small = rows is not None
+    if small:
+        edge = F.broadcast(df.sparkSession.createDataFrame(rows, edge.schema))
     last = (
         narrow.join(edge, STRATUM)
         .filter(F.col("_bucket") == F.col("_edge"))
@@ -75,32 +112,23 @@ def smallest_keys(
     cut = edge.join(checked(last), STRATUM, "left").select(
         STRATUM, "_edge", "_last_key", "_last_id"
     )
-    key = F.col("_key")
-    taken = (
-        F.col("_edge").isNull()
-        | (keys.key_bucket(key) < F.col("_edge"))
-        | (key < F.col("_last_key"))
-        | ((key == F.col("_last_key")) & (F.col(id_col) <= F.col("_last_id")))
-    )
-    return (
-        join_checked(df.withColumns(keyed), cut, STRATUM, "left")
-        .withColumn("_taken", F.coalesce(taken, F.lit(False)))
-        .drop(STRATUM, "_key", "_edge", "_last_key", "_last_id")
-    )
+    if small:  # as many rows as strata with an edge
+        cut = F.broadcast(cut)
+    return Cut(cut, stratum, id_col, seed)
 
 
 def stratum_counts(df: DataFrame, stratum: Column) -> DataFrame:
     return df.groupBy(stratum.alias(STRATUM)).agg(F.count("*").alias("_n"))
 
 
-def balanced_sample(
+def balanced_cut(
     df: DataFrame,
     stratify_by: list[str],
     sample_n: int | None,
     id_col: str = "row_id",
     seed: int = keys.SEED,
-) -> DataFrame:
-    """The same number of rows from every stratum, without replacement.
+) -> Cut:
+    """The cut of a sample with the same number of rows from every stratum.
 
     The number is ``sample_n`` shared out evenly, or the smallest stratum.
     """
@@ -117,7 +145,18 @@ def balanced_sample(
             F.min("_n").over(everything),
         ).alias("_quota"),
     )
-    return smallest_keys(df, quotas, stratum, id_col, seed).filter("_taken").drop("_taken")
+    return find_cut(df, quotas, stratum, id_col, seed)
+
+
+def balanced_sample(
+    df: DataFrame,
+    stratify_by: list[str],
+    sample_n: int | None,
+    id_col: str = "row_id",
+    seed: int = keys.SEED,
+) -> DataFrame:
+    """The same number of rows from every stratum, without replacement."""
+    return balanced_cut(df, stratify_by, sample_n, id_col, seed).keep(df)
 
 
 def check_ratios(train_ratio: float, test_ratio: float) -> None:
@@ -151,6 +190,27 @@ def split_quotas(counts: DataFrame, test_ratio: float, strict: bool = True) -> D
     )
 
 
+def split_cut(
+    df: DataFrame,
+    test_ratio: float = 0.1,
+    stratify_by: list[str] | None = None,
+    id_col: str = "row_id",
+    seed: int = keys.SEED,
+) -> Cut:
+    """The cut between test rows (taken) and train rows."""
+    if stratify_by:
+        require(df, *stratify_by)
+    stratum = keys.composite_key(*stratify_by) if stratify_by else F.lit("all")
+    quotas = split_quotas(stratum_counts(df, stratum), test_ratio, strict=bool(stratify_by))
+    return find_cut(df, quotas, stratum, id_col, seed)
+
+
+def name_sides(flagged: DataFrame, out_col: str = "split") -> DataFrame:
+    return flagged.withColumn(out_col, F.when(F.col("_taken"), "test").otherwise("train")).drop(
+        "_taken"
+    )
+
+
 def stratified_split(
     df: DataFrame,
     train_ratio: float = 0.9,
@@ -162,17 +222,7 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``; strata keep their proportions, every row is in one side."""
     check_ratios(train_ratio, test_ratio)
-    if stratify_by:
-        require(df, *stratify_by)
-        stratum = keys.composite_key(*stratify_by)
-    else:
-        stratum = F.lit("all")
-    quotas = split_quotas(stratum_counts(df, stratum), test_ratio, strict=bool(stratify_by))
-    return (
-        smallest_keys(df, quotas, stratum, id_col, seed)
-        .withColumn(out_col, F.when(F.col("_taken"), "test").otherwise("train"))
-        .drop("_taken")
-    )
+    return name_sides(split_cut(df, test_ratio, stratify_by, id_col, seed).flag(df), out_col)
 
 
 def train_only(

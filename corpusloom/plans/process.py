@@ -7,8 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.bounded import checked
 from corpusloom.functions import entities as ent, keys, lexical, text as tx
 from corpusloom.operators import sampling
+from corpusloom.schemas import require
 from corpusloom.session import materialise, spread
 from corpusloom.sources import audit, files
 
@@ -52,18 +54,29 @@ def scaled(recipe: Mapping, min_topic_size: int, sample_n: int, **lengths) -> di
 
 
 def split_corpus(df: DataFrame, recipe: Mapping, seed: int = keys.SEED) -> DataFrame:
-    """Topic parity, balanced sample, stratified split: adds ``split``."""
+    """Topic parity, balanced sample, stratified split: adds ``split``.
+
+    All decisions are made on a written table of ids, topics and strata, so that
+    whatever made the corpus runs once for it and once for the result.  The
+    wide rows are only compared with small tables: no text is shuffled.
+    """
     cfg = recipe.get("splitting", {})
     train_ratio, test_ratio = cfg.get("train_ratio", 0.9), cfg.get("test_ratio", 0.1)
     sampling.check_ratios(train_ratio, test_ratio)
     parity = cfg.get("sample_by_topic_parity", {})
-    if parity.get("enabled"):
-        df = sampling.topic_parity(df, parity.get("min_topic_size", 100))
     sample = cfg.get("stratified_sample", {})
     stratify_by = sample.get("stratify_by", [])
-    if sample.get("enabled"):
-        df = sampling.balanced_sample(df, stratify_by, sample.get("sample_n"), seed=seed)
-    return sampling.stratified_split(df, train_ratio, test_ratio, stratify_by, seed=seed)
+    needed = ["row_id", *(["topic"] if _enabled(parity) else []), *stratify_by]
+    ids = materialise(require(df, *needed).select(*dict.fromkeys(needed)), "split-keys")
+    if _enabled(parity):
+        topics = checked(sampling.large_topics(ids, parity.get("min_topic_size", 100)))
+        ids, df = (d.join(topics, "topic", "left_semi") for d in (ids, df))
+    if _enabled(sample):
+        cut = sampling.balanced_cut(ids, stratify_by, sample.get("sample_n"), seed=seed)
+        ids, df = cut.keep(ids), cut.keep(df)
+    return sampling.name_sides(
+        sampling.split_cut(ids, test_ratio, stratify_by, seed=seed).flag(df)
+    )
 
 
 def _enabled(step) -> bool:

@@ -303,13 +303,13 @@ def _(t):
       b.f + CASE WHEN b.begin <= n THEN (1 - b.types / (n - b.begin + 1)) / (1 - CAST(0.72 AS DOUBLE)) ELSE 0 END AS fb
       FROM walk)
     SELECT d.doc_id, round((n / CASE WHEN fa = 0 THEN 1 ELSE fa END
-      + n / CASE WHEN fb = 0 THEN 1 ELSE fb END) / 2, 6) AS mtld
+      + n / CASE WHEN fb = 0 THEN 1 ELSE fb END) / 2, 4) AS mtld
     FROM documents d LEFT JOIN fac f ON d.doc_id = f.doc_id""",
     heavy=True,
 )
 def _(t):
     rich = lexical.add_richness(t.documents.select("doc_id", "text"), "text", ("mtld",))
-    return rounded(rich.drop("text"))
+    return rounded(rich.drop("text"), 4)
 
 
 @query(

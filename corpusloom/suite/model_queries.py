@@ -4,7 +4,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from corpusloom.models import baseline, scoring, sweep, topics, vectors
-from corpusloom.operators import aggregates, evaluation, sampling, windows
+from corpusloom.operators import aggregates, evaluation, windows
+from corpusloom.plans import process
 from corpusloom.session import materialise, spread, work_path
 from corpusloom.suite.aggregate_queries import logit_frame, logit_sql, rounded
 from corpusloom.suite.registry import CORPUS, query
@@ -35,6 +36,24 @@ def _(t):
     )
 
 
+@query(
+    "m03_total_variance",
+    """WITH x AS (SELECT generate_subscripts(embedding, 1) AS i,
+             CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+    SELECT round(sum(s), 6) AS total_variance, count(*) AS n_components
+    FROM (SELECT i, var_samp(v) AS s FROM x GROUP BY i)""",
+)
+def _(t):
+    """A full rotation keeps the total variance."""
+    reduced = vectors.reduce_dimensions(
+        vectors.as_vector(t.embeddings, "embedding"), 150, "vector", "reduced"
+    )
+    parts = vectors.components(reduced).select(F.posexplode("reduced").alias("component", "x"))
+    return parts.groupBy("component").agg(F.var_samp("x").alias("s")).agg(
+        F.round(F.sum("s"), 6).alias("total_variance"), F.count("*").alias("n_components")
+    )
+
+
 @query("m04_kmeans_label_counts")
 def _(t):
     vectored = vectors.as_vector(t.embeddings, "embedding")
@@ -104,10 +123,18 @@ def _(t):
     )
 
 
+_BALANCED = {
+    "splitting": {
+        "train_ratio": 0.8,
+        "test_ratio": 0.2,
+        "stratified_sample": {"enabled": True, "sample_n": 20_000, "stratify_by": ["is_bs"]},
+    }
+}
+
+
 def _balanced_split(t):
-    rows = sampling.balanced_sample(t.corpus, ["is_bs"], 20_000)
-    split = sampling.stratified_split(rows, 0.8, 0.2, ["is_bs"])
-    split = materialise(split.select("row_id", "text", "is_bs", "lang", "split"), "m08", ["split"])
+    split = process.split_corpus(t.corpus.select("row_id", "text", "is_bs", "lang"), _BALANCED)
+    split = materialise(split, "m08", ["split"])
     return (
         spread(split.filter(F.col("split") == "train").drop("split"), "row_id"),
         split.filter(F.col("split") == "test").drop("split"),
