@@ -6,7 +6,7 @@ from corpusloom.functions import entities as ent, keys, lexical, scores, text as
 from corpusloom.plans import prepare
 from corpusloom.suite import sqlparts as S
 from corpusloom.suite.aggregate_queries import rounded
-from corpusloom.suite.registry import CORPUS, NEWS, query
+from corpusloom.suite.registry import NEWS, query
 
 
 @query(

@@ -31,12 +31,13 @@ _NO = " ".join(
 @query(
     "x01_build_corpus",
     rf"""WITH {NEWS}, {index_sql(20)}, {article_sql('idx', 500)}, {feed_sql(30)}
-    SELECT row_id * 3 AS row_id, regexp_replace(text, '^.*\(Reuters\){S.SP}*-{S.SP}*', '') AS text,
+    SELECT (row_id * 2 + 1 - is_bs) * 3 AS row_id, regexp_replace(text, '^.*\(Reuters\){S.SP}*-{S.SP}*', '') AS text,
       is_bs, 'news' AS source, CAST(NULL AS VARCHAR) AS source_detail FROM news
       WHERE is_bs = 1 OR position('(Reuters) -' IN text) > 0
     UNION ALL SELECT (page_id * {len(INDEX_ENTRIES)} + CASE {_NO} END) * 3 + 1, text, label,
       'CC-index', 'cc:' || domain FROM art
-    UNION ALL SELECT entry_id * 3 + 2, text, CAST(feed LIKE 'source=src1%' AS INTEGER), 'RSS', feed
+    UNION ALL SELECT CAST('0x' || substr(md5(feed || '|' || entry_id || '|' || url), 1, 15) AS BIGINT) * 3
+      + 2, text, CAST(feed LIKE 'source=src1%' AS INTEGER), 'RSS', feed
       FROM feed""",
     heavy=True,
 )
