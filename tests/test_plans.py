@@ -165,3 +165,9 @@ def test_ml_features_equal_relational_tfidf(spark):
 
 def test_eda_report_names(t):
     assert {"nulls", "lengths", "richness", "topic_leakage"} <= set(eda.report(t.corpus))
+
+
+def test_worker_code_travels_by_value():
+    from pyspark import cloudpickle
+
+    assert "corpusloom" in cloudpickle.list_registry_pickle_by_value()
