@@ -81,7 +81,13 @@ def assign_topics(
     ).select(id_col, "_r")
     # k-means passes over its input many times
     reduced = materialise(reduced, "topic-vectors")
-    clustered, model = vectors.kmeans(reduced, n_topics, "_r", "_c", seed, fit_where=fitted_on)
+    # starting centres are drawn in row order: a fixed layout makes a fit repeatable
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fit_on = reduced if fitted_on is None else reduced.filter(fitted_on)
+    model = vectors.fit_kmeans(
+        fit_on.repartition(parts, id_col).sortWithinPartitions(id_col), n_topics, "_r", "_c", seed
+    )
+    clustered = model.transform(reduced)
     centres = F.array(
         *[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()]
     )

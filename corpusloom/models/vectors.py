@@ -53,6 +53,19 @@ def reduce_dimensions(
     return pca.fit(_rows(df, fit_where)).transform(df)
 
 
+def fit_kmeans(
+    df: DataFrame,
+    k: int = 2,
+    in_col: str = "vector",
+    out_col: str = "cluster",
+    seed: int = SEED,
+    max_iter: int = 20,
+) -> KMeansModel:
+    return KMeans(
+        k=k, seed=seed, featuresCol=in_col, predictionCol=out_col, maxIter=max_iter
+    ).fit(df)
+
+
 def kmeans(
     df: DataFrame,
     k: int = 2,
@@ -60,12 +73,9 @@ def kmeans(
     out_col: str = "cluster",
     seed: int = SEED,
     max_iter: int = 20,
-    fit_where: Column | None = None,
 ) -> tuple[DataFrame, KMeansModel]:
     """The frame with a cluster column, and the model."""
-    model = KMeans(
-        k=k, seed=seed, featuresCol=in_col, predictionCol=out_col, maxIter=max_iter
-    ).fit(_rows(df, fit_where))
+    model = fit_kmeans(df, k, in_col, out_col, seed, max_iter)
     return model.transform(df), model
 
 
