@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, simhash, toxicity
+from corpusloom.llm import decontamination, packing, simhash, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -50,3 +50,25 @@ def _(spark, folder):
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
         "restored",
     )
+
+
+_ITEM_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_RUNS = """CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END"""
+
+
+@query(
+    "op4_benchmark_containment",
+    f"""WITH d AS (SELECT DISTINCT doc_id, unnest({_RUNS}) AS s
+             FROM (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents)),
+         i AS (SELECT DISTINCT item_id, unnest({_RUNS}) AS s
+             FROM (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark)),
+         n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
+    SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+    FROM d JOIN i USING (s) JOIN n USING (item_id)
+    GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item - 1e-9""",
+)
+def _(spark, folder):
+    return decontamination.contained(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    )
