@@ -39,11 +39,10 @@ DISGUISE, APART, REPEAT = -0.3, -0.2, -0.2
 LEAVE = -3.0
 
 _LEET = "".join(map(re.escape, READINGS))
+_L = r"[^\W\d_]"
 SUSPICIOUS = re.compile(
-    rf"(?<!\w)[^\W\d_](?:[ .\-_*][^\W\d_{_LEET}]|[ .\-_*][{_LEET}]){{2,}}(?!\w)"  # letters set apart
-    rf"|[^\W\d_]*(?:([^\W\d_])\1\1)[^\W\d_]*"  # a letter three times
-    rf"|(?:[^\W\d_]+[{_LEET}]+)+[^\W\d_]+"  # signs between letters
-    rf"|[{_LEET}]+(?:[^\W\d_]+[{_LEET}]*){{2,}}",
+    rf"(?<!\w){_L}(?:[ .\-_*](?:{_L}|[{_LEET}])){{2,}}(?!\w)"  # letters set apart
+    rf"|(?<!\w)(?=\w*?(?:({_L})\1\1)|\w*[{_LEET}]+{_L})[\w{_LEET}]*{_L}[\w{_LEET}]*"
 )
 # Longer stretches are not words but tables or keys; they are left as they are written.
 LONGEST = 64
@@ -135,30 +134,103 @@ def restore_stretch(stretch: str, lm: list) -> str:
     )[1]
 
 
+def _kinds() -> np.ndarray:
+    """Of every byte: 1 letter, 2 sign that may stand for one, 4 what may set letters apart."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[65:91] |= 1
+    kinds[97:123] |= 1
+    kinds[128:] |= 1
+    for c in READINGS:
+        kinds[ord(c)] |= 2
+    for c in b" .-_*":
+        kinds[c] |= 4
+    return kinds
+
+
+KINDS = _kinds()
+# Bytes on both sides of a suspicious place that are looked at with it, up to white space.
+AROUND = 96
+
+
+def suspicious_places(raw: np.ndarray) -> np.ndarray:
+    """Where a letter stands three times, a sign next to a letter, or letters apart."""
+    if len(raw) < 3:
+        return np.zeros(0, np.int64)
+    kind = KINDS[raw]
+    letter, sign, apart = kind & 1 > 0, kind & 2 > 0, kind & 4 > 0
+    low = raw | np.uint8(32)
+    same = low[1:] == low[:-1]
+    # two-byte letters repeat at a distance of two
+    pair = low[2:] == low[:-2]
+    found = [np.flatnonzero(same[1:] & same[:-1] & letter[2:])]
+    if len(raw) >= 6:
+        high = raw >= 128
+        found.append(np.flatnonzero(pair[:-3] & pair[1:-2] & pair[2:-1] & pair[3:] & high[:-5]))
+    found.append(np.flatnonzero(sign[:-1] & letter[1:]) )
+    if len(raw) >= 5:
+        one = letter | sign
+        found.append(np.flatnonzero(apart[:-3] & one[1:-2] & apart[2:-1] & one[3:] & letter[3:]))
+    return np.unique(np.concatenate(found))
+
+
 def restorer(lm: np.ndarray):
-    """``text -> restored text``; stretches already seen are looked up."""
+    """``text -> restored text``; only the surroundings of suspicious places are
+    searched, and stretches already seen are looked up."""
     table = lm.tolist()
     remembered = lru_cache(maxsize=50_000)(lambda s: restore_stretch(s, table))
 
     def one(match: re.Match) -> str:
         return remembered(match[0]) if len(match[0]) <= LONGEST else match[0]
 
-    return lambda text: SUSPICIOUS.sub(one, text)
+    def restore(text: str) -> str:
+        raw = text.encode("utf-8", "replace")
+        places = suspicious_places(np.frombuffer(raw, np.uint8))
+        if not len(places):
+            return text
+        gap = np.flatnonzero(np.diff(places) > 2 * AROUND)
+        out, done = [], 0
+        for first, last in zip(
+            places[np.r_[0, gap + 1]].tolist(), places[np.r_[gap, len(places) - 1]].tolist(), strict=True
+        ):
+            start = max(done, raw.rfind(b" ", 0, max(0, first - AROUND)) + 1)
+            stop = raw.find(b" ", last + AROUND)
+            stop = len(raw) if stop < 0 else stop
+            if stop <= start:
+                continue
+            out.append(raw[done:start].decode("utf-8", "replace"))
+            out.append(SUSPICIOUS.sub(one, raw[start:stop].decode("utf-8", "replace")))
+            done = stop
+        out.append(raw[done:].decode("utf-8", "replace"))
+        return "".join(out)
+
+    return restore
+
+
+def _grams(text: str) -> list[np.ndarray]:
+    """For each gram length the bucket of every run of so many bytes of the lower-cased text."""
+    b = np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)
+    b = np.concatenate([b, np.zeros(max(0, GRAMS[-1] - len(b)), np.uint8)]).astype(np.uint32)
+    h, out = np.zeros(len(b) + 1, np.uint32), []
+    for n in range(1, GRAMS[-1] + 1):
+        # a gram of n bytes is one of n - 1 bytes and the next byte
+        h = h[:-1] * np.uint32(0x01000193) + b[n - 1 :]
+        if n in GRAMS:
+            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            out.append(mixed >> np.uint32(32 - BITS))
+    return out
+
 
+def _packed(sums: np.ndarray) -> bytes:
+    return zlib.compress(sums.astype("<i8").tobytes(), 1)
 
-def _grams(text: str, n: int) -> np.ndarray:
-    """Bucket of every n bytes of the lower-cased text."""
-    b = np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)
-    b = np.concatenate([b, np.zeros(max(0, n - len(b)), np.uint8)])
-    h = np.zeros(len(b) - n + 1, np.uint32)
-    for k in range(n):
-        h = h * np.uint32(0x01000193) + b[k : len(b) - n + 1 + k]
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return h >> np.uint32(32 - BITS)
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<i8")
 
-def class_counts(labelled: DataFrame, lm: np.ndarray) -> np.ndarray:
-    """For each gram length and class: texts that hold a bucket once and twice at least.
+
+def class_counts(labelled: DataFrame, lm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each gram length and class: texts that hold a bucket once and twice at least,
+    and the grams there are.
 
     The sums travel as fixed slices, so what is shuffled depends on the number
     of tasks, not on the texts.
@@ -168,16 +240,18 @@ def class_counts(labelled: DataFrame, lm: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = restorer(lm)
         total = np.zeros((len(GRAMS), 2, 2, 1 << BITS), np.int32)
+        length = np.zeros((len(GRAMS), 2), np.int64)
         for batch in batches:
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 restored = restore(text)
-                for k, n in enumerate(GRAMS):
-                    found, times = np.unique(_grams(restored, n), return_counts=True)
+                for k, g in enumerate(_grams(restored)):
+                    found, times = np.unique(g, return_counts=True)
                     total[k, toxic, 0, found] += 1
                     total[k, toxic, 1, found[times > 1]] += 1
-        parts = total.reshape(-1, width)
+                    length[k, toxic] += len(g)
+        parts = [*total.reshape(-1, width), length]
         yield pa.record_batch(
-            [pa.array(range(len(parts))), pa.array([zlib.compress(p.tobytes(), 1) for p in parts])],
+            [pa.array(range(len(parts))), pa.array([_packed(p) for p in parts])],
             names=["part", "sums"],
         )
 
@@ -185,19 +259,19 @@ def class_counts(labelled: DataFrame, lm: np.ndarray) -> np.ndarray:
         sums: dict = {}
         for batch in batches:
             for part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(raw), np.int32)
+                sums[part] = sums.get(part, 0) + _unpacked(raw)
         if sums:
             yield pa.record_batch(
-                [pa.array(list(sums)), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()])],
+                [pa.array(list(sums)), pa.array([_packed(v) for v in sums.values()])],
                 names=["part", "sums"],
             )
 
     shape = "part long, sums binary"
     rows = labelled.mapInArrow(run, shape).repartition(8, "part").mapInArrow(add, shape).collect()
-    parts = np.zeros((len(GRAMS) * 4 * slices, width), np.int32)
-    for part, raw in rows:
-        parts[part] = np.frombuffer(zlib.decompress(raw), np.int32)
-    return parts.reshape(len(GRAMS), 2, 2, 1 << BITS)
+    found = {part: _unpacked(raw) for part, raw in rows}
+    lengths = found.pop(max(found)).reshape(len(GRAMS), 2)
+    counts = np.stack([found[i] for i in range(len(found))]).reshape(len(GRAMS), 2, 2, 1 << BITS)
+    return counts.astype(np.int32), lengths
 
 
 def _presence(one, zero, n_one: float, n_zero: float):
@@ -214,8 +288,15 @@ def _rates(one, zero, l_one: float, l_zero: float):
     return np.log(r1 / r0), r1 - r0
 
 
-def _summary(weight, evidence) -> list[float]:
-    """Strongest presence, weight of all strong ones, strongest evidence, three strongest."""
+# Grams that tell less than this of class 1 are not looked at.
+TELLING = 0.5
+
+
+def _summary(weight, ratio, evidence) -> list[float]:
+    """Strongest presence, weight of all strong ones, strongest evidence, three strongest;
+    all of the telling grams."""
+    telling = (weight > TELLING) | (ratio > TELLING)
+    weight, evidence = weight[telling], evidence[telling]
     if not len(weight):
         return [0.0] * 4
     strong = min(20.0, float(weight[weight > 2].sum()) / 2)
@@ -232,8 +313,8 @@ def own_features(text: str, counts: np.ndarray, totals: np.ndarray, lengths: np.
     """Features of a labelled text, with itself taken out of the counts: a text must
     not vouch for itself."""
     out = []
-    for k, n in enumerate(GRAMS):
-        found, times = np.unique(_grams(text, n), return_counts=True)
+    for k, g in enumerate(_grams(text)):
+        found, times = np.unique(g, return_counts=True)
         times = np.minimum(times, 2)
         held = counts[k][:, 0, found].astype(float)
         tf = held + counts[k][:, 1, found]
@@ -241,21 +322,21 @@ def own_features(text: str, counts: np.ndarray, totals: np.ndarray, lengths: np.
         held[toxic] -= 1
         tf[toxic] -= times
         texts[toxic] -= 1
-        length[toxic] = max(1.0, length[toxic] - times.sum())
+        length[toxic] = max(1.0, length[toxic] - len(g))
         ratio, more = _rates(tf[1], tf[0], length[1], length[0])
-        out += _summary(
-            _presence(held[1], held[0], texts[1], texts[0]), times * ratio - times.sum() * more
-        )
+        weight = _presence(held[1], held[0], texts[1], texts[0])
+        out += _summary(weight, ratio, times * ratio - len(g) * more)
     return out
 
 
 def text_features(text: str, tables: list[tuple]) -> list[float]:
-    """Features of any text; ``tables`` hold weight, log ratio and difference by bucket."""
+    """Features of any text; ``tables`` hold weight, log ratio, difference and whether
+    a bucket is telling."""
     out = []
-    for n, (weight, ratio, more) in zip(GRAMS, tables, strict=True):
-        found, times = np.unique(_grams(text, n), return_counts=True)
+    for g, (weight, ratio, more, telling) in zip(_grams(text), tables, strict=True):
+        found, times = np.unique(g[telling[g]], return_counts=True)
         times = np.minimum(times, 2)
-        out += _summary(weight[found], times * ratio[found] - times.sum() * more[found])
+        out += _summary(weight[found], ratio[found], times * ratio[found] - len(g) * more[found])
     return out
 
 
@@ -311,9 +392,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     model["rate"] = n_pos / len(chosen)
     if n_pos in (0, len(chosen)):
         return model
-    counts = class_counts(labelled, lm)
+    counts, lengths = class_counts(labelled, lm)
     totals = np.array([len(chosen) - n_pos, n_pos])
-    lengths = counts.sum(axis=(2, 3), dtype=np.int64)
     if not lengths.all():
         return model
     shared = spark.sparkContext.broadcast((counts, totals, lengths))
@@ -332,11 +412,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     for k in range(len(GRAMS)):
         zero, one = counts[k][:, 0].astype(float)
         zero2, one2 = zero + counts[k][0, 1], one + counts[k][1, 1]
-        tables = (
-            _presence(one, zero, totals[1], totals[0]),
-            *_rates(one2, zero2, lengths[k][1], lengths[k][0]),
-        )
-        model["weights"].append(tuple(t.astype(np.float32) for t in tables))
+        weight = _presence(one, zero, totals[1], totals[0]).astype(np.float32)
+        ratio, more = (t.astype(np.float32) for t in _rates(one2, zero2, lengths[k][1], lengths[k][0]))
+        model["weights"].append((weight, ratio, more, (weight > TELLING) | (ratio > TELLING)))
     return model
 
 
