@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, packing, simhash, toxicity
+from corpusloom.llm import decontamination, packing, simhash, surrogates, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -72,3 +72,13 @@ def _(spark, folder):
     return decontamination.contained(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
     )
+
+
+# A fixed key makes the query repeatable; a real run brings a secret of its own.
+SURROGATE_KEY = "corpusloom"
+
+
+@query("op3_surrogates")
+def _(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, SURROGATE_KEY)
