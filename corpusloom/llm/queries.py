@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, packing, simhash, surrogates, toxicity
+from corpusloom.llm import decontamination, licenses, packing, simhash, surrogates, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -82,3 +82,8 @@ SURROGATE_KEY = "corpusloom"
 def _(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return surrogates.pseudonymise(docs, SURROGATE_KEY)
+
+
+@query("op7_license_signatures")
+def _(spark, folder):
+    return licenses.scan(_table(spark, folder, "documents"))

@@ -34,7 +34,7 @@ MALE = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|Г-н"
 FEMALE = r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme\.?|Señora|Sra\.|Г-жа"
 OPEN = r"Dr\.?|Prof\.?"
 PERSON = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{OPEN})[  ]\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-ENTITY = "|".join([EMAIL, KEY_ID, SECRET, PERSON, SSN, CARD, PHONE, IP])
+ENTITY = "|".join([EMAIL, KEY_ID, SECRET, PERSON, SSN, CARD, IP, PHONE])
 # What every entity has: a digit, a sign or a title; texts without are left alone at once.
 HINT = rf"[0-9@]|(?i:password|passwd|secret|token|api_?key)|(?:{MALE}|{FEMALE}|{OPEN})[  ]"
 
