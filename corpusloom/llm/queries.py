@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, licenses, packing, simhash, surrogates, toxicity
+from corpusloom.llm import crosspolytope, decontamination, licenses, packing, simhash, surrogates, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -87,3 +87,9 @@ def _(spark, folder):
 @query("op7_license_signatures")
 def _(spark, folder):
     return licenses.scan(_table(spark, folder, "documents"))
+
+
+@query("op6_cross_polytope_neighbours")
+def _(spark, folder):
+    vectors = _table(spark, folder, "embeddings")
+    return crosspolytope.search(vectors, vectors.where("vec_id % 20 = 0"))
