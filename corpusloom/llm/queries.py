@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import crosspolytope, decontamination, licenses, packing, simhash, surrogates, toxicity
+from corpusloom.llm import crosspolytope, decontamination, kneserney, licenses, packing, simhash, surrogates, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -93,3 +93,19 @@ def _(spark, folder):
 def _(spark, folder):
     vectors = _table(spark, folder, "embeddings")
     return crosspolytope.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op8_kneser_ney_scores")
+def _(spark, folder):
+    docs = _table(spark, folder, "documents")
+    model = kneserney.train(docs.where(~kneserney.held_out()))
+    return kneserney.perplexity(kneserney.score(docs, model)).select(
+        "doc_id",
+        F.coalesce(kneserney.held_out(), F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model["tokens"]).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        "perplexity",
+    )
