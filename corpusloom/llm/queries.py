@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import crosspolytope, decontamination, kneserney, licenses, packing, simhash, surrogates, toxicity
+from corpusloom.llm import crosspolytope, decontamination, kneserney, licenses, packing, simhash, suffixes, surrogates, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -109,3 +109,8 @@ def _(spark, folder):
         "score",
         "perplexity",
     )
+
+
+@query("op2_repeated_strings")
+def _(spark, folder):
+    return suffixes.remove_repeats(_table(spark, folder, "documents"))
