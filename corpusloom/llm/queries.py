@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import crosspolytope, decontamination, kneserney, licenses, packing, simhash, suffixes, surrogates, toxicity
+from corpusloom.llm import crosspolytope, decontamination, fixity, kneserney, licenses, packing, simhash, suffixes, surrogates, toxicity
+from corpusloom.session import materialise
 
 QUERIES, ORACLES = {}, {}
 
@@ -114,3 +115,49 @@ def _(spark, folder):
 @query("op2_repeated_strings")
 def _(spark, folder):
     return suffixes.remove_repeats(_table(spark, folder, "documents"))
+
+
+# The tables hold no second copy of the pages, so the replica is the pages with
+# bit rot: one byte of some records is another, and some records are lost.
+_ROTTEN = "coalesce(page_id % 53 = 0, false)"
+_LOST = "coalesce(page_id % 211 = 1, false)"
+
+
+_CRLF = "chr(13) || chr(10)"
+
+
+@query(
+    "op1_merkle_fixity",
+    f"""WITH r AS (SELECT page_id,
+          'WARC/1.1' || {_CRLF} || 'WARC-Type: resource' || {_CRLF}
+          || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || {_CRLF}
+          || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF} || 'Content-Type: text/html' || {_CRLF}
+          || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} || {_CRLF}
+          || coalesce(html, '') || {_CRLF} || chr(13) AS most
+        FROM pages),
+      o AS (SELECT page_id, most, CAST(strlen(most) + 1 AS BIGINT) AS length,
+          sha256(most || chr(10)) AS expected FROM r),
+      p AS (SELECT *, CAST(coalesce(sum(length) OVER (ORDER BY page_id, expected
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM o)
+    SELECT start AS "offset", length, expected,
+      CASE WHEN page_id % 211 = 1 THEN NULL ELSE sha256(most || '?') END AS found,
+      CASE WHEN page_id % 211 = 1 THEN 'missing' ELSE 'damaged' END AS fault
+    FROM p WHERE page_id % 53 = 0 OR page_id % 211 = 1""",
+)
+def _(spark, folder):
+    pages = _table(spark, folder, "pages")
+    record = fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    raw = pages.select("page_id", record.alias("record"))
+    # the last byte of a record that rots becomes another
+    rotten = F.overlay("record", F.encode(F.lit("?"), "UTF-8"), F.length("record"))
+    hashed = raw.select(
+        "page_id",
+        F.sha2("record", 256).alias("digest"),
+        F.when(F.expr(_ROTTEN), F.sha2(rotten, 256)).otherwise(F.sha2("record", 256)).alias("copy"),
+        F.length("record").cast("long").alias("length"),
+    )
+    placed = materialise(fixity.lay_out(hashed, ["page_id", "digest", "copy"], "length"), "fixity-records")
+    return fixity.audit_replicas(
+        placed.select("offset", "length", "digest"),
+        placed.where(f"NOT {_LOST}").select("offset", "length", F.col("copy").alias("digest")),
+    )
