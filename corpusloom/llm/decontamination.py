@@ -99,3 +99,15 @@ def contained(
         .withColumn("containment", F.col("n_shared") / F.col("n_item"))
     )
     return shared.where(F.col("containment") >= threshold - 1e-9)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose text holds no test item.
+
+    Rows are told apart by their text, so ids may be null or repeated; rows
+    with a null text stay.
+    """
+    keyed = docs.withColumn("_text_key", F.sha2("text", 256))
+    found = contained(keyed, items, "_text_key", "text", threshold).select("_text_key").distinct()
+    held = materialise(found, "contained-texts")
+    return keyed.join(bounded.checked(held), "_text_key", "left_anti").select(docs.columns)

@@ -103,33 +103,43 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def within(queries: np.ndarray, planes: np.ndarray, word: np.ndarray, member: np.ndarray):
-    """Lanes at most 3 bits away: one word of answers for each (query, word of members).
+def within(
+    queries: np.ndarray, planes: np.ndarray, word: np.ndarray, member: np.ndarray, radius: int = RADIUS
+) -> np.ndarray:
+    """Lanes at most ``radius`` bits away: one word of answers for each (query, word of members).
 
     ``planes[b, w]`` has bit b of the 64 members of word w.  ``member`` says
-    which query meets which ``word``.  Ones, twos and an overflow are carry-save
-    counters; words whose lanes have all overflowed are left out from then on.
+    which query meets which ``word``.  The bits of the counts and an overflow
+    are carry-save counters; words whose lanes have all overflowed are left out
+    from then on.
     """
-    n = len(word)
+    n, digits = len(word), radius.bit_length()
     alive = np.arange(n)
-    ones, twos, over = (np.zeros(n, np.uint64) for _ in range(3))
+    count = [np.zeros(n, np.uint64) for _ in range(digits)]
+    over = np.zeros(n, np.uint64)
     q, w = queries[member], word
     answer = np.zeros(n, np.uint64)
     for bit in range(64):
-        x = planes[bit][w] ^ (np.uint64(0) - (q >> np.uint64(bit) & np.uint64(1)))
-        carry = ones & x
-        ones ^= x
-        over |= twos & carry
-        twos ^= carry
+        carry = planes[bit][w] ^ (np.uint64(0) - (q >> np.uint64(bit) & np.uint64(1)))
+        for k in range(digits):
+            count[k], carry = count[k] ^ carry, count[k] & carry
+        over |= carry
         if bit % 8 == 7:
             open_ = over != np.uint64(FULL)
             if not open_.all():
-                alive, ones, twos, over, q, w = (
-                    v[open_] for v in (alive, ones, twos, over, q, w)
-                )
+                alive, over, q, w = (v[open_] for v in (alive, over, q, w))
+                count = [c[open_] for c in count]
             if not len(alive):
                 return answer
-    answer[alive] = ~over
+    # lanes whose count is larger than the radius, compared from the highest digit
+    larger, equal = np.zeros(len(alive), np.uint64), np.full(len(alive), FULL, np.uint64)
+    for k in reversed(range(digits)):
+        if radius >> k & 1:
+            equal &= count[k]
+        else:
+            larger |= equal & count[k]
+            equal &= ~count[k]
+    answer[alive] = ~(over | larger)
     return answer
 
 
@@ -147,10 +157,11 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def linked_within(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    """For each row the first row of its own key that links of at most 3 bits lead to.
+def linked_within(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS, confirm=None) -> np.ndarray:
+    """For each row the first row of its own key that links of at most ``radius`` bits lead to.
 
-    Rows of a key are neighbours in ``keys``.
+    Rows of a key are neighbours in ``keys``.  ``confirm`` may turn down links:
+    it takes two arrays of rows.
     """
     n = len(fps)
     parent = np.arange(n)
@@ -185,11 +196,17 @@ def linked_within(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
         member = np.repeat(part, meets[part])
         which = np.arange(len(member)) - np.repeat(np.cumsum(meets[part]) - meets[part], meets[part])
         w = first_word[run[member]] + which
-        near = within(fps[row], planes, w, member) & valid[w]
+        near = within(fps[row], planes, w, member, radius) & valid[w]
         hit = np.flatnonzero(near)
         bits = np.unpackbits(near[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         i, k = np.nonzero(bits)
-        _join(parent, row[member[hit[i]]], first_row[w[hit[i]]] + k)
+        a, b = row[member[hit[i]]], first_row[w[hit[i]]] + k
+        if confirm is not None:
+            # rows that earlier links have joined need no more
+            a, b = (x[parent[a] != parent[b]] for x in (a, b))
+            good = confirm(a, b)
+            a, b = a[good], b[good]
+        _join(parent, a, b)
         at = stop
     return parent
 

@@ -1,0 +1,184 @@
+"""Near-duplicate texts: SimHash on bit planes among texts that share min-hashes.
+
+Five-word shingles with a similarity of 0.8 leave fingerprints that differ in
+about ten of 64 bits, too many for tables keyed by bits of the fingerprint.
+So candidates meet in bands of two min-hashes; within a band the fingerprints
+are compared bit-sliced, words of 64 at a time, at a distance that pairs of
+that similarity hardly exceed; and what is left is confirmed by 128 min-hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.llm.components import connected
+from corpusloom.llm.simhash import linked_within
+from corpusloom.session import materialise
+
+SHINGLE = 5
+SIMILARITY = 0.8
+# Expected distance at similarity 0.8 is 10 of 64 bits, with a deviation below 3.
+RADIUS = 22
+HASHES = 128
+# At 0.8 a pair misses all of 12 bands of 2 with probability 0.36 ** 12, about 5e-6.
+BANDS, MORE_BANDS = 12, 20
+GROUP = 4096
+SEED = 42
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Different hashes of the shingles of the lower-cased (A-Z) text; fewer words are one shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    start = np.r_[0, end[:-1] + 1]
+    n = max(1, len(words) - shingle + 1)
+    last = end[-n:] if n > 1 else end[-1:]
+    hashes = (xxh64_intdigest(joined[a:b]) for a, b in zip(start[:n].tolist(), last.tolist()))
+    return np.unique(np.fromiter(hashes, np.uint64, n))
+
+
+def _sketch(h: np.ndarray, factors: np.ndarray) -> tuple[int, np.ndarray]:
+    """(SimHash, least value of each of the hashes) of a set of shingle hashes."""
+    bits = np.zeros(64, np.int64)
+    least = np.full(len(factors), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(h), 4096):
+        part = h[at : at + 4096]
+        bits += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        turned = (part[:, None] ^ (part[:, None] >> np.uint64(31))) * factors[None, :]
+        least = np.minimum(least, (turned ^ (turned >> np.uint64(32))).min(axis=0))
+    return int.from_bytes(np.packbits(2 * bits > len(h)).tobytes(), "big"), least
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, tx, fp, bands, signature)`` of every text; ``tx`` tells texts apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        factors = np.random.default_rng(SEED).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        mix = np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                fp, least = _sketch(shingle_hashes(text), factors)
+                pairs = least[: 2 * (BANDS + MORE_BANDS)].reshape(-1, 2)
+                bands = (pairs[:, 0] * mix + pairs[:, 1]) * mix
+                rows.append(
+                    (xxh64_intdigest((text or "").encode("utf-8", "replace"), 42), fp, bands.view(np.int64),
+                     (least & np.uint64(255)).astype(np.uint8).tobytes())
+                )
+            tx, fp, bands, signature = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.record_batch(
+                [
+                    batch.column(0),
+                    pa.array(np.array(tx, np.uint64).view(np.int64)),
+                    pa.array(np.array(fp, np.uint64).view(np.int64)),
+                    pa.array([b.tolist() for b in bands], pa.list_(pa.int64())),
+                    pa.array(signature, pa.binary()),
+                ],
+                names=["doc_id", "tx", "fp", "bands", "signature"],
+            )
+
+    shape = "doc_id long, tx long, fp long, bands array<long>, signature binary"
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, shape)
+
+
+def _confirmed_links(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        if not table.num_rows:
+            return
+        band, key, fp, tx = (table.column(c).to_numpy() for c in ("band", "key", "fp", "tx"))
+        order = np.lexsort((tx, key, band))
+        band, key, fp, tx = band[order], key[order], fp[order], tx[order]
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8)
+        signature = signature.reshape(-1, HASHES)[order]
+
+        def confirm(i: np.ndarray, k: np.ndarray) -> np.ndarray:
+            agree = np.empty(len(i))
+            for at in range(0, len(i), 1 << 16):
+                agree[at : at + (1 << 16)] = (
+                    signature[i[at : at + (1 << 16)]] == signature[k[at : at + (1 << 16)]]
+                ).mean(axis=1)
+            # one byte of a min-hash agrees by chance now and then
+            return (agree - 1 / 256) / (255 / 256) >= similarity
+
+        change = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])]
+        parent = linked_within(np.cumsum(change), fp.view(np.uint64), RADIUS, confirm)
+        far = parent != np.arange(len(parent))
+        yield pa.record_batch([pa.array(tx[far]), pa.array(tx[parent[far]])], names=["u", "v"])
+
+    return run
+
+
+def groups(
+    docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, tx, component)`` of every row; equal texts and chains of similar ones share it."""
+    marked = materialise(sketches(docs, id_col, text_col), "similar-sketches")
+    names = ["tx", "fp", "bands", "signature"]
+    narrow = marked.select("tx", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "key")).distinct()
+    narrow = materialise(narrow, "similar-bands")
+    # most texts meet no other one
+    shared = narrow.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(shared, "similar-shared")
+    met = narrow.join(shared, ["band", "key"]).select("tx", "band", "key", "n")
+    met = materialise(met, "similar-met")
+    company = marked.join(met.select("tx").distinct(), "tx", "left_semi")
+    distinct = materialise(company.select(*names).dropDuplicates(["tx"]), "similar-distinct")
+    rows = distinct.join(met, "tx")
+    cold = rows.where(F.col("n") <= GROUP).select("band", "key", "tx", "fp", "signature")
+    # a band that very many share is dealt out by further bands
+    hot = rows.where(F.col("n") > GROUP).select(
+        "band", "key", "tx", "fp", "signature",
+        F.posexplode(F.slice("bands", BANDS + 1, MORE_BANDS)).alias("more", "further"),
+    )
+    hot = hot.select(
+        ((F.col("band") + 1) * 1000 + F.col("more")).alias("band"),
+        F.xxhash64("key", "further").alias("key"), "tx", "fp", "signature",
+    )
+    links = cold.unionByName(hot).repartition("band", "key").mapInArrow(
+        _confirmed_links(similarity), "u long, v long"
+    )
+    found = connected(links)
+    return marked.join(found, F.col("tx") == F.col("node"), "left").select(
+        "doc_id", "tx", F.coalesce("component", "tx").alias("component")
+    )
+
+
+def keep_one(
+    docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest id, all its columns.
+
+    Rows without an id come last; of wholly equal ids and texts one row stays.
+    Texts without words (null, empty, blank) are one group.
+    """
+    found = materialise(groups(docs, similarity, id_col, text_col), "similar-groups")
+    rows = found.groupBy("component", "doc_id", "tx").agg(F.count("*").alias("copies"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tx", "copies")
+    kept = rows.groupBy("component").agg(F.min(first).alias("first"))
+    kept = kept.select(
+        F.col("first.doc_id").alias("_kept_id"), F.col("first.tx").alias("_kept_tx"), "first.copies"
+    )
+    kept = materialise(kept, "similar-kept")
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+    def held(chosen: DataFrame) -> DataFrame:
+        same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (text == F.col("_kept_tx"))
+        return docs.join(chosen, same, "left_semi")
+
+    single, several = kept.where("copies = 1"), kept.where("copies > 1")
+    if several.isEmpty():
+        return held(single)
+    return held(single).unionByName(held(several).dropDuplicates([id_col, text_col]))

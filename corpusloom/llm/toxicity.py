@@ -418,36 +418,55 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     return model
 
 
-def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, score, restored, ...)``: the score from 0 to 1 of every whole text.
+def _scorer(model: dict, weights):
+    """``text -> (score, whether it was rewritten)`` within a task."""
+    restore, beta = restorer(model["lm"]), model["beta"]
 
-    ``restored`` counts the stretches that were rewritten.  A null text is
-    scored as an empty one; ids may be null or repeated.  Without labels of
-    both classes every score is the share of class 1 among those there are, or 0.
+    def one(text: str | None) -> tuple[float, bool]:
+        text = text or ""
+        clear = restore(text)
+        if beta is None:
+            return model["rate"], clear != text
+        z = float(np.dot(beta[:-1], text_features(clear, weights.value)) + beta[-1])
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), clear != text
+
+    return one
+
+
+def keep_clean(docs: DataFrame, model: dict, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below ``threshold``."""
+    small = {k: v for k, v in model.items() if k != "weights"}
+    weights = docs.sparkSession.sparkContext.broadcast(model["weights"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_of = _scorer(small, weights)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([score_of(t)[0] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """``(doc_id, score, restored)``: the score from 0 to 1 of every whole text, and
+    whether stretches of it were rewritten.
+
+    A null text is scored as an empty one; ids may be null or repeated.  Without
+    labels of both classes every score is the share of class 1 among those there are, or 0.
     """
-    lm, beta, rate = model["lm"], model["beta"], model["rate"]
+    small = {k: v for k, v in model.items() if k != "weights"}
     weights = docs.sparkSession.sparkContext.broadcast(model["weights"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = restorer(lm)
+        score_of = _scorer(small, weights)
         for batch in batches:
-            scores, changed = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                clear = restore(text)
-                changed.append(clear != text)
-                if beta is None:
-                    scores.append(rate)
-                    continue
-                x = text_features(clear, weights.value)
-                z = float(np.dot(beta[:-1], x) + beta[-1])
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(changed, pa.bool_())]
-                + [batch.column(c) for c in keep],
-                names=["doc_id", "score", "restored", *keep],
+            found = [score_of(t) for t in batch.column(1).to_pylist()]
+            scores, changed = zip(*found, strict=True) if found else ((), ())
+            yield pa.record_batch(
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array(changed, pa.bool_())],
+                names=["doc_id", "score", "restored"],
             )
 
-    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in keep if c != "text"]]
-    return docs.select(*columns).mapInArrow(run, f"doc_id long, score double, restored boolean{kept}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, score double, restored boolean"
+    )
