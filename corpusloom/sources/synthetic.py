@@ -7,33 +7,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import keys
 
-# Our own wording: (openers, steps, closers); %s is the topic.
-HYPE = (
-    [
-        "Nobody is ready for what is coming in %s.",
-        "One weekend with %s changed my whole career.",
-        "Forget all you were taught about %s.",
-    ],
-    "1. Ask the machine\n2. Tidy the answer\n3. Ship it tonight",
-    [
-        "Send this to a friend who is still waiting.",
-        "Those who start now will own the field.",
-        "More of this every morning, so stay close.",
-    ],
-)
-SUBSTANCE = (
-    [
-        "Notes from a year of work on %s.",
-        "What we measured when we tried %s, and what it cost.",
-        "Two assumptions about %s that did not hold.",
-    ],
-    "- Plan for the failing case first\n- Old documents mislead\n- Measure on your own load",
-    [
-        "The hard part was the part we had not budgeted for.",
-        "It holds most days, and we know why on the others.",
-        "The prototype told us little about the real thing.",
-    ],
-)
+# A post is one line whose parts are drawn from these slots; numbers are drawn as well.
+# Promises: what is said of the topic, who says so, what it is said to bring.
+PROMISES = {
+    "praise": ["the best kept trick", "a small miracle", "pure gold", "the end of all worry"],
+    "witness": ["my neighbour", "a retired engineer", "half of our street", "the man at the market"],
+    "gain": ["saves you a fortune", "doubles everything", "never fails"],
+}
+# Reports: where it was looked at, what came out, what stays open.
+REPORTS = {
+    "site": ["the north depot", "two villages", "a rented hall", "our own stock", "the old mill"],
+    "result": ["costs fell a little", "no change was seen", "losses rose in winter"],
+    "gap": ["Summer is not covered.", "One meter was broken.", "Nobody has repeated it yet."],
+}
 DEFAULT_TOPICS = ["garden planning", "home insurance", "rail timetables", "cold storage"]
 
 
@@ -48,10 +34,23 @@ def _pick(options: list[str], seed: int, role: str, row: Column) -> Column:
     return F.element_at(listed, (number % len(options) + 1).cast("int"))
 
 
-def post_text(kind: tuple, topic: Column, row: Column, seed: int) -> Column:
-    openers, steps, closers = kind
-    opener = F.replace(_pick(openers, seed, "opener", row), F.lit("%s"), topic)
-    return F.concat_ws("\n\n", opener, F.lit(steps), _pick(closers, seed, "closer", row))
+def _number(seed: int, row: Column, low: int, span: int) -> Column:
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:number"), row.cast("string"))), 1, 8)
+    return (F.conv(digits, 16, 10).cast("long") % span + low).cast("string")
+
+
+def post_text(slots: dict[str, list[str]], topic: Column, row: Column, seed: int) -> Column:
+    """One line about the topic, with one choice for each slot and one number."""
+    part = {name: _pick(options, seed, name, row) for name, options in slots.items()}
+    if "praise" in part:
+        return F.concat(
+            part["witness"], F.lit(" calls "), topic, F.lit(" "), part["praise"], F.lit(": it "),
+            part["gain"], F.lit(" within "), _number(seed, row, 2, 9), F.lit(" days!"),
+        )
+    return F.concat(
+        F.lit("On "), topic, F.lit(", from "), part["site"], F.lit(" ("), _number(seed, row, 10, 90),
+        F.lit(" samples): "), part["result"], F.lit(". "), part["gap"],
+    )
 
 
 def posts_about(topics: DataFrame, seed: int = keys.SEED) -> DataFrame:
@@ -60,12 +59,12 @@ def posts_about(topics: DataFrame, seed: int = keys.SEED) -> DataFrame:
         *[
             F.struct(
                 (F.col("row_id") * 2 + (1 - label)).alias("row_id"),
-                post_text(kind, F.col("topic"), F.col("row_id") * 2 + (1 - label), seed).alias(
+                post_text(slots, F.col("topic"), F.col("row_id") * 2 + (1 - label), seed).alias(
                     "text"
                 ),
                 F.lit(label).alias("is_bs"),
             )
-            for label, kind in ((1, HYPE), (0, SUBSTANCE))
+            for label, slots in ((1, PROMISES), (0, REPORTS))
         ]
     )
     return topics.select(F.inline(both))

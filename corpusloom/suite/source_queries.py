@@ -50,7 +50,10 @@ def write_feeds(t, tag: str):
     items = t.documents.select(
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "doc_id").alias("link"),
         F.concat(F.lit("Item "), "doc_id").alias("title"),
-        F.lit("Mon, 01 Jan 2024 00:00:00 GMT").alias("pubDate"),
+        F.date_format(
+            F.date_add(F.lit("2023-06-01").cast("date"), (F.col("doc_id") * 7 % 300).cast("int")),
+            "EEE, dd MMM yyyy '10:00:00 GMT'",
+        ).alias("pubDate"),
         # signs that XML cannot carry
         F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\r]", "").alias("description"),
         F.col("doc_id").cast("string").alias("guid"),
@@ -67,10 +70,12 @@ FEED_TEXT = r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\r]', '', 'g')"
 
 def feed_sql(cap: int) -> str:
     return f"""fd AS (SELECT doc_id, source, {FEED_TEXT} AS text FROM documents),
-    fc AS (SELECT * FROM fd QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= {cap}),
+    fc AS (SELECT * FROM fd QUALIFY row_number() OVER (PARTITION BY source
+      ORDER BY doc_id * 7 % 300 DESC, doc_id) <= {cap}),
     feed AS (SELECT 'source=' || source AS feed, doc_id AS entry_id,
       'https://' || source || '.example.com/' || doc_id AS url, 'Item ' || doc_id AS title,
-      'Mon, 01 Jan 2024 00:00:00 GMT' AS date, left(text, 1000) AS text
+      strftime(DATE '2023-06-01' + CAST(doc_id * 7 % 300 AS INTEGER), '%a, %d %b %Y 10:00:00 GMT') AS date,
+      left(text, 1000) AS text
       FROM fc WHERE length(text) > 200)"""
 
 
@@ -169,30 +174,31 @@ def _(t):
     return pages.extract_articles(t.pages)
 
 
+def _drawn(role: str) -> str:
+    return f"CAST('0x' || substr(md5('42:{role}:' || row_id), 1, 8) AS BIGINT)"
+
+
+def _slot(role: str, *options: str) -> str:
+    listed = ", ".join(f"'{o}'" for o in options)
+    return f"([{listed}])[{_drawn(role)} % {len(options)} + 1]"
+
+
 @query(
     "s08_synthetic_posts",
-    """WITH b AS (SELECT doc_id * 2 + (1 - label) AS row_id, source AS topic, label
-             FROM documents, (VALUES (1), (0)) AS l(label)),
-    k AS (SELECT *, CAST('0x' || substr(md5('42:opener:' || row_id), 1, 8) AS BIGINT) % 3 AS o,
-                    CAST('0x' || substr(md5('42:closer:' || row_id), 1, 8) AS BIGINT) % 3 AS c FROM b)
-    SELECT row_id, CAST(label AS INTEGER) AS is_bs, replace(CASE WHEN label = 1 THEN
-        CASE o WHEN 0 THEN 'Nobody is ready for what is coming in %s.'
-               WHEN 1 THEN 'One weekend with %s changed my whole career.'
-               ELSE 'Forget all you were taught about %s.' END ELSE
-        CASE o WHEN 0 THEN 'Notes from a year of work on %s.'
-               WHEN 1 THEN 'What we measured when we tried %s, and what it cost.'
-               ELSE 'Two assumptions about %s that did not hold.' END END, '%s', topic)
-      || chr(10) || chr(10) || CASE WHEN label = 1
-        THEN '1. Ask the machine' || chr(10) || '2. Tidy the answer' || chr(10) || '3. Ship it tonight'
-        ELSE '- Plan for the failing case first' || chr(10) || '- Old documents mislead' || chr(10)
-          || '- Measure on your own load' END
-      || chr(10) || chr(10) || CASE WHEN label = 1 THEN
-        CASE c WHEN 0 THEN 'Send this to a friend who is still waiting.'
-               WHEN 1 THEN 'Those who start now will own the field.'
-               ELSE 'More of this every morning, so stay close.' END ELSE
-        CASE c WHEN 0 THEN 'The hard part was the part we had not budgeted for.'
-               WHEN 1 THEN 'It holds most days, and we know why on the others.'
-               ELSE 'The prototype told us little about the real thing.' END END AS text FROM k""",
+    f"""WITH b AS (SELECT doc_id * 2 + (1 - label) AS row_id, source AS topic, label
+             FROM documents, (VALUES (1), (0)) AS l(label))
+    SELECT row_id, CAST(label AS INTEGER) AS is_bs, CASE WHEN label = 1 THEN
+      {_slot('witness', 'my neighbour', 'a retired engineer', 'half of our street', 'the man at the market')}
+      || ' calls ' || topic || ' '
+      || {_slot('praise', 'the best kept trick', 'a small miracle', 'pure gold', 'the end of all worry')}
+      || ': it ' || {_slot('gain', 'saves you a fortune', 'doubles everything', 'never fails')}
+      || ' within ' || ({_drawn('number')} % 9 + 2) || ' days!'
+    ELSE 'On ' || topic || ', from '
+      || {_slot('site', 'the north depot', 'two villages', 'a rented hall', 'our own stock', 'the old mill')}
+      || ' (' || ({_drawn('number')} % 90 + 10) || ' samples): '
+      || {_slot('result', 'costs fell a little', 'no change was seen', 'losses rose in winter')} || '. '
+      || {_slot('gap', 'Summer is not covered.', 'One meter was broken.', 'Nobody has repeated it yet.')}
+    END AS text FROM b""",
 )
 def _(t):
     return synthetic.posts_about(
