@@ -57,7 +57,9 @@ def extract_entities(
     part of the expression; a larger one is joined by word.
     """
     if isinstance(gazetteer, DataFrame):
-        rows = small_rows(gazetteer.select("word", "entity_group"))
+        # a word listed in several groups has the first of them, however long the list is
+        gazetteer = gazetteer.groupBy("word").agg(F.min("entity_group").alias("entity_group"))
+        rows = small_rows(gazetteer)
         if rows is None:
             return _extract_by_join(df, gazetteer, text_col, id_col, out_col)
         gazetteer = {r["word"]: r["entity_group"] for r in rows}

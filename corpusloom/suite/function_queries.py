@@ -111,7 +111,10 @@ def _(t):
 
 @query(
     "f10_normalise_host",
-    "SELECT page_id, replace(replace(lower(url), 'https://', ''), 'http://', '') AS host FROM pages",
+    "SELECT page_id, rtrim_one AS host FROM (SELECT page_id, CASE WHEN bare LIKE '%/' "
+    "THEN substr(bare, 1, length(bare) - 1) ELSE bare END AS rtrim_one FROM (SELECT page_id, "
+    "CASE WHEN lower(url) LIKE 'https://%' THEN substr(lower(url), 9) "
+    "WHEN lower(url) LIKE 'http://%' THEN substr(lower(url), 8) ELSE lower(url) END AS bare FROM pages))",
 )
 def _(t):
     return t.pages.select("page_id", urls.normalise_host(F.col("url")).alias("host"))
@@ -141,7 +144,7 @@ def _(t):
 VOCABULARY = f"""lists AS (SELECT doc_id, regexp_extract_all(lower(text), '{S.TOK}') AS ts FROM documents),
     vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS INTEGER)
       AS id FROM (SELECT unnest(ts) AS token FROM lists) GROUP BY token
-      ORDER BY count(*) DESC, token LIMIT 2000)"""
+      ORDER BY count(*) DESC, token LIMIT 30000)"""
 
 
 @query(
@@ -159,7 +162,7 @@ VOCABULARY = f"""lists AS (SELECT doc_id, regexp_extract_all(lower(text), '{S.TO
 )
 def _(t):
     docs = t.documents.select("doc_id", "text")
-    encoded = prepare.encode(docs, prepare.token_vocabulary(docs, size=2000), id_col="doc_id")
+    encoded = prepare.encode(docs, prepare.token_vocabulary(docs), id_col="doc_id")
     return encoded.select(
         "doc_id",
         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
