@@ -28,25 +28,35 @@ def keep_first(df: DataFrame, text_col: str = "text", id_col: str = "row_id") ->
 def first_n(df: DataFrame, origin: str | list[str], n: int, order_col: str = "row_id") -> DataFrame:
     """The first ``n`` rows of every origin.
 
+    Rows with one order value follow the hash of all their columns; only wholly
+    equal rows stand or fall together.
     Works out each origin's n-th smallest order value from two narrow columns,
     in salted and then in merged groups, and filters the wide rows by it: no
     text is shuffled and no origin is ranked as one group.
     """
     origin = [origin] if isinstance(origin, str) else list(origin)
-    narrow = df.select(*origin, order_col).withColumn(
-        "_salt", F.pmod(F.xxhash64(order_col), F.lit(FIRST_N_SALTS))
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    place = F.struct(F.col(order_col).alias("by"), whole.alias("tie"))
+    narrow = df.select(*origin, place.alias("_place")).withColumn(
+        "_salt", F.pmod(F.col("_place.tie"), F.lit(FIRST_N_SALTS))
     )
-    salted = Window.partitionBy(*origin, "_salt").orderBy(order_col)
-    merged = Window.partitionBy(*origin).orderBy(order_col)
+    salted = Window.partitionBy(*origin, "_salt").orderBy("_place")
+    merged = Window.partitionBy(*origin).orderBy("_place")
     cut = (
         narrow.withColumn("_r", F.row_number().over(salted))
         .filter(F.col("_r") <= n)
         .withColumn("_r", F.row_number().over(merged))
         .filter(F.col("_r") <= n)
         .groupBy(*origin)
-        .agg(F.max(order_col).alias("_cut"))
+        .agg(F.max("_place").alias("_cut"))
     )
-    return join_checked(df, cut, origin).filter(F.col(order_col) <= F.col("_cut")).drop("_cut")
+    before = F.col(order_col) < F.col("_cut.by")
+    same = F.col(order_col).eqNullSafe(F.col("_cut.by"))
+    # the hash is looked at for rows at the cut only
+    kept = F.when(same, whole <= F.col("_cut.tie")).otherwise(
+        F.coalesce(before, F.col(order_col).isNull())
+    )
+    return join_checked(df, cut, origin).filter(kept).drop("_cut")
 
 
 def top_k_per_class(

@@ -60,7 +60,10 @@ def page_rows(
 def feed_rows(legit: DataFrame, bs: DataFrame, max_articles: int = 1000) -> DataFrame:
     """Feed articles labelled by the list their feed is on."""
     # entry ids are any text and unique within a feed only: 60 bits of a digest
-    digest = F.md5(F.concat_ws("|", "feed", "entry_id", "url"))
+    # both may be missing; title, date and text then tell entries apart
+    parts = ["feed", "entry_id", "url", "title", "date", "text"]
+    spelled = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("~")) for c in parts]
+    digest = F.md5(F.concat_ws("|", *spelled))
     entry = F.conv(F.substring(digest, 1, 15), 16, 10)
     labelled = unions.labelled_union(
         feeds.feed_articles(bs, max_articles), feeds.feed_articles(legit, max_articles)

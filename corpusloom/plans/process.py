@@ -14,6 +14,7 @@ from corpusloom.schemas import require
 from corpusloom.session import materialise, spread
 from corpusloom.sources import audit, files
 
+# ---- fixed values -------------------------------------------------------
 RECIPE_1 = {
     "splitting": {
         "train_ratio": 0.9,
@@ -35,9 +36,28 @@ RECIPE_2 = {
         "normalize_text_length": {"enabled": True, "min_tokens": 150, "max_tokens": 1000},
         "clean_text": True,
         "mask_entities": {"enabled": True},
-        "filter_low_lexical_diversity": {"enabled": True, "min_hdd_threshold": 0.7},
+        "filter_low_lexical_diversity": {"enabled": True, "min_hhd_threshold": 0.7},
     },
 }
+# ---- end of fixed values ------------------------------------------------
+_STEP_KEYS = {
+    "remove_duplicates": {"enabled"},
+    "normalize_text_length": {"enabled", "min_tokens", "max_tokens"},
+    "clean_text": {"enabled"},
+    "mask_entities": {"enabled", "entity_types"},
+    # the threshold goes by either spelling
+    "filter_low_lexical_diversity": {"enabled", "min_hhd_threshold", "min_hdd_threshold"},
+}
+
+
+def check_steps(steps: Mapping) -> None:
+    """Unknown steps and keys are errors: a misspelt threshold must not pass for the default."""
+    for name, step in steps.items():
+        if name not in _STEP_KEYS:
+            raise ValueError(f"unknown processing step {name}")
+        unknown = set(step) - _STEP_KEYS[name] if isinstance(step, Mapping) else set()
+        if unknown:
+            raise ValueError(f"{name} has no {sorted(unknown)}")
 
 
 def scaled(recipe: Mapping, min_topic_size: int, sample_n: int, **lengths) -> dict:
@@ -90,6 +110,7 @@ def staged(df: DataFrame, steps: Mapping, text_col: str = "text", id_col: str =
     Nothing is filtered yet, so one pass serves the result and its audit; later
     steps are not evaluated on rows that an earlier step dropped.
     """
+    check_steps(steps)
     never = F.lit(False)
     alive = F.lit(True)
     stages = []
@@ -133,7 +154,8 @@ def staged(df: DataFrame, steps: Mapping, text_col: str = "text", id_col: str =
         stages.append(("mask_entities", alive, alive, F.col("_mask")))
     diversity = steps.get("filter_low_lexical_diversity", {})
     if _enabled(diversity):
-        rich = lexical.hdd(F.col(text_col)) >= diversity.get("min_hdd_threshold", 0.7)
+        least = diversity.get("min_hhd_threshold", diversity.get("min_hdd_threshold", 0.7))
+        rich = lexical.hdd(F.col(text_col)) >= least
         out = out.withColumn("_rich", F.when(alive, F.coalesce(rich, never)).otherwise(False))
         stages.append(("filter_low_lexical_diversity", alive, F.col("_rich"), never))
         alive = F.col("_rich")

@@ -10,10 +10,12 @@ from corpusloom.functions import text as tx
 
 _ITEM = "link string, title string, pubDate string, description string, guid string"
 _ENTRY = (
-    "link struct<_href:string>, title string, published string, updated string, "
+    "link array<struct<_href:string,_rel:string>>, title string, published string, updated string, "
     "summary string, content string, id string"
 )
 
+_MAIL_DATES = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yy HH:mm:ss Z", "d MMM yyyy HH:mm:ss"]
+
 
 def _reader(spark: SparkSession, row_tag: str, schema: str):
     return (
@@ -24,6 +26,21 @@ def _reader(spark: SparkSession, row_tag: str, schema: str):
     )
 
 
+def _page_link(links):
+    """Of an entry's links the alternate one (no relation means that), else the first."""
+    pages = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    return F.coalesce(F.try_element_at(pages, F.lit(1)), F.try_element_at(links, F.lit(1)))["_href"]
+
+
+def entry_time(date):
+    """The moment of an RFC 822 or ISO date; null where it is neither."""
+    bare = F.regexp_replace(F.trim(date), r"^[A-Za-z]{3,9},?\s+", "")
+    offset = F.regexp_replace(bare, r"(GMT|UTC|UT|Z)$", "+0000")
+    tries = [F.try_to_timestamp(offset, F.lit(f)) for f in _MAIL_DATES]
+    iso = F.when(date.rlike(r"^\s*\d{4}-\d"), F.try_to_timestamp(F.trim(date)))
+    return F.coalesce(*tries, iso)
+
+
 def _feed(by: str):
     """The feed is the file, or the folder its files lie in."""
     at = {"file": -1, "folder": -2}[by]
@@ -47,7 +64,7 @@ def read_atom(spark: SparkSession, path: str | list[str], feed_by: str = "file")
     return _reader(spark, "entry", _ENTRY).load(path).select(
         _feed(feed_by),
         F.col("id").alias("entry_id"),
-        F.col("link._href").alias("url"),
+        _page_link(F.col("link")).alias("url"),
         "title",
         F.coalesce("published", "updated").alias("date"),
         F.coalesce("content", "summary").alias("text"),
@@ -59,10 +76,16 @@ def feed_articles(
 ) -> DataFrame:
     """First entries of each feed, then the longer ones, cut to an excerpt.
 
-    The cap comes before the length filter.  Entries are in the order of their
-    numeric id where they have one.
+    The cap comes before the length filter.  The newest entries come first, as
+    they stand in a feed; entries of one moment follow their id (a number before
+    a text), and entries without a readable date come last.
     """
-    order = F.struct(F.expr("try_cast(entry_id as bigint)"), "date", "url", "entry_id")
+    newest = -F.unix_micros(entry_time(F.col("date")))
+    number = F.expr("try_cast(entry_id as bigint)")
+    order = F.struct(
+        newest.isNull().alias("undated"), newest.alias("newest"), number.isNull().alias("text"),
+        number.alias("number"), "entry_id", "url",
+    )
     capped = windows.first_n(entries.withColumn("_order", order), "feed", max_articles, "_order")
     return filters.longer_than(capped.drop("_order"), min_chars).withColumn(
         "text", tx.excerpt(F.col("text"), max_chars)

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.bounded import checked
+from corpusloom.bounded import checked, small_rows
 from corpusloom.functions import text as tx, urls
 from corpusloom.operators import windows
 
@@ -82,24 +82,33 @@ def match_index(
     """
     found = pages.filter(F.coalesce(F.col(url_col), F.lit("")) != "")
     if isinstance(entries, DataFrame):
-        like = F.regexp_replace(F.concat_ws("/", "domain", "pattern"), r"([\\%_])", r"\\$1")
-        table = entries.withColumn("_like", F.regexp_replace(like, r"\*", "%"))
-        bare = urls.without_scheme(F.col(url_col))
+        spelled = F.concat_ws("/", F.lower("domain"), "pattern")
+        like = F.regexp_replace(spelled, r"([\\%_])", r"\\$1")
+        table = entries.withColumn("_like", F.regexp_replace(like, r"\*", "%")).withColumn(
+            "_domain", F.lower("domain")
+        )
+        bare = _lower_host(urls.without_scheme(F.col(url_col)))
+        named = found.withColumn("_bare", bare).withColumn(
+            "_host", F.split_part("_bare", F.lit("/"), F.lit(1))
+        )
+        fits = F.expr("_bare like _like")
+        wild = table.where(F.contains("domain", F.lit("*")))
+        exact = table.where(~F.contains("domain", F.lit("*")))
         found = (
-            found.withColumn("_host", F.split_part(bare, F.lit("/"), F.lit(1)))
-            .join(checked(table), F.col("_host") == F.col("domain"))
-            .filter(F.expr(f"{_BARE.format(url_col)} like _like"))
-            .drop("_host", "_like")
+            named.join(checked(exact), (F.col("_host") == F.col("_domain")) & fits)
+            # hosts with a wildcard are few by nature; each is a pattern of its own
+            .unionByName(named.join(F.broadcast(_few(wild)), fits))
+            .drop("_bare", "_host", "_domain", "_like")
         )
     else:
         listed = [dict(e) for e in entries]
         hosts = sorted({str(e["domain"]).strip() for e in listed})
-        bare = urls.without_scheme(F.col(url_col))
+        bare = _lower_host(urls.without_scheme(F.col(url_col)))
         tries = F.array(
             *[
                 F.when(
                     F.col("_bare").like(
-                        urls.like_pattern(str(e["domain"]), str(e.get("pattern", "*")))
+                        urls.like_pattern(str(e["domain"]).lower(), str(e.get("pattern", "*")))
                     ),
                     F.struct(
                         F.lit(no).alias("entry_no"),
@@ -114,14 +123,33 @@ def match_index(
         found = (
             found.withColumn("_bare", bare)
             # one hash look-up spares most pages the patterns
-            .filter(F.split_part("_bare", F.lit("/"), F.lit(1)).isin(hosts))
+            .filter(
+                F.lit(True)
+                if any("*" in h for h in hosts)
+                else F.split_part("_bare", F.lit("/"), F.lit(1)).isin([h.lower() for h in hosts])
+            )
             .withColumn("_entry", F.explode(F.array_compact(tries)))
             .select("*", "_entry.*")
             .drop("_entry", "_bare")
         )
     if limit is None:
         return found
-    return windows.first_n(found, ["domain", "pattern"], limit, id_col)
+    of_entry = ["entry_no"] if "entry_no" in found.columns else ["domain", "pattern"]
+    return windows.first_n(found, of_entry, limit, id_col)
+
+
+# Wildcard hosts of an entry table, at most.
+MAX_WILD = 1000
+
+
+def _lower_host(bare):
+    """The URL without its scheme, the host in lower case."""
+    host = F.split_part(bare, F.lit("/"), F.lit(1))
+    return F.concat(F.lower(host), F.substr(bare, F.length(host) + 1))
 
 
-_BARE = "regexp_replace({}, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '')"
+def _few(wild: DataFrame) -> DataFrame:
+    rows = small_rows(wild, MAX_WILD)
+    if rows is None:
+        raise ValueError(f"more than {MAX_WILD} entries with a wildcard in the host")
+    return wild.sparkSession.createDataFrame(rows, wild.schema)

@@ -15,8 +15,12 @@ N = 3
 
 
 def _stream(t, table: str = "pages"):
-    schema = getattr(t, table).schema
-    return files.read_stream(t.spark, t.folder, schema, pattern=f"{table}.parquet")
+    rows = getattr(t, table)
+    # a table is one file, or a folder of files
+    parents = {name.rsplit("/", 2)[-2] for name in rows.inputFiles()}
+    if f"{table}.parquet" in parents:
+        return files.read_stream(t.spark, f"{t.folder}/{table}.parquet", rows.schema)
+    return files.read_stream(t.spark, t.folder, rows.schema, pattern=f"{table}.parquet")
 
 
 def _drain(t, stream):

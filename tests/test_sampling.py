@@ -104,7 +104,7 @@ def test_recipe_steps(spark):
         "normalize_text_length": {"enabled": True, "min_tokens": 5, "max_tokens": 20},
         "clean_text": True,
         "mask_entities": {"enabled": True},
-        "filter_low_lexical_diversity": {"enabled": True, "min_hdd_threshold": 0.7},
+        "filter_low_lexical_diversity": {"enabled": True, "min_hhd_threshold": 0.7},
     }
     train, audit = process.process_train(df, steps)
     kept = {r["row_id"]: r["text"] for r in train.collect()}
