@@ -252,7 +252,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.max("confidence").alias("score"),
         F.count("*").alias("n_detections"),
     )
-    joined = marked.drop("line").join(summed, "digest", "left")
+    # texts that were only counted have nothing to join: they are dealt out by a key of their own
+    spread = F.concat(F.lit("-"), F.xxhash64("doc_id", "n_words").cast("string"))
+    joined = marked.drop("line").withColumn("digest", F.coalesce("digest", spread))
+    joined = joined.join(summed, "digest", "left")
     empty = F.array().cast("array<string>")
     every = F.array_sort(F.array_union("base", F.coalesce("found", empty)))
     return joined.select(
