@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     Normalizer,
     SQLTransformer,
@@ -112,7 +112,14 @@ def fit_features(
     """M07 as Spark ML stages: counts, idf + 1, unit length."""
     split_terms = SQLTransformer(statement=_TERMS_SQL.format(text=text_col))
     termed = split_terms.transform(df)
-    counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_terms).fit(termed)
+    if max_terms < 1:
+        raise ValueError("max_terms must be positive")
+    # one vocabulary for the table and the model: ties go to the smaller term
+    numbered = df.select(F.monotonically_increasing_id().alias("row_id"), text_col)
+    listed = vocabulary(term_counts(numbered, text_col), max_terms).select("term").collect()
+    counter = CountVectorizerModel.from_vocabulary(
+        [r["term"] for r in listed], inputCol="_terms", outputCol="_tf"
+    )
     counts = counter.transform(termed).select("_tf")
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts)
     scale = ElementwiseProduct(

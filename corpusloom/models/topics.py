@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.bounded import join_checked
-from corpusloom.functions.keys import BUCKET_DIGITS, key_bucket, order_key
 from corpusloom.functions.lexical import letter_runs
 from corpusloom.functions.text import let
 from corpusloom.models import vectors
@@ -49,6 +50,30 @@ def relabel_by_size(df: DataFrame, cluster_col: str, min_size: int, out_col: str
     )
 
 
+def _exact_quantile(df: DataFrame, col: str, share: float):
+    """The smallest value that ``share`` of the rows do not exceed.
+
+    Values are ranged over partitions and counted there; only the partition that
+    holds the answer is ordered, so no task sees all values and none is estimated.
+    """
+    counted = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
+    ranged = materialise(
+        counted.repartitionByRange(col).withColumn("_part", F.spark_partition_id()), "quantile"
+    )
+    sizes = sorted(ranged.groupBy("_part").agg(F.sum("n").alias("n")).collect())
+    total = sum(r["n"] for r in sizes)
+    if not total:
+        return None
+    wanted, before = max(1, math.ceil(share * total)), 0
+    for part, n in sizes:
+        if before + n >= wanted:
+            break
+        before += n
+    running = F.sum("n").over(Window.partitionBy("_part").orderBy(col))
+    inside = ranged.where(F.col("_part") == part).withColumn("_seen", running)
+    return inside.where(F.col("_seen") >= wanted - before).agg(F.min(col)).first()[0]
+
+
 def assign_topics(
     df: DataFrame,
     text_col: str = "text",
@@ -60,32 +85,21 @@ def assign_topics(
     width: int = 256,
     seed: int = vectors.SEED,
     out_col: str = "topic",
-    fit_share: float = 1.0,
 ) -> DataFrame:
     """Hashed TF-IDF, principal components, k-means, then the outlier rule.
 
     Only (id, reduced vector) is kept between the steps.  Rows further from
     their centre than the given quantile of all distances, and clusters below
     the minimum size, form topic -1; the others are numbered by size.
-
-    With ``fit_share`` below one the components and centres are fitted on that
-    share of the rows, chosen by their order key; every row is still assigned.
     """
     vectored = vectors.document_vectors(df.select(id_col, text_col), text_col, "_v", width)
-    fitted_on = None
-    if fit_share < 1.0:
-        edge = format(int(fit_share * 16**BUCKET_DIGITS), f"0{BUCKET_DIGITS}x")
-        fitted_on = key_bucket(order_key(F.col(id_col), seed)) < edge
-    reduced = vectors.reduce_dimensions(
-        vectored, n_components, "_v", "_r", fit_where=fitted_on
-    ).select(id_col, "_r")
+    reduced = vectors.reduce_dimensions(vectored, n_components, "_v", "_r").select(id_col, "_r")
     # k-means passes over its input many times
     reduced = materialise(reduced, "topic-vectors")
     # starting centres are drawn in row order: a fixed layout makes a fit repeatable
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fit_on = reduced if fitted_on is None else reduced.filter(fitted_on)
     model = vectors.fit_kmeans(
-        fit_on.repartition(parts, id_col).sortWithinPartitions(id_col), n_topics, "_r", "_c", seed
+        reduced.repartition(parts, id_col).sortWithinPartitions(id_col), n_topics, "_r", "_c", seed
     )
     clustered = model.transform(reduced)
     centres = F.array(
@@ -96,7 +110,8 @@ def assign_topics(
         "_c",
         _distance(vector_to_array("_r"), F.element_at(centres, F.col("_c") + 1)).alias("_d"),
     )
-    bound = placed.agg(F.percentile_approx("_d", F.lit(distance_quantile), F.lit(10_000))).first()[0]
+    placed = materialise(placed, "topic-distances")
+    bound = _exact_quantile(placed, "_d", distance_quantile)
     near = placed.withColumn("_c", F.when(F.col("_d") <= F.lit(bound), F.col("_c")))
     topics = relabel_by_size(near, "_c", min_cluster_size, out_col).select(id_col, out_col)
     return df.join(topics, id_col, "left")

@@ -31,17 +31,11 @@ def as_vector(df: DataFrame, array_col: str, out_col: str = "vector") -> DataFra
     return df.withColumn(out_col, array_to_vector(F.col(array_col).cast("array<double>")))
 
 
-def _rows(df: DataFrame, where: Column | None) -> DataFrame:
-    """The rows a model is fitted on."""
-    return df if where is None else df.filter(where)
-
-
 def reduce_dimensions(
     df: DataFrame,
     n_components: int = 2,
     in_col: str = "vector",
     out_col: str = "reduced",
-    fit_where: Column | None = None,
 ) -> DataFrame:
     """Principal components; never more than the vectors are wide."""
     first = df.select(F.size(vector_to_array(in_col)).alias("w")).first()
@@ -50,7 +44,7 @@ def reduce_dimensions(
     if first["w"] > MAX_PCA_WIDTH:
         raise ValueError(f"vectors of width {first['w']} exceed {MAX_PCA_WIDTH}; hash them down")
     pca = PCA(k=min(n_components, first["w"]), inputCol=in_col, outputCol=out_col)
-    return pca.fit(_rows(df, fit_where)).transform(df)
+    return pca.fit(df).transform(df)
 
 
 def fit_kmeans(
@@ -59,7 +53,7 @@ def fit_kmeans(
     in_col: str = "vector",
     out_col: str = "cluster",
     seed: int = SEED,
-    max_iter: int = 20,
+    max_iter: int = 300,
 ) -> KMeansModel:
     return KMeans(
         k=k, seed=seed, featuresCol=in_col, predictionCol=out_col, maxIter=max_iter
@@ -72,7 +66,7 @@ def kmeans(
     in_col: str = "vector",
     out_col: str = "cluster",
     seed: int = SEED,
-    max_iter: int = 20,
+    max_iter: int = 300,
 ) -> tuple[DataFrame, KMeansModel]:
     """The frame with a cluster column, and the model."""
     model = fit_kmeans(df, k, in_col, out_col, seed, max_iter)

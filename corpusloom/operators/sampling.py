@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.bounded import checked, join_checked, small_rows
+from corpusloom.session import materialise
 from corpusloom.functions import keys
 from corpusloom.operators.joins import keep_keys
 from corpusloom.schemas import require
@@ -96,6 +97,7 @@ def find_cut(
             F.min_by(F.col("_quota") - F.col("_before"), "_bucket").alias("_rest"),
         )
     )
+    edge = materialise(edge, "cut-edge")
     rows = small_rows(edge)
     small = rows is not None
     if small:

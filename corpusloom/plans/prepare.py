@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.bounded import small_rows
+from corpusloom.session import materialise
 from corpusloom.functions import text as tx
 from corpusloom.operators import filters
 
@@ -78,6 +79,7 @@ def encode(
     dictionary if the vocabulary is within the size bound, else by a join.
     """
     cut = F.slice(tx.tokens(F.lower(F.col(text_col))), 1, max_length)
+    vocabulary = materialise(vocabulary, "vocabulary")
     rows = small_rows(vocabulary)
     if rows is None:
         out = _ids_by_join(df, cut, vocabulary, id_col, "_ids")

@@ -165,6 +165,7 @@ def staged(df: DataFrame, steps: Mapping, text_col: str = "text", id_col: str =
 
 def process_train(df: DataFrame, steps: Mapping) -> tuple[DataFrame, DataFrame]:
     """The processed rows and the step audit, from one evaluation of the steps."""
+    check_steps(steps)
     if not any(_enabled(s) for s in steps.values()):
         return df, audit.step_audit(df, [("none", F.lit(True), F.lit(True), F.lit(False))])
     frame, stages, alive = staged(df, steps)

@@ -282,5 +282,5 @@ def _(t):
 
 @query("x08_baseline_report", heavy=True)
 def _(t):
-    made = baseline_report.baseline_report(t.corpus, max_terms=1000, max_iter=20)
+    made = baseline_report.baseline_report(t.corpus)
     return made["report"]

@@ -130,8 +130,38 @@ def test_topics_cover_all_rows(t):
     assert sum(sizes.values()) == docs.count() and -1 in sizes
     real = [sizes[k] for k in sorted(sizes) if k >= 0]
     assert real == sorted(real, reverse=True) and min(real) >= 20
-    part = topics.assign_topics(docs, n_topics=4, min_cluster_size=20, fit_share=0.5)
-    assert part.count() == docs.count()
+
+
+def test_exact_quantile_against_a_sort(spark):
+    values = [float((i * 7919) % 1000) ** 3 for i in range(1000)] + [5.0] * 300
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    for share in (0.0, 0.05, 0.5, 0.95, 1.0):
+        want = sorted(values)[max(1, -(-int(share * 1000) * len(values) // 1000)) - 1]
+        assert topics._exact_quantile(df, "x", share) == want
+    assert topics._exact_quantile(df.where("x < 0"), "x", 0.5) is None
+
+
+def test_a_listed_word_has_one_group_on_both_ways(spark, monkeypatch):
+    from corpusloom.functions import entities as ent
+
+    rows = spark.createDataFrame([(1, "We saw Paris and Rome")], "row_id long, text string")
+    listed = spark.createDataFrame([("Paris", "PER"), ("Paris", "LOC"), ("Rome", "LOC")], "word string, entity_group string")
+    small = ent.extract_entities(rows, listed).first()["entities"]
+    monkeypatch.setattr(ent, "small_rows", lambda _df: None)
+    assert ent.extract_entities(rows, listed).first()["entities"] == small
+    assert [e["entity_group"] for e in small if e["word"] == "Paris"] == ["LOC"]
+
+
+def test_recipe_keys(spark):
+    from corpusloom.plans import process
+
+    df = spark.createDataFrame([(1, "a b c", 0, 0)], "row_id long, text string, is_bs int, topic int")
+    for step, least in (("min_hhd_threshold", 1), ("min_hdd_threshold", 1)):
+        kept, _ = process.process_train(df, {"filter_low_lexical_diversity": {"enabled": True, step: 0.0}})
+        assert kept.count() <= least
+    for steps in ({"filter_low_lexical_diversity": {"min_hd_threshold": 0.1}}, {"clean": True}):
+        with pytest.raises(ValueError):
+            process.process_train(df, steps)
 
 
 def test_baseline_separates(spark, tmp_path):
