@@ -21,7 +21,8 @@ from corpusloom.session import materialise
 
 MAX_ATTEMPTS = 50
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# A match starts where a run of its signs starts, so that no run is tried from its middle.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
 PHONE = (
     r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w])"
@@ -29,14 +30,14 @@ PHONE = (
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 KEY_ID = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?i:password|passwd|secret|token|api_?key)\s*[=:]\s*\"?[A-Za-z0-9_+/-]{8,}\"?"
+SECRET = r"(?<![A-Za-z])(?i:password|passwd|secret|token|api_?key)\s*[=:]\s*\"?[A-Za-z0-9_+/-]{8,}\"?"
 MALE = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|Г-н"
 FEMALE = r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme\.?|Señora|Sra\.|Г-жа"
 OPEN = r"Dr\.?|Prof\.?"
 PERSON = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{OPEN})[  ]\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 ENTITY = "|".join([EMAIL, KEY_ID, SECRET, PERSON, SSN, CARD, IP, PHONE])
 # What every entity has: a digit, a sign or a title; texts without are left alone at once.
-HINT = rf"[0-9@]|(?i:password|passwd|secret|token|api_?key)|(?:{MALE}|{FEMALE}|{OPEN})[  ]"
+HINT = rf"[0-9@=:]|(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{OPEN})[  ]\p{{Lu}}"
 
 # Syllables that names are made of: endings mark the gender where a script does.
 LATIN = "ba be bi da de di do fa fe ga go ha ja ka ke la le li lo ma me mi mo na ne ni no pa ra re ri ro sa se so ta te ti to va ve vi".split()
@@ -265,12 +266,12 @@ def _hits(text_col: str) -> Column:
     return F.regexp_extract_all(text_col, F.lit(f"({ENTITY})"), F.lit(0))
 
 
-def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(hit, kind, canonical)`` of every different mention in the texts.
+def mentions(marked: DataFrame) -> DataFrame:
+    """``(hit, kind, canonical)`` of every different mention in ``_pii_hits``.
 
     Equal mentions are brought together before anything is told of them.
     """
-    hits = docs.where(F.col(text_col).rlike(HINT)).select(F.explode(_hits(text_col)).alias("hit"))
+    hits = marked.select(F.explode("_pii_hits").alias("hit"))
     hits = materialise(hits.groupBy("hit").agg(F.count("*").alias("n")), "pii-hits")
     kinds = materialise(hits.select("hit", kind_of(F.col("hit")).alias("kind")), "pii-kinds")
     return kinds.select("hit", "kind", canonical_of(F.col("kind"), F.col("hit")).alias("canonical"))
@@ -339,29 +340,29 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     Null, empty and entity-free texts stay as they are; repeated rows are
     changed alike.  A column named ``n_entities`` is replaced; names that begin
-    with ``_pii`` are kept for the work.  Only texts with entities are moved.
+    with ``_pii`` are kept for the work.  Texts are searched once, and only those
+    with entities are moved.
     """
-    found = materialise(mentions(docs, text_col), "pii-mentions")
+    columns = [c for c in docs.columns if c != "n_entities"]
+    none = F.array().cast("array<string>")
+    hits = F.when(F.col(text_col).rlike(HINT), _hits(text_col)).otherwise(none)
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns], hits.alias("_pii_hits"))
+    docs = materialise(docs, "pii-marked")
+    found = materialise(mentions(docs), "pii-mentions")
     assigned = assign(found, key).select("kind", "canonical", "surrogate")
     dressed = found.join(assigned, ["kind", "canonical"]).select(
         "hit", _dressed(F.col("kind"), F.col("hit"), F.col("surrogate")).alias("new")
     )
     dressed = materialise(dressed, "pii-replacements")
-    columns = [c for c in docs.columns if c != "n_entities"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
-    has = F.coalesce(F.col(text_col).rlike(HINT), F.lit(False)) & F.coalesce(
-        F.col(text_col).rlike(ENTITY), F.lit(False)
-    )
-    plain = docs.where(~has).withColumn("n_entities", F.lit(0))
-    touched = docs.where(has)
+    plain = docs.where("size(_pii_hits) = 0").drop("_pii_hits").withColumn("n_entities", F.lit(0))
     digest = F.sha2(text_col, 256).alias("_pii_digest")
-    per_text = touched.select(digest, F.explode(F.array_distinct(_hits(text_col))).alias("hit")).distinct()
+    marked = docs.where("size(_pii_hits) > 0").select("*", digest)
+    per_text = marked.select("_pii_digest", F.explode("_pii_hits").alias("hit")).distinct()
     new_of = (
         per_text.join(dressed, "hit")
         .groupBy("_pii_digest")
         .agg(F.map_from_entries(F.collect_list(F.struct("hit", "new"))).alias("_pii_new"))
     )
-    marked = touched.withColumn("_pii_hits", _hits(text_col)).select("*", digest)
     joined = marked.join(new_of, "_pii_digest")
     pieces = F.split(text_col, f"(?:{ENTITY})", -1)
     news = F.transform("_pii_hits", lambda h: F.element_at("_pii_new", h))
