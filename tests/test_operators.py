@@ -191,3 +191,10 @@ def test_best_run_patience(spark):
     df = spark.createDataFrame([("r", i, s) for i, s in enumerate(scores)], "run string, step int, f1_macro double")
     row = evaluation.best_run(df).first()
     assert (row["best_step"], row["best_f1_macro"], row["last_step"]) == (1, 0.3, 3)
+
+
+def test_first_n_with_ties(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 2, "x"), ("b", None, "y")]
+    df = spark.createDataFrame(rows, "origin string, row_id long, text string")
+    got = windows.first_n(df, "origin", 1).collect()
+    assert sorted(r["origin"] for r in got) == ["a", "b"]

@@ -139,3 +139,41 @@ def test_python_model_formats(spark):
 def test_missing_schema_column(spark):
     with pytest.raises(ValueError):
         sweep.external_evaluation(None, {})
+
+
+def test_newest_entries_first(spark, tmp_path):
+    def item(guid, date):
+        return f"<item><title>T</title><link>http://x/{guid}</link><pubDate>{date}</pubDate><guid>http://g/{guid}</guid><description>{'s' * 201}</description></item>"
+
+    dates = {
+        "a": "Fri, 01 Dec 2023 08:00:00 GMT", "b": "Wed, 03 Jan 2024 08:00:00 +0100",
+        "c": "2024-01-02T10:00:00Z", "d": "no date", "e": "3 Jan 2024 07:30 GMT",
+    }
+    (tmp_path / "f.xml").write_text(RSS.format("".join(item(g, d) for g, d in dates.items())))
+    entries = feeds.read_rss(spark, str(tmp_path))
+    heads = [
+        sorted(r["entry_id"][-1] for r in feeds.feed_articles(entries, max_articles=n).collect())
+        for n in range(1, 6)
+    ]
+    assert heads == [["e"], ["b", "e"], ["b", "c", "e"], ["a", "b", "c", "e"], ["a", "b", "c", "d", "e"]]
+
+
+def test_atom_takes_the_alternate_link(spark, tmp_path):
+    links = '<link rel="replies" href="http://y/replies"/><link rel="alternate" href="http://y/page"/><link rel="self" href="http://y/self"/>'
+    entry = "<entry><title>A</title>{}<published>2024-01-02T10:00:00Z</published><id>{}</id><summary>s</summary></entry>"
+    text = entry.format(links, "1") + entry.format('<link href="http://y/bare"/>', "2") + entry.format("", "3")
+    (tmp_path / "a.xml").write_text(f"<feed>{text}</feed>")
+    got = {r["entry_id"]: r["url"] for r in feeds.read_atom(spark, str(tmp_path)).collect()}
+    assert got == {"1": "http://y/page", "2": "http://y/bare", "3": None}
+
+
+def test_index_hosts_in_any_case_with_wildcards_and_quotas(spark):
+    rows = [(1, "http://A.com/x"), (2, "https://www.a.com/X"), (3, "http://b.org/x"), (4, "http://a.com/y")]
+    df = spark.createDataFrame([(i, u, "<p>t</p>") for i, u in rows], "page_id long, url string, html string")
+    entries = [{"domain": "a.com", "pattern": "*"}, {"domain": "*.a.com", "pattern": "*"}, {"domain": "a.com", "pattern": "*"}]
+    for given in (entries, spark.createDataFrame([(e["domain"], e["pattern"]) for e in entries[:2]], "domain string, pattern string")):
+        got = sorted((r["domain"], r["page_id"]) for r in pages.match_index(df, given, 5).collect())
+        twice = 2 if given is entries else 1
+        assert got == sorted([("*.a.com", 2)] + [("a.com", 1), ("a.com", 4)] * twice)
+    one_each = pages.match_index(df, entries, 1).collect()
+    assert sorted((r["entry_no"], r["page_id"]) for r in one_each) == [(0, 1), (1, 2), (2, 1)]

@@ -73,3 +73,13 @@ def test_labels_equal_batch(spark, tmp_path):
     )
     table = st.progress_table(query)
     assert table.agg(F.max("n_seen")).first()[0] == 4
+
+
+def test_queries_stream_over_a_table_that_is_a_folder(spark, tmp_path):
+    from corpusloom.suite import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    one = QUERIES["s07_stream_source"](spark, "/root/testdata/sf0.001")
+    many = QUERIES["s07_stream_source"](spark, str(tmp_path))
+    assert sorted(many.collect()) == sorted(one.collect()) and many.count() > 0
