@@ -213,9 +213,10 @@ def linked_within(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS, confi
 
 def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition has its keys whole; it is sorted here and each key compared."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = list(batches)
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     mask, key, fp, rep = (table.column(c).to_numpy() for c in ("mask", "key", "fp", "rep"))
     order = np.lexsort((fp, key, mask))
     mask, key, fp, rep = mask[order], key[order], fp[order], rep[order]

@@ -95,9 +95,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _confirmed_links(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         band, key, fp, tx = (table.column(c).to_numpy() for c in ("band", "key", "fp", "tx"))
         order = np.lexsort((tx, key, band))
         band, key, fp, tx = band[order], key[order], fp[order], tx[order]

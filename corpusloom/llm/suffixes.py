@@ -191,7 +191,10 @@ def _sort_bucket(length: int, reach: int):
     """Sorts the suffixes of a bucket and compares the strings of neighbours that share enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
         n = table.num_rows
         if n < 2:
             return
