@@ -32,8 +32,9 @@ from corpusloom.session import materialise, work_path
 
 # Bytes of text for each bucket of the model.
 BUCKET_BYTES = 16 << 20
-# Tokens counted or scored together.
+# Tokens counted together, and scored together.
 CHUNK = 2_000_000
+SCORE_CHUNK = 500_000
 SLICE = 4 << 20
 START, END = b" start", b" end"  # with a blank, which no word has
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -363,7 +364,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", id_col: str = "d
                 ids.append(doc_id)
                 held.append(words)
                 size += len(words)
-                if size >= CHUNK:
+                if size >= SCORE_CHUNK:
                     yield flush(ids, held)
                     ids, held, size = [], [], 0
         if held:
