@@ -39,7 +39,7 @@ SLICE = 4 << 20
 START, END = b" start", b" end"  # with a blank, which no word has
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
-UNSEEN = re.compile(r"^(?:file:)?(/.*)$")
+MOUNTED = re.compile(r"^(?:file:)?(/.*)$")
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -230,7 +230,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     """Counts all texts (null: empty) and writes the model; returns where it is and its sums."""
     spark = docs.sparkSession
     root = work_path(spark, "lm")
-    plain = UNSEEN.match(re.sub(r"^file:/+", "file:/", root))
+    plain = MOUNTED.match(re.sub(r"^file:/+", "file:/", root))
     if not plain:
         raise ValueError("spark.checkpoint.dir must be a mounted folder for memory-mapped models")
     folder = plain[1]

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import crosspolytope, decontamination, fixity, kneserney, licenses, packing, simhash, suffixes, surrogates, toxicity
+from corpusloom.llm import (
+    crosspolytope,
+    decontamination,
+    fixity,
+    kneserney,
+    licenses,
+    packing,
+    simhash,
+    suffixes,
+    surrogates,
+    toxicity,
+)
 from corpusloom.session import materialise
 
 QUERIES, ORACLES = {}, {}
@@ -46,7 +57,7 @@ def _(spark, folder):
     model = toxicity.fit(docs, _table(spark, folder, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id",
-        toxicity.held_out().alias("held_out"),
+        F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
         "restored",
