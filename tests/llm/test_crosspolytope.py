@@ -51,3 +51,35 @@ def test_few_and_no_rows(spark):
 def test_hadamard_is_a_rotation():
     y = crosspolytope.hadamard(np.eye(16))
     assert np.allclose(y @ y.T, np.eye(16))
+
+
+def test_recall_at_production_parameters_on_unequal_norms(spark):
+    draw = np.random.default_rng(5)
+    unit = draw.normal(size=(3000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    one_long = np.ones(3000)
+    one_long[17] = 50
+    for norms in (one_long, draw.uniform(0.5, 2, 3000), np.exp(draw.normal(size=3000))):
+        x = unit * norms[:, None]
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        found: dict = {}
+        for r in crosspolytope.search(table, table.where("vec_id % 30 = 0")).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = []
+        for q in range(0, 3000, 30):
+            score = x @ x[q]
+            score[q] = -np.inf
+            hits.append(len(found[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+            assert len(found[q]) == 20
+        assert np.mean(hits) >= 0.9
+
+
+def test_queries_with_few_finds_are_compared_with_all(spark):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(60, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = crosspolytope.search(table, table.where("vec_id % 20 = 0"), tables=1, probes=1).collect()
+    for q in (0, 20, 40):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == np.argsort(-score)[:20].tolist()
