@@ -44,8 +44,9 @@ SUSPICIOUS = re.compile(
     rf"(?<!\w){_L}(?:[ .\-_*](?:{_L}|[{_LEET}])){{2,}}(?!\w)"  # letters set apart
     rf"|(?<!\w)(?=\w*?(?:({_L})\1\1)|\w*[{_LEET}]+{_L})[\w{_LEET}]*{_L}[\w{_LEET}]*"
 )
-# Longer stretches are not words but tables or keys; they are left as they are written.
+# Longer stretches are not remembered, and one letter written more often is not a word.
 LONGEST = 64
+ONE_LETTER = re.compile(rf"({_L})\1*")
 
 
 def _symbols() -> bytes:
@@ -102,10 +103,10 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 def restore_stretch(stretch: str, lm: list) -> str:
     """The most likely writing of one suspicious stretch, surrounded by spaces."""
-    # state: the last two symbols -> (score, text)
-    states = {(SPACE, SPACE): (0.0, "")}
+    # state: the last two symbols -> (score, letters written: the last one and those before it)
+    states: dict = {(SPACE, SPACE): (0.0, None)}
     before = ""
-    for i, char in enumerate(stretch):
+    for char in stretch:
         low = char.lower()
         choices = []  # letter written, cost; "" drops the character
         if low in READINGS:
@@ -118,7 +119,7 @@ def restore_stretch(stretch: str, lm: list) -> str:
             choices.append(("", REPEAT))
         before = low
         nxt: dict = {}
-        for (a, b), (score, text) in states.items():
+        for (a, b), (score, written) in states.items():
             for x, cost in choices:
                 if x:
                     c = _symbol(x.lower())
@@ -126,12 +127,19 @@ def restore_stretch(stretch: str, lm: list) -> str:
                 else:
                     key, value = (a, b), score + cost
                 if key not in nxt or value > nxt[key][0]:
-                    nxt[key] = (value, text + x)
+                    nxt[key] = (value, (x, written) if x else written)
         states = nxt
-    return max(
-        ((score + lm[a][b][SPACE], text) for (a, b), (score, text) in states.items()),
-        key=lambda s: (s[0], s[1]),
-    )[1]
+    ends = [(score + lm[a][b][SPACE], written) for (a, b), (score, written) in states.items()]
+    best = max(score for score, _ in ends)
+    return max(_text(written) for score, written in ends if score == best)
+
+
+def _text(written: tuple | None) -> str:
+    out = []
+    while written is not None:
+        x, written = written
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def _kinds() -> np.ndarray:
@@ -175,12 +183,15 @@ def suspicious_places(raw: np.ndarray) -> np.ndarray:
 
 def restorer(lm: np.ndarray):
     """``text -> restored text``; only the surroundings of suspicious places are
-    searched, and stretches already seen are looked up."""
+    searched, and short stretches already seen are looked up."""
     table = lm.tolist()
     remembered = lru_cache(maxsize=50_000)(lambda s: restore_stretch(s, table))
 
     def one(match: re.Match) -> str:
-        return remembered(match[0]) if len(match[0]) <= LONGEST else match[0]
+        stretch = match[0]
+        if len(stretch) <= LONGEST:
+            return remembered(stretch)
+        return stretch if ONE_LETTER.fullmatch(stretch) else restore_stretch(stretch, table)
 
     def restore(text: str) -> str:
         raw = text.encode("utf-8", "replace")

@@ -44,3 +44,11 @@ def test_learns_without_the_held_out_rows_and_scores_all(spark, docs, nothing, t
 def test_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.0}
+
+
+def test_restores_long_disguises():
+    restore = toxicity.restorer(_model(" you are an idiot and a moron such stupid trash and a loser here " * 50))
+    spaced = " ".join("youareanidiotandamoronsuchstupidtrashandaloserhere")
+    assert len(spaced) > 64 and restore(spaced) == "you are an idiot and a moron such stupid trash and a loser here"
+    assert restore("st" + "u" * 100 + "pid trash") == "stupid trash"
+    assert restore("such " + "1d10t" * 4000).startswith("such idiotidiot")
