@@ -28,6 +28,7 @@ BITS = 19
 THRESHOLD = 0.5
 SYMBOLS = 32
 OTHER_LETTER, SPACE, SIGN = 27, 0, 28
+D = 4
 
 # What a sign may stand for.
 READINGS = {
@@ -37,12 +38,15 @@ READINGS = {
 # Log10 costs of the channel: a disguise, a dropped separator, a dropped repeat.
 DISGUISE, APART, REPEAT = -0.3, -0.2, -0.2
 LEAVE = -3.0
+# What may follow a word and stand for itself at no cost.
+CLOSING = "!(+|"
 
 _LEET = "".join(map(re.escape, READINGS))
 _L = r"[^\W\d_]"
 SUSPICIOUS = re.compile(
     rf"(?<!\w){_L}(?:[ .\-_*](?:{_L}|[{_LEET}])){{2,}}(?!\w)"  # letters set apart
-    rf"|(?<!\w)(?=\w*?(?:({_L})\1\1)|\w*[{_LEET}]+{_L})[\w{_LEET}]*{_L}[\w{_LEET}]*"
+    rf"|(?<!\w)(?=\w*?(?:({_L})\1\1)|\w*(?:[{_LEET}]+{_L}|{_L}[{_LEET}]))[\w{_LEET}]*{_L}[\w{_LEET}]*"
+    rf"(?:(?<=\|)\)[\w{_LEET}]*)*"
 )
 # Longer stretches are not remembered, and one letter written more often is not a word.
 LONGEST = 64
@@ -106,21 +110,26 @@ def restore_stretch(stretch: str, lm: list) -> str:
     # state: the last two symbols -> (score, letters written: the last one and those before it)
     states: dict = {(SPACE, SPACE): (0.0, None)}
     before = ""
-    for char in stretch:
+    words_end = len(stretch.rstrip(CLOSING))
+    for i, char in enumerate(stretch):
         low = char.lower()
         choices = []  # letter written, cost; "" drops the character
         if low in READINGS:
-            choices += [(x, DISGUISE) for x in READINGS[low]] + [(char, LEAVE)]
+            choices += [(x, DISGUISE) for x in READINGS[low]] + [(char, LEAVE if i < words_end else 0.0)]
+            if stretch.startswith("|)", i):
+                choices.append(("d", DISGUISE))
+        elif char == ")":  # a bar that was read as d has taken it
+            choices.append((char, LEAVE))
         elif char in " .-_*":
             choices += [("", APART), (char, LEAVE)]
         else:
             choices.append((char, 0.0))
-        if low == before and (low.isalpha() or low in READINGS):
+        if low == before and (low.isalpha() or low in READINGS) and i < words_end:
             choices.append(("", REPEAT))
         before = low
         nxt: dict = {}
         for (a, b), (score, written) in states.items():
-            for x, cost in choices:
+            for x, cost in [("", 0.0)] if char == ")" and b == D else choices:
                 if x:
                     c = _symbol(x.lower())
                     key, value = (b, c), score + cost + lm[a][b][c]
@@ -131,7 +140,11 @@ def restore_stretch(stretch: str, lm: list) -> str:
         states = nxt
     ends = [(score + lm[a][b][SPACE], written) for (a, b), (score, written) in states.items()]
     best = max(score for score, _ in ends)
-    return max(_text(written) for score, written in ends if score == best)
+    text = max(_text(written) for score, written in ends if score == best)
+    closing = stretch[words_end:]
+    if closing and text.endswith(closing) and not SUSPICIOUS.search(stretch[:words_end]):
+        return stretch  # a plain word before signs that stand for themselves
+    return text
 
 
 def _text(written: tuple | None) -> str:
@@ -161,23 +174,33 @@ AROUND = 96
 
 
 def suspicious_places(raw: np.ndarray) -> np.ndarray:
-    """Where a letter stands three times, a sign next to a letter, or letters apart."""
+    """Where a letter stands three times, a sign next to a letter, or letters apart.
+
+    Wherever ``SUSPICIOUS`` matches there is a place, and all along letters set apart.
+    """
     if len(raw) < 3:
-        return np.zeros(0, np.int64)
+        kind = KINDS[raw]
+        return np.flatnonzero((kind[:-1] | kind[1:]) & 3 == 3)
     kind = KINDS[raw]
-    letter, sign, apart = kind & 1 > 0, kind & 2 > 0, kind & 4 > 0
+    letter, sign = kind & 1 > 0, kind & 2 > 0
     low = raw | np.uint8(32)
     same = low[1:] == low[:-1]
-    # two-byte letters repeat at a distance of two
-    pair = low[2:] == low[:-2]
     found = [np.flatnonzero(same[1:] & same[:-1] & letter[2:])]
-    if len(raw) >= 6:
-        high = raw >= 128
-        found.append(np.flatnonzero(pair[:-3] & pair[1:-2] & pair[2:-1] & pair[3:] & high[:-5]))
-    found.append(np.flatnonzero(sign[:-1] & letter[1:]) )
-    if len(raw) >= 5:
-        one = letter | sign
-        found.append(np.flatnonzero(apart[:-3] & one[1:-2] & apart[2:-1] & one[3:] & letter[3:]))
+    found.append(np.flatnonzero(sign[:-1] & letter[1:] | letter[:-1] & sign[1:]))
+    lead = None
+    if raw.max() >= 128:
+        # letters of two to four bytes repeat at that distance
+        for width, first in ((2, 0xC0), (3, 0xE0), (4, 0xF0)):
+            if len(raw) >= 3 * width:
+                run = np.r_[0, np.cumsum(raw[width:] == raw[:-width])]
+                whole = run[2 * width :] - run[: -2 * width] == 2 * width
+                found.append(np.flatnonzero(whole & (raw[: len(whole)] >= first)))
+        lead = np.flatnonzero(raw & 0xC0 != 0x80)
+        kind = kind[lead]
+    if len(kind) >= 4:
+        one, apart = kind & 3 > 0, kind & 4 > 0
+        at = np.flatnonzero(apart[:-3] & one[1:-2] & apart[2:-1] & one[3:])
+        found.append(at if lead is None else lead[at])
     return np.unique(np.concatenate(found))
 
 

@@ -52,3 +52,36 @@ def test_restores_long_disguises():
     assert len(spaced) > 64 and restore(spaced) == "you are an idiot and a moron such stupid trash and a loser here"
     assert restore("st" + "u" * 100 + "pid trash") == "stupid trash"
     assert restore("such " + "1d10t" * 4000).startswith("such idiotidiot")
+
+
+def test_restores_signs_at_the_end_of_words():
+    model = _model(" such a cunt is an idiot and an ass this shit is stupid it is a friend, hello there! I am! " * 50)
+    restore = toxicity.restorer(model)
+    for written, meant in (("a$$", "ass"), ("a55", "ass"), ("shi7", "shit"), ("cun7", "cunt"), ("idi07", "idiot"), ("stupi|)", "stupid")):
+        assert restore(written) == meant and restore(f"such {written} is") == f"such {meant} is"
+    for plain in ("hello there!!", "a friend! an idiot!", "an ass! hello!!"):
+        assert restore(plain) == plain
+
+
+def test_places_miss_nothing(monkeypatch):
+    model = _model(" you are an idiot and a moron such stupid trash and a loser here " * 50)
+    restore = toxicity.restorer(model)
+    monkeypatch.setattr(toxicity, "restore_stretch", lambda s, lm: f"<{s}>")
+    draw = np.random.default_rng(7)
+    kinds = ["ab  ", "a5$!|)  ", "éжa -", "日本 .a", "𐐀𐐁a ", "é e", "1 2a", "x"]
+    marked = toxicity.restorer(model)
+    for i in range(4000):
+        parts = []
+        for _ in range(int(draw.integers(1, 6))):
+            parts.append("".join(draw.choice(list(kinds[draw.integers(len(kinds))]), int(draw.integers(1, 40)))))
+            parts.append(draw.choice(["", " ", " " + "plain words " * 20]))
+        text = "".join(parts)
+
+        def mark(m):
+            s = m[0]
+            return s if len(s) > toxicity.LONGEST and toxicity.ONE_LETTER.fullmatch(s) else f"<{s}>"
+
+        assert marked(text) == toxicity.SUSPICIOUS.sub(mark, text), text
+    for text in ("é t é", "и д и о т", "日日日", "𐐀𐐀𐐀", "a5"):
+        assert marked(text) == f"<{text}>"
+    assert restore("") == ""
