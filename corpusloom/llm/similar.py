@@ -4,7 +4,10 @@ Five-word shingles with a similarity of 0.8 leave fingerprints that differ in
 about ten of 64 bits, too many for tables keyed by bits of the fingerprint.
 So candidates meet in bands of two min-hashes; within a band the fingerprints
 are compared bit-sliced, words of 64 at a time, at a distance that pairs of
-that similarity hardly exceed; and what is left is confirmed by 128 min-hashes.
+that similarity hardly exceed.  128 min-hashes accept pairs that are surely
+similar and turn down those that surely are not; all others are decided by
+their exact sets of shingles, first as few as may link a group, then every
+pair that is still apart.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from corpusloom.session import materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# Expected distance at similarity 0.8 is 10 of 64 bits, with a deviation below 3.
-RADIUS = 22
+# Expected distance at similarity 0.8 is 10 of 64 bits, with a deviation below 3;
+# it is 12 and 3.1 where texts have only four and five shingles.
+RADIUS = 30
 HASHES = 128
 # At 0.8 a pair misses all of 12 bands of 2 with probability 0.36 ** 12, about 5e-6.
 BANDS, MORE_BANDS = 12, 20
 GROUP = 4096
+# Distance of an estimate from the similarity, over four deviations, beyond which it decides.
+UNSURE = 0.15
 SEED = 42
 
 
@@ -93,35 +99,97 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, shape)
 
 
-def _confirmed_links(similarity: float):
+def _candidate_links(similarity: float, first: bool):
+    """``(u, v, sure)``: surely similar texts as stars, and pairs that must be verified.
+
+    At ``first`` only the best of these for each text and key; then all whose
+    ``component`` differs.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not held:
             return
         table = pa.Table.from_batches(held)
-        band, key, fp, tx = (table.column(c).to_numpy() for c in ("band", "key", "fp", "tx"))
+        band, key, fp, tx, part = (table.column(c).to_numpy() for c in ("band", "key", "fp", "tx", "component"))
         order = np.lexsort((tx, key, band))
-        band, key, fp, tx = band[order], key[order], fp[order], tx[order]
+        band, key, fp, tx, part = (x[order] for x in (band, key, fp, tx, part))
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8)
         signature = signature.reshape(-1, HASHES)[order]
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
         def confirm(i: np.ndarray, k: np.ndarray) -> np.ndarray:
-            agree = np.empty(len(i))
-            for at in range(0, len(i), 1 << 16):
+            apart = np.flatnonzero(part[i] != part[k])
+            a, b = i[apart], k[apart]
+            agree = np.empty(len(a))
+            for at in range(0, len(a), 1 << 16):
                 agree[at : at + (1 << 16)] = (
-                    signature[i[at : at + (1 << 16)]] == signature[k[at : at + (1 << 16)]]
+                    signature[a[at : at + (1 << 16)]] == signature[b[at : at + (1 << 16)]]
                 ).mean(axis=1)
             # one byte of a min-hash agrees by chance now and then
-            return (agree - 1 / 256) / (255 / 256) >= similarity
+            estimate = (agree - 1 / 256) / (255 / 256)
+            sure = estimate >= similarity + UNSURE
+            maybe = np.flatnonzero(~sure & (estimate >= similarity - UNSURE))
+            if first:
+                maybe = maybe[np.lexsort((-estimate[maybe], a[maybe]))]
+                maybe = maybe[np.unique(a[maybe], return_index=True)[1]]
+            pairs.append((a[maybe], b[maybe]))
+            good = np.zeros(len(i), bool)
+            good[apart[sure]] = True
+            return good
 
         change = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])]
         parent = linked_within(np.cumsum(change), fp.view(np.uint64), RADIUS, confirm)
-        far = parent != np.arange(len(parent))
-        yield pa.record_batch([pa.array(tx[far]), pa.array(tx[parent[far]])], names=["u", "v"])
+        far = np.flatnonzero(parent != np.arange(len(parent)))
+        for sure, (u, v) in [(True, (far, parent[far])), *((False, p) for p in pairs)]:
+            low, high = np.minimum(tx[u], tx[v]), np.maximum(tx[u], tx[v])
+            yield pa.record_batch(
+                [pa.array(low), pa.array(high), pa.array(np.full(len(u), sure))], names=["u", "v", "sure"]
+            )
 
     return run
 
 
+def verified(
+    pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text"
+) -> DataFrame:
+    """Those of the different pairs ``(u, v)`` of ``tx`` whose sets of shingles are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch(
+                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["tx", "shingles"]
+            )
+
+    ends = pairs.select(F.col("u").alias("tx")).unionByName(pairs.select(F.col("v").alias("tx"))).distinct()
+    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), text_col)
+    sets = texts.join(ends, "tx", "left_semi").dropDuplicates(["tx"]).mapInArrow(run, "tx long, shingles array<long>")
+    sets = materialise(sets, "similar-shingles")
+    both = pairs.join(sets.select(F.col("tx").alias("u"), F.col("shingles").alias("a")), "u").join(
+        sets.select(F.col("tx").alias("v"), F.col("shingles").alias("b")), "v"
+    )
+    both = both.select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("s"))
+    return both.where(F.col("s") >= similarity * (F.col("n") + F.col("m") - F.col("s")) - 1e-9).select("u", "v")
+
+
+def _compared(rows: DataFrame, similarity: float, first: bool) -> DataFrame:
+    """``(u, v, sure)`` of the texts that meet in a band."""
+    cold = rows.where(F.col("n") <= GROUP).select("band", "key", "tx", "fp", "signature", "component")
+    # a band that very many share is dealt out by further bands
+    hot = rows.where(F.col("n") > GROUP).select(
+        "band", "key", "tx", "fp", "signature", "component",
+        F.posexplode(F.slice("bands", BANDS + 1, MORE_BANDS)).alias("more", "further"),
+    )
+    hot = hot.select(
+        ((F.col("band") + 1) * 1000 + F.col("more")).alias("band"),
+        F.xxhash64("key", "further").alias("key"), "tx", "fp", "signature", "component",
+    )
+    return cold.unionByName(hot).repartition("band", "key").mapInArrow(
+        _candidate_links(similarity, first), "u long, v long, sure boolean"
+    )
+
+
 def groups(
     docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -137,21 +205,20 @@ def groups(
     met = materialise(met, "similar-met")
     company = marked.join(met.select("tx").distinct(), "tx", "left_semi")
     distinct = materialise(company.select(*names).dropDuplicates(["tx"]), "similar-distinct")
-    rows = distinct.join(met, "tx")
-    cold = rows.where(F.col("n") <= GROUP).select("band", "key", "tx", "fp", "signature")
-    # a band that very many share is dealt out by further bands
-    hot = rows.where(F.col("n") > GROUP).select(
-        "band", "key", "tx", "fp", "signature",
-        F.posexplode(F.slice("bands", BANDS + 1, MORE_BANDS)).alias("more", "further"),
-    )
-    hot = hot.select(
-        ((F.col("band") + 1) * 1000 + F.col("more")).alias("band"),
-        F.xxhash64("key", "further").alias("key"), "tx", "fp", "signature",
-    )
-    links = cold.unionByName(hot).repartition("band", "key").mapInArrow(
-        _confirmed_links(similarity), "u long, v long"
-    )
-    found = connected(links)
+    rows = distinct.join(met, "tx").withColumn("component", F.col("tx"))
+    links = materialise(_compared(rows, similarity, True), "similar-links")
+    tried = materialise(links.where("NOT sure").select("u", "v").distinct(), "similar-tried")
+    good = links.where("sure").select("u", "v").unionByName(verified(tried, docs, similarity, text_col))
+    good = materialise(good.distinct(), "similar-good")
+    found = materialise(connected(good), "similar-components")
+    # a pair that is still apart and was not tried yet may link two components
+    placed = rows.drop("component").join(found, F.col("tx") == F.col("node"), "left").drop("node")
+    placed = placed.withColumn("component", F.coalesce("component", "tx"))
+    rest = _compared(placed, similarity, False).select("u", "v").distinct()
+    rest = materialise(rest.join(tried, ["u", "v"], "left_anti"), "similar-rest")
+    more = materialise(verified(rest, docs, similarity, text_col), "similar-more")
+    if not more.isEmpty():
+        found = connected(good.unionByName(more))
     return marked.join(found, F.col("tx") == F.col("node"), "left").select(
         "doc_id", "tx", F.coalesce("component", "tx").alias("component")
     )

@@ -1,0 +1,29 @@
+import numpy as np
+
+from corpusloom.llm import similar
+
+
+def _text(words):
+    return " ".join(words)
+
+
+def test_exact_similarity_decides(spark):
+    draw = np.random.default_rng(3)
+    rows, same = [], {}
+    for k in range(150):
+        words = [f"w{k}x{i}" for i in draw.permutation(104)]
+        # 100 shingles; a shared run of n words leaves n - 4 shingles in common
+        n = int(draw.integers(84, 98)) if k % 5 else 93
+        other = words[:n] + [f"o{k}x{i}" for i in range(104 - n)]
+        rows += [(2 * k, _text(words)), (2 * k + 1, _text(other))]
+        same[k] = (n - 4) / (200 - (n - 4)) >= 0.8
+    assert 20 < sum(same.values()) < 130
+    # four of five shingles
+    for k in range(150, 200):
+        words = [f"w{k}x{i}" for i in range(9)]
+        rows += [(2 * k, _text(words)), (2 * k + 1, _text(words[:8]))]
+        same[k] = True
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component for r in similar.groups(table).collect()}
+    assert {k: found[2 * k] == found[2 * k + 1] for k in same} == same
+    assert len(set(found.values())) == 200 + sum(not x for x in same.values())
