@@ -12,6 +12,7 @@ from corpusloom.llm import (
     kneserney,
     licenses,
     packing,
+    periodic,
     simhash,
     suffixes,
     surrogates,
@@ -172,3 +173,43 @@ def _(spark, folder):
         placed.select("offset", "length", "digest"),
         placed.where(f"NOT {_LOST}").select("offset", "length", F.col("copy").alias("digest")),
     )
+
+
+WORDS_APART = r"[\x20\x09-\x0D]+"
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """Texts of which a tenth, by the hash of the id, repeat a stretch of words up to their end.
+
+    Other texts, and those of rows without an id, stay.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", WORDS_APART), lambda w: w != "")
+    n = F.size("_words")
+    marked = docs.select("doc_id", "text", g.alias("_g"), F.when(h % 10 == 0, words).alias("_words"))
+    marked = marked.withColumn("_a", F.when(n > 0, F.col("_g") % n))
+    marked = marked.withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8)))
+    head = F.slice("_words", F.lit(1), F.col("_a").cast("int"))
+    period = F.slice("_words", F.col("_a").cast("int") + 1, F.col("_p").cast("int"))
+    rest = (n - F.col("_a")).cast("int")
+    again = F.flatten(F.array_repeat(period, F.ceil(rest / F.col("_p")).cast("int")))
+    text = F.array_join(F.concat(head, F.slice(again, F.lit(1), rest)), " ")
+    return marked.select("doc_id", F.when(F.col("_a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def _(spark, folder):
+    found = periodic.find_runs(planted_repeats(_table(spark, folder, "documents")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start, r.period)))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.withColumn("_first", first).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_first.start").alias("start"),
+        (-F.col("_first.less")).alias("length"),
+        F.col("_first.period").alias("period"),
+        F.floor(-1000 * F.col("_first.less") / F.col("_first.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
