@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
+    bbit,
     crosspolytope,
     decontamination,
     fixity,
@@ -213,3 +214,8 @@ def _(spark, folder):
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_bbit_near_duplicates")
+def _(spark, folder):
+    return bbit.near_duplicates(_table(spark, folder, "documents"))
