@@ -9,11 +9,14 @@ an estimate of the similarity with a standard error below 0.037.  A pair estimat
 far below the threshold is turned down; every other one is confirmed on the full
 sets.
 
-No group is compared with itself as a whole.  First each text of a band meets
-the first text of that band only, and what the full sets confirm joins up.  Most
-bands are of one component then.  In the others the texts outside the largest
-component meet all texts of other components, in tiles of at most ``GROUP``
-texts a side, so a band that very many texts share is the work of many tasks.
+No group is compared with itself as a whole, and no pairs of a group are written.
+First each text of a band meets one text of that band only, its hub, and what the
+full sets confirm joins up; then so do the texts outside the largest component.
+Most bands are of one component then.  In the others the texts outside the
+largest component meet all texts of other components, in tiles of at most
+``GROUP`` texts a side.  Tiles with near pairs get the full sets and return a
+forest of the confirmed links.  A band that very many texts share is thus the work
+of many tasks, each of which returns no more rows than it has.
 """
 
 from __future__ import annotations
@@ -37,7 +40,11 @@ BANDS, ROWS = 20, 3
 # Estimates this far below the threshold turn a pair down: over 4.8 standard errors.
 MARGIN = 0.18
 # Texts of a band on one side of a tile.
-GROUP = 4096
+GROUP = 1024
+# Texts of a band up to which any of them is as good a hub; twice as many are the sample of a larger one.
+FEW = 16
+# Times that bands meet a hub; after more turns less is left to compare in tiles.
+HUB_TURNS = 2
 # Comparisons handled together.
 CHUNK = 1 << 17
 # Different words whose hashes a task remembers.
@@ -147,76 +154,187 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("text_key"), F.coalesce(F.octet_length(text), F.lit(0)).alias("text_size")]
 
 
-def compared(least: float, percent: int = PERCENT):
-    """``(u, v)``: pairs of a tile, one of each side and of different components, estimated at ``least`` or more.
+class Tile:
+    """Rows of some tiles, sorted so that in each the rows of side 0 come before those of side 1."""
 
-    A pair whose sizes alone rule out the similarity is left out.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
         held = list(batches)
-        if not held:
+        self.size = sum(b.num_rows for b in held)
+        if not self.size:
             return
         table = pa.Table.from_batches(held)
-        names = ("band", "key", "i", "j", "side", "node", "n_shingles", "component")
-        band, key, i, j, side, node, size, part = (table.column(c).to_numpy() for c in names)
-        order = np.lexsort((side, j, i, key, band))
-        band, key, i, j, side, node, size, part = (x[order] for x in (band, key, i, j, side, node, size, part))
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64)
-        signature = signature.reshape(len(order), -1)[order]
-        change = (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        head = np.flatnonzero(np.r_[True, change])
-        tile = np.cumsum(np.r_[False, change])
-        # of a tile the rows of side 0 come first; each meets all of side 1
-        zeros = np.add.reduceat((side == 0).astype(np.int64), head)
-        ones = np.diff(np.r_[head, len(side)]) - zeros
-        left = np.flatnonzero(side == 0)
-        meets = ones[tile[left]]
-        first = (head + zeros)[tile[left]]
+        order = np.lexsort([table.column(c).to_numpy() for c in ("side", "j", "i", "key", "band")])
+        self.table = table.take(pa.array(order))
+        for c in ("band", "key", "i", "j", "side", "node", "n_shingles", "component"):
+            setattr(self, c, self.table.column(c).to_numpy())
+        self.signature = self._matrix("signature", np.uint64)
+
+    def _matrix(self, name: str, kind) -> np.ndarray:
+        """A column of equally long values as one array."""
+        values = self.table.column(name).to_pylist()
+        flat = np.frombuffer(b"".join(values), kind) if kind == np.uint64 else np.array(values, kind)
+        return flat.reshape(self.size, -1)
+
+    def met(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of rows of side 0 and of rows of side 1 that they meet, some at a time."""
+        if not self.size:
+            return
+        tile = np.zeros(self.size - 1, bool)
+        for c in (self.band, self.key, self.i, self.j):
+            tile |= np.diff(c) != 0
+        head = np.flatnonzero(np.r_[True, tile])
+        tile = np.cumsum(np.r_[False, tile])
+        zeros = np.add.reduceat((self.side == 0).astype(np.int64), head)
+        ones = np.diff(np.r_[head, self.size]) - zeros
+        left = np.flatnonzero(self.side == 0)
+        meets, first = ones[tile[left]], (head + zeros)[tile[left]]
         until = np.cumsum(meets)
         at = 0
         while at < len(left):
             done = until[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(until, done + CHUNK, "right")))
-            rows = np.repeat(left[at:stop], meets[at:stop])
-            skip = np.cumsum(meets[at:stop]) - meets[at:stop]
-            others = np.repeat(first[at:stop] - skip, meets[at:stop]) + np.arange(len(rows))
-            small, large = np.minimum(size[rows], size[others]), np.maximum(size[rows], size[others])
-            near = np.flatnonzero((part[rows] != part[others]) & (100 * small >= percent * large))
-            rows, others = rows[near], others[near]
-            good = estimate(signature[rows], signature[others]) >= least
-            u, v = node[rows[good]], node[others[good]]
-            if len(u):
-                both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+            many = meets[at:stop]
+            skip = np.cumsum(many) - many
+            rows = np.repeat(left[at:stop], many)
+            yield rows, np.repeat(first[at:stop] - skip, many) + np.arange(len(rows))
             at = stop
 
+    def near(self, least: float, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of those the pairs of different components estimated at ``least`` or more, and the estimates.
+
+        Sizes that alone rule out the similarity do so.  Where rows have their bands, a
+        pair counts in the first band that it shares only.
+        """
+        bands = self._matrix("bands", np.int64) if self.size and "bands" in self.table.column_names else None
+        for rows, others in self.met():
+            small = np.minimum(self.n_shingles[rows], self.n_shingles[others])
+            large = np.maximum(self.n_shingles[rows], self.n_shingles[others])
+            good = (self.component[rows] != self.component[others]) & (100 * small >= percent * large)
+            rows, others = rows[good], others[good]
+            guess = estimate(self.signature[rows], self.signature[others])
+            good = guess >= least
+            rows, others, guess = rows[good], others[good], guess[good]
+            if bands is not None and len(rows):
+                good = np.argmax(bands[rows] == bands[others], axis=1) == self.band[rows]
+                rows, others, guess = rows[good], others[good], guess[good]
+            yield rows, others, guess
+
+
+def _pairs_of_tiles(least: float, percent: int):
+    """``(u, v)`` of the near pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = Tile(batches)
+        for rows, others, _ in tile.near(least, percent):
+            u, v = tile.node[rows], tile.node[others]
+            yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    return run
+
+
+def _scores_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(band, key, node, score)``: how similar a row of side 0 is to those of side 1, summed up."""
+    tile = Tile(batches)
+    for rows, others in tile.met():
+        if len(rows):
+            guess = estimate(tile.signature[rows], tile.signature[others])
+            head = np.flatnonzero(np.r_[True, np.diff(rows) != 0])
+            of, score = rows[head], np.add.reduceat(guess, head)
+            columns = [pa.array(c[of]) for c in (tile.band, tile.key, tile.node)]
+            yield pa.record_batch([*columns, pa.array(score)], names=["band", "key", "node", "score"])
+
+
+def _rows_in_near_pairs(least: float, percent: int):
+    """The rows that are in any near pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = Tile(batches)
+        if not tile.size:
+            return
+        seen = np.zeros(tile.size, bool)
+        for rows, others, _ in tile.near(least, percent):
+            seen[rows] = True
+            seen[others] = True
+        yield from tile.table.filter(pa.array(seen)).to_batches()
+
+    return run
+
+
+def _links_of_tiles(least: float, percent: int):
+    """``(u, v)``: a forest of the links that the full sets confirm, of rows with their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = Tile(batches)
+        if not tile.size:
+            return
+        sets = tile.table.column("shingles").combine_chunks()
+        flat, starts = sets.flatten().to_numpy(), np.asarray(sets.offsets) - sets.offsets[0].as_py()
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        u, v = [], []
+        for rows, others, guess in tile.near(least, percent):
+            likely = np.argsort(-guess, kind="stable")
+            for a, b in zip(rows[likely].tolist(), others[likely].tolist(), strict=True):
+                x, y = root(int(tile.component[a])), root(int(tile.component[b]))
+                if x == y:
+                    continue
+                one, other = flat[starts[a] : starts[a + 1]], flat[starts[b] : starts[b + 1]]
+                both = np.concatenate([one, other])
+                both.sort()
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * shared >= percent * (len(both) - shared):
+                    parent[max(x, y)] = min(x, y)
+                    u.append(int(tile.node[a])), v.append(int(tile.node[b]))
+        yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
     return run
 
 
-def _tiles(rows: DataFrame, zero: Column, one: Column, n_zero: Column, n_one: Column, percent: int) -> DataFrame:
-    """Pairs of rows of condition ``zero`` with those of ``one`` in each band, in tiles of bounded sides."""
+TILE = "band int, key long, i int, j int, side int, node long, n_shingles long, component long, signature binary"
+
+
+def _tiles(rows: DataFrame, zero: Column, one: Column, n_zero: Column, n_one: Column, *more: str) -> DataFrame:
+    """Rows of condition ``zero`` to meet those of ``one`` of their band, in tiles of bounded sides."""
     tiles_zero = F.greatest(F.lit(1), F.ceil(n_zero / GROUP)).cast("int")
     tiles_one = F.greatest(F.lit(1), F.ceil(n_one / GROUP)).cast("int")
-    names = ["band", "key", "node", "n_shingles", "component", "signature"]
     mixed = F.xxhash64("node", "band")
 
     def dealt(side: int, held: Column, own: Column, other: Column) -> DataFrame:
         block, every = F.pmod(mixed, own).cast("int"), F.explode(F.sequence(F.lit(0), other - 1))
         i, j = (block, every) if side == 0 else (every, block)
-        return rows.where(held).select(*names, F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+        return rows.where(held).select(
+            "band", "key", i.alias("i"), j.alias("j"), F.lit(side).alias("side"),
+            "node", "n_shingles", "component", "signature", *more,
+        )
 
     both = dealt(0, zero, tiles_zero, tiles_one).unionByName(dealt(1, one, tiles_one, tiles_zero))
-    return both.repartition("band", "key", "i", "j").mapInArrow(
-        compared(percent / 100 - MARGIN, percent), "u long, v long"
+    return both.repartition("band", "key", "i", "j")
+
+
+def _hubs(rows: DataFrame) -> DataFrame:
+    """``(band, key, hub)``: a text of each band to which the others are similar.
+
+    In a family of edited copies the copies may be similar to their origin only.  So in
+    larger bands it is the text most similar to a sample of the band; the sample
+    only chooses whom all meet first.
+    """
+    small = rows.where(F.col("n") <= FEW).groupBy("band", "key").agg(F.min("node").alias("hub"))
+    large = rows.where(F.col("n") > FEW)
+    sampled = F.pmod(F.xxhash64("key", "node"), "n") < 2 * FEW
+    scores = _tiles(large, F.lit(True), sampled, F.col("n"), F.lit(2 * FEW)).mapInArrow(
+        _scores_of_tiles, "band int, key long, node long, score double"
     )
+    best = scores.groupBy("band", "key").agg(F.max(F.struct("score", "node")).alias("best"))
+    return small.unionByName(best.select("band", "key", F.col("best.node").alias("hub")))
 
 
-def confirmed(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT,
-    shingle: int = SHINGLE, text_col: str = "text",
-) -> DataFrame:
-    """Those of the different pairs ``(u, v)`` of ``node`` whose full sets are similar."""
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """``(node, shingles)``: the full sets of some classes, each from one of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of = Shingles(shingle)
@@ -225,13 +343,15 @@ def confirmed(
             sets = [shingles_of(t).view(np.int64) for t in texts]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = classes.join(ends, "node", "left_semi").select("node", "text_key", "text_size")
-    texts = docs.select(*_text_key(F.col(text_col)), F.col(text_col).alias("_text"))
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "text_key", "text_size")
+    texts = docs.select(*_text_key(F.col(text_col)), F.col(text_col).cast("string").alias("_text"))
     one = texts.join(wanted.select("text_key", "text_size"), ["text_key", "text_size"], "left_semi")
     one = one.dropDuplicates(["text_key", "text_size"]).join(wanted, ["text_key", "text_size"])
-    sets = one.select("node", "_text").mapInArrow(run, "node long, shingles array<long>")
-    sets = materialise(sets, "bbit-sets")
+    return materialise(one.select("node", "_text").mapInArrow(run, "node long, shingles array<long>"), "bbit-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the different pairs ``(u, v)`` of ``node`` whose full sets are similar."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(
         sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v"
     )
@@ -246,6 +366,16 @@ def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
     return placed.drop("_component")
 
 
+def _open_bands(placed: DataFrame) -> DataFrame:
+    """The rows of bands of several components, with the largest one and its number of texts."""
+    parts = placed.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
+    parts = parts.groupBy("band", "key").agg(
+        F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts")
+    )
+    parts = parts.where("parts > 1").select("band", "key", F.col("most.c").alias("c"), F.col("most.component").alias("main"))
+    return placed.join(parts, ["band", "key"])
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE,
     id_col: str = "doc_id", text_col: str = "text",
@@ -271,31 +401,42 @@ def near_duplicates(
     )
     classes = classes.select("tx", "first_id", "one.*", F.monotonically_increasing_id().alias("node"))
     classes = materialise(classes, "bbit-classes")
-    keyed = classes.select("node", "n_shingles", "signature", F.posexplode("bands").alias("band", "key"))
+    keyed = classes.select("node", "n_shingles", "signature", "bands", F.posexplode("bands").alias("band", "key"))
     # most texts meet no other one
-    stats = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    rows = materialise(keyed.join(stats, ["band", "key"]), "bbit-met")
-    alone = rows.withColumn("component", F.col("node"))
-    is_first = F.col("node") == F.col("first")
-    stars = _tiles(alone, ~is_first, is_first, F.col("n"), F.lit(1), percent)
-    tried = materialise(stars.distinct(), "bbit-stars")
-    links = materialise(confirmed(tried, classes, docs, percent, shingle, text_col), "bbit-links")
-    placed = materialise(_with_components(rows, links), "bbit-placed")
-    # bands of several components: their largest one, and how many texts are outside it
-    parts = placed.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
-    parts = parts.groupBy("band", "key").agg(
-        F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts")
+    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = materialise(keyed.join(shared, ["band", "key"]), "bbit-met")
+    placed, links = rows.withColumn("component", F.col("node")), None
+    least = percent / 100 - MARGIN
+    for turn in range(HUB_TURNS):
+        open_ = placed
+        if turn:
+            # a band's texts outside its largest component
+            outside = _open_bands(placed).where(F.col("component") != F.col("main"))
+            open_ = outside.withColumn("n", F.col("n") - F.col("c")).where("n > 1")
+        hubs = materialise(_hubs(open_), "bbit-hubs")
+        met, is_hub = open_.join(hubs, ["band", "key"]), F.col("node") == F.col("hub")
+        stars = _tiles(met, ~is_hub, is_hub, F.col("n"), F.lit(1)).mapInArrow(
+            _pairs_of_tiles(least, percent), "u long, v long"
+        )
+        stars = materialise(stars.distinct(), "bbit-stars")
+        sets = _sets(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), classes, docs, shingle, text_col)
+        good = _confirmed(stars, sets, percent)
+        links = materialise(good if links is None else links.unionByName(good), "bbit-links")
+        placed = materialise(_with_components(rows, links), "bbit-placed")
+    open_ = _open_bands(placed)
+    tiles = _tiles(
+        open_, F.col("component") != F.col("main"), F.lit(True), F.col("n") - F.col("c"), F.col("n"), "bands"
+    )
+    rest = tiles.mapInArrow(_rows_in_near_pairs(least, percent), TILE + ", bands array<long>")
+    rest = materialise(rest, "bbit-rest")
+    sets = _sets(rest.select("node").distinct(), classes, docs, shingle, text_col)
+    more = rest.join(sets, "node").repartition("band", "key", "i", "j").mapInArrow(
+        _links_of_tiles(least, percent), "u long, v long"
     )
-    parts = parts.where("parts > 1").select("band", "key", F.col("most.c").alias("c"), F.col("most.component").alias("main"))
-    open_ = placed.join(parts, ["band", "key"])
-    outside = F.col("component") != F.col("main")
-    rest = _tiles(open_, outside, F.lit(True), F.col("n") - F.col("c"), F.col("n"), percent)
-    rest = materialise(rest.distinct().join(tried, ["u", "v"], "left_anti"), "bbit-rest")
-    more = materialise(confirmed(rest, classes, docs, percent, shingle, text_col), "bbit-more")
     placed = _with_components(classes.select("node", "tx", "first_id"), links.unionByName(more))
     placed = materialise(placed, "bbit-components")
-    least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = placed.join(least, "component").select("tx", "component_id")
+    first = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    found = placed.join(first, "component").select("tx", "component_id")
     named = each.select("doc_id", "n_shingles", "tx").join(found, "tx", "left")
     # an empty set is a component of its own
     component = F.when(F.col("tx").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -48,9 +48,10 @@ def _table(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string, tx double").repartition(3)
 
 
-@pytest.mark.parametrize("group", [4096, 3])
-def test_components_against_all_pairs(spark, copies, monkeypatch, group):
+@pytest.mark.parametrize(("group", "few"), [(4096, 16), (3, 1)])
+def test_components_against_all_pairs(spark, copies, monkeypatch, group, few):
     monkeypatch.setattr(bbit, "GROUP", group)
+    monkeypatch.setattr(bbit, "FEW", few)
     monkeypatch.setattr(bbit, "CHUNK", 50)
     sets = [_set(t) for t in copies]
     want = _components(sets)
@@ -75,6 +76,22 @@ def test_a_band_that_all_share(spark, monkeypatch):
     assert [found[i] for i in range(60)] == want == [0] * 60
 
 
+def test_copies_similar_to_their_origin_only(spark, monkeypatch):
+    monkeypatch.setattr(bbit, "GROUP", 16)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(50):
+        # 7 words apart from the origin, 14 from each other
+        gone = random.Random(k).sample(range(0, 396, 4), 7)
+        texts.append(" ".join(f"x{k}" if i in gone else w for i, w in enumerate(base)))
+    texts.insert(23, " ".join(base))
+    sets = [_set(t) for t in texts]
+    linked = sum(100 * len(a & b) >= 80 * len(a | b) for a in sets for b in sets if a is not b)
+    assert linked < 0.4 * 50 * 51
+    found = {r.doc_id: r.component_id for r in bbit.near_duplicates(_table(spark, texts)).collect()}
+    assert [found[i] for i in range(51)] == _components(sets) == [0] * 51
+
+
 def test_estimates_are_free_of_chance_matches():
     draw = np.random.default_rng(9)
     factors = draw.integers(0, 1 << 63, bbit.HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,6 +144,7 @@ def test_a_tile_compares_its_sides_only():
         "signature": [signature] * n,
     }
     batch = pa.RecordBatch.from_pydict(columns)
-    pairs = {(u, v) for b in bbit.compared(0.62)(iter([batch])) for u, v in zip(*(c.to_pylist() for c in b.columns))}
+    found = bbit._pairs_of_tiles(0.62, 80)(iter([batch]))
+    pairs = {(u, v) for b in found for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
     # 5 is too small for 1 and 4; 3 and 4 are of one component
     assert pairs == {(0, 1), (1, 2), (1, 3), (0, 4), (2, 4)}
