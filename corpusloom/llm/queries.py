@@ -18,6 +18,7 @@ from corpusloom.llm import (
     suffixes,
     surrogates,
     toxicity,
+    whitening,
 )
 from corpusloom.session import materialise
 
@@ -219,3 +220,25 @@ def _(spark, folder):
 @query("op13_bbit_near_duplicates")
 def _(spark, folder):
     return bbit.near_duplicates(_table(spark, folder, "documents"))
+
+
+@query("op12_embedding_whitening")
+def _(spark, folder):
+    vectors = _table(spark, folder, "embeddings")
+    # an entry that no long can hold is null, so its vector takes no part
+    whole = F.transform("embedding", lambda c: F.try_add(F.floor(64 * c.cast("double")), F.lit(1_000_000)))
+    whole = F.when(whitening.usable(F.col("embedding")), whole)
+    found, fit = whitening.whiten(vectors.select("vec_id", whole.alias("vector")))
+    away = whitening.deviation(F.col("vector"), fit).alias("deviation")
+    shares = F.lit(fit["explained"]) if fit["explained"] else F.array().cast("array<double>")
+    listed = F.arrays_zip(F.col("whitened").alias("whitened"), shares.alias("explained"))
+    each = found.select("vec_id", away, F.posexplode(listed).alias("at", "c"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        F.lit(fit["n"]).cast("long").alias("n"),
+        "deviation",
+        F.col("c.whitened").alias("whitened"),
+        F.col("c.explained").alias("explained"),
+        F.lit(fit["identity_error"]).cast("double").alias("identity_error"),
+    )
