@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import references
+from corpusloom.functions.columns import let, where
+
 # ---- fixed values -------------------------------------------------------
 # Unicode white space as Python's str.split() knows it.
 SPACE = (
@@ -19,30 +22,6 @@ TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}
 DATELINE = r"(?d)^.*\(Reuters\)" + SPACE + "*-" + SPACE + "*"
 DATELINE_MARKER = "(Reuters) -"
 SEPARATOR = " [SEP] "
-# HTML entities that are unescaped; the ampersand comes last.
-HTML_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&#34;", '"'),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&trade;", "™"),
-    ("&middot;", "·"),
-    ("&hellip;", "…"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&lsquo;", "‘"),
-    ("&rsquo;", "’"),
-    ("&ldquo;", "“"),
-    ("&rdquo;", "”"),
-    ("&eacute;", "é"),
-    ("&amp;", "&"),
-]
 SINGLE_QUOTES = "ʼ‘’‚‛"
 DOUBLE_QUOTES = "“”„‟"
 LIGATURES = [
@@ -54,11 +33,17 @@ LIGATURES = [
     ("ﬅ", "ſt"),
     ("ﬆ", "st"),
 ]
-LINE_BREAKS = r"\r\n|[\r\x{85}\x{2028}\x{2029}]"
+# Line breaks besides the two signs of carriage return and line feed.
+BREAKS = "\r\x85\u2028\u2029"
 TERMINAL_ESCAPE = r"\x1b\[[0-9;]*[a-zA-Z]"
 CONTROL = (
     r"[\x00-\x08\x0b\x0e-\x1f\x7f\x{206a}-\x{206f}\x{feff}\x{fff9}-\x{fffc}]"
 )
+# Quotes, full-width forms, line breaks and control signs.
+PLAIN_SIGNS = (
+    f"[{SINGLE_QUOTES}{DOUBLE_QUOTES}\\x{{ff01}}-\\x{{ff5e}}\\x{{3000}}"
+    r"\r\x{85}\x{2028}\x{2029}" + CONTROL[1:]
+)
 NEEDS_LOOK = r"[^\t\n\x0c\x20-\x7e]|&"
 UTF8_AS_LATIN1 = (
     r"[\x{c2}-\x{df}][\x{80}-\x{bf}]"
@@ -74,6 +59,8 @@ UTF8_AS_LATIN1 = (
 # Full-width forms differ from ASCII by a constant distance.
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+_CONTROL_SIGNS = [chr(c) for c in (*range(0x20), 0x7F, *range(0x206A, 0x2070), 0xFEFF, *range(0xFFF9, 0xFFFD))]
+_CONTROL_SIGNS = [c for c in _CONTROL_SIGNS if c not in "\t\n\x0c\r"]
 
 
 def _windows_points() -> tuple[str, str]:
@@ -91,15 +78,6 @@ def _windows_points() -> tuple[str, str]:
 _CP1252_SHOWN, _CP1252_RAW = _windows_points()
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``.
-
-    The optimizer may inline a projected column into every place that uses it;
-    a lambda variable is computed once whatever the plan becomes.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def strip_dateline(text: Column) -> Column:
     """remove everything up to the agency marker on the first line."""
     return F.regexp_replace(text, DATELINE, "")
@@ -148,11 +126,6 @@ def add_length_column(df: DataFrame, text_col: str = "text", method: str = "char
     return df.withColumn(name, text_length(F.col(text_col), method)), name
 
 
-def _where(text: Column, test: Callable[[Column], Column], fix: Callable[[Column], Column]):
-    """``fix`` only the texts that pass ``test``; the text is worked out once."""
-    return let(text, lambda x: F.when(test(x), fix(x)).otherwise(x))
-
-
 def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
     for old, new in pairs:
         text = F.replace(text, F.lit(old), F.lit(new))
@@ -160,12 +133,16 @@ def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def unescape_html(text: Column) -> Column:
-    """Unescape common entities, unless the text looks like markup itself."""
-    return _where(
-        text,
-        lambda x: F.contains(x, F.lit("&")) & ~F.contains(x, F.lit("<")),
-        lambda x: _replace_all(x, HTML_ENTITIES),
-    )
+    """Decode character references, but from the first line with a ``<`` on, which is markup."""
+
+    def before_markup(x: Column) -> Column:
+        def parted(head: Column) -> Column:
+            return F.concat(references.decode_nested(head), F.substr(x, F.length(head) + 1))
+
+        lines = F.regexp_extract(x, r"^[^<]*\n", 0)
+        return let(F.when(F.contains(x, F.lit("<")), lines).otherwise(x), parted)
+
+    return where(text, lambda x: F.contains(x, F.lit("&")), before_markup)
 
 
 def fix_mojibake(text: Column) -> Column:
@@ -186,51 +163,45 @@ def fix_mojibake(text: Column) -> Column:
 
         return let(F.translate(shown, _CP1252_SHOWN, _CP1252_RAW), decoded)
 
-    return _where(text, lambda x: x.rlike(lead_and_trail), repair)
-
-
-def straighten_quotes(text: Column) -> Column:
-    signs = SINGLE_QUOTES + DOUBLE_QUOTES
-    plain = "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES)
-    return _where(
-        text, lambda x: x.rlike(f"[{signs}]"), lambda x: F.translate(x, signs, plain)
-    )
+    return where(text, lambda x: x.rlike(lead_and_trail), repair)
 
 
 def split_ligatures(text: Column) -> Column:
     signs = "".join(ligature for ligature, _ in LIGATURES)
-    return _where(
+    return where(
         text, lambda x: x.rlike(f"[{signs}]"), lambda x: _replace_all(x, LIGATURES)
     )
 
 
-def narrow_width(text: Column) -> Column:
-    return _where(
+def plain_signs(text: Column) -> Column:
+    """Straight quotes, half-width forms, ``\\n`` for line breaks, no control signs; one pass."""
+    to = "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + _NARROW + "\n" * len(BREAKS)
+    signs = SINGLE_QUOTES + DOUBLE_QUOTES + _WIDE + BREAKS + "".join(_CONTROL_SIGNS)
+    return where(
         text,
-        lambda x: x.rlike(f"[{_WIDE[0]}-{_WIDE[-2]}{_WIDE[-1]}]"),
-        lambda x: F.translate(x, _WIDE, _NARROW),
+        lambda x: x.rlike(PLAIN_SIGNS),
+        # signs without a counterpart are dropped
+        lambda x: F.translate(F.replace(x, F.lit("\r\n"), F.lit("\n")), signs, to),
     )
 
 
 def repair_text(text: Column) -> Column:
-    """entities, mojibake, ligatures, widths, quotes, breaks, controls.
+    """references, mojibake, ligatures, terminal escapes, widths, quotes, breaks, controls.
 
     Plain ASCII text without an ampersand is recognised in one scan and passed
     through; the costlier rewrites run only where their signs occur.
     """
 
     def repaired(x: Column) -> Column:
-        out = fix_mojibake(unescape_html(x))
-        out = straighten_quotes(narrow_width(split_ligatures(out)))
-        out = F.regexp_replace(out, LINE_BREAKS, "\n")
-        out = _where(
+        out = split_ligatures(fix_mojibake(unescape_html(x)))
+        out = where(
             out,
             lambda y: F.contains(y, F.lit("\x1b")),
             lambda y: F.regexp_replace(y, TERMINAL_ESCAPE, ""),
         )
-        return F.regexp_replace(out, CONTROL, "")
+        return plain_signs(out)
 
-    return _where(text, lambda x: x.rlike(NEEDS_LOOK), repaired)
+    return where(text, lambda x: x.rlike(NEEDS_LOOK), repaired)
 
 
 def clean_text(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.bounded import checked, small_rows
-from corpusloom.functions import text as tx, urls
+from corpusloom.functions import references, text as tx, urls
 from corpusloom.operators import windows
 
 # ---- fixed values -------------------------------------------------------
@@ -26,9 +26,7 @@ ANY_TAG = r"<[^>]*>"
 
 def _plain(markup: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(markup, BREAKING_TAG, " "), ANY_TAG, "")
-    for entity, sign in tx.HTML_ENTITIES:
-        bare = F.replace(bare, F.lit(entity), F.lit(sign))
-    return F.array_join(tx.words(bare), " ")
+    return F.array_join(tx.words(references.decode(bare, open_ended=True)), " ")
 
 
 def page_title(html: Column) -> Column:

@@ -72,6 +72,33 @@ def _(t):
     return t.pages.select("page_id", tx.repair_text(bare).alias("text"))
 
 
+# Letters that are written as references, and the sign each of them stands for.
+_WRITTEN = {"q": ("&#8217;", 8217), "x": ("&times;", 215), "z": ("&#x2019;", 8217), "j": ("&euro;", 8364),
+            "k": ("&ntilde;", 241), "w": ("&notin;", 8713), "v": ("&amp;amp;eacute;", 233), "y": ("&#0128512;", 128512)}
+
+
+def _signs() -> str:
+    out = "translate(text, '<&', '(+')"
+    for letter, (_, number) in _WRITTEN.items():
+        out = f"replace({out}, '{letter}', chr({number}))"
+    return out
+
+
+@query(
+    "f06_references",
+    f"""WITH w AS (SELECT doc_id, {_signs()} AS text FROM documents)
+    SELECT doc_id, {S.repaired('text')} AS text FROM w""",
+    heavy=True,
+)
+def _(t):
+    # by way of private signs, as references have letters themselves
+    private = {letter: chr(0xE000 + i) for i, letter in enumerate(_WRITTEN)}
+    written = F.translate("text", "<&" + "".join(private), "(+" + "".join(private.values()))
+    for letter, (reference, _) in _WRITTEN.items():
+        written = F.replace(written, F.lit(private[letter]), F.lit(reference))
+    return t.documents.select("doc_id", tx.repair_text(written).alias("text"))
+
+
 @query(
     "f07_mask_entities",
     f"""SELECT doc_id, {S.masked('text', 'text')} AS text FROM documents""",

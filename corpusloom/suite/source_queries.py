@@ -137,14 +137,7 @@ _NOISE = "|".join(["<!--.*?-->"] + [rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in _TAGS]
 def _text_of(markup: str) -> str:
     out = rf"regexp_replace({markup}, '(?i)<(br|/p|/h[1-6]|/li|/div|p)\b[^>]*>', ' ', 'g')"
     out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
-    for a, b in [
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"),
-        ("&#x27;", "''"), ("&#34;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
-        ("&trade;", "™"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"),
-        ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-        ("&rdquo;", "”"), ("&eacute;", "é"), ("&amp;", "&"),
-    ]:
-        out = f"replace({out}, '{a}', '{b}')"
+    out = rf"regexp_replace({S.unescaped(out)}, '&amp;?', '&', 'g')"
     return f"array_to_string({S.word_list(out)}, ' ')"
 
 
@@ -174,6 +167,20 @@ def _(t):
     return pages.extract_articles(t.pages)
 
 
+@query(
+    "s06_article_references",
+    f"""WITH w AS (SELECT page_id, url, replace(replace(replace(html, '7', chr(8364)), '8', chr(169)), '9', chr(8713))
+      AS html FROM pages), {article_sql('w', 500)} SELECT page_id, url, title, text FROM art""",
+    heavy=True,
+)
+def _(t):
+    # by way of private signs, as references have digits themselves
+    written = F.translate("html", "789", "\ue007\ue008\ue009")
+    for sign, reference in (("\ue007", "&#x20AC;"), ("\ue008", "&copy"), ("\ue009", "&notin;")):
+        written = F.replace(written, F.lit(sign), F.lit(reference))
+    return pages.extract_articles(t.pages.withColumn("html", written))
+
+
 def _drawn(role: str) -> str:
     return f"CAST('0x' || substr(md5('42:{role}:' || row_id), 1, 8) AS BIGINT)"
 

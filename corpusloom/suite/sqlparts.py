@@ -34,19 +34,28 @@ def seed(x: str) -> str:
     )
 
 
+# References that the given tables hold, and some that they do not.
+REFERENCES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"),
+    ("&#x27;", "''"), ("&#34;", '"'), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"),
+    ("&trade;", "™"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"),
+    ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
+    ("&rdquo;", "”"), ("&eacute;", "é"),
+]
+
+
+def unescaped(x: str) -> str:
+    for a, b in REFERENCES:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 def repaired(x: str) -> str:
     """Text repair but for mojibake, which SQL cannot undo."""
-    pairs = [
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"),
-        ("&#x27;", "''"), ("&#34;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
-        ("&trade;", "™"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"),
-        ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-        ("&rdquo;", "”"), ("&eacute;", "é"), ("&amp;", "&"),
-    ]
-    un = x
-    for a, b in pairs:
-        un = f"replace({un}, '{a}', '{b}')"
-    out = f"CASE WHEN contains({x}, '<') THEN {x} ELSE {un} END"
+    head = f"CASE WHEN contains({x}, '<') THEN regexp_extract({x}, '^[^<]*\\n') ELSE {x} END"
+    plain = unescaped(f"regexp_replace({head}, '&(amp;)+', '&', 'g')")
+    out = f"concat({plain}, substr({x}, length({head}) + 1))"
+    out = f"CASE WHEN contains({x}, '&') THEN {out} ELSE {x} END"
     for a, b in [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"),
                  ("ﬅ", "ſt"), ("ﬆ", "st")]:
         out = f"replace({out}, '{a}', '{b}')"
