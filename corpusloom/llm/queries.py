@@ -229,10 +229,11 @@ def _(spark, folder):
     whole = F.transform("embedding", lambda c: F.try_add(F.floor(64 * c.cast("double")), F.lit(1_000_000)))
     whole = F.when(whitening.usable(F.col("embedding")), whole)
     found, fit = whitening.whiten(vectors.select("vec_id", whole.alias("vector")))
-    away = whitening.deviation(F.col("vector"), fit).alias("deviation")
+    away = whitening.deviation(F.col("vector"), fit)
     shares = F.lit(fit["explained"]) if fit["explained"] else F.array().cast("array<double>")
     listed = F.arrays_zip(F.col("whitened").alias("whitened"), shares.alias("explained"))
-    each = found.select("vec_id", away, F.posexplode(listed).alias("at", "c"))
+    # worked out once for a row, not for each component
+    each = found.withColumn("deviation", away).select("vec_id", "deviation", F.posexplode(listed).alias("at", "c"))
     return each.select(
         "vec_id",
         (F.col("at") + 1).cast("int").alias("component"),

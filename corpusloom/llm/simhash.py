@@ -69,9 +69,10 @@ def fingerprint_of(text: str | None, shingle: int, lanes: np.ndarray) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(doc_id, fp)``: the 64-bit SimHash of every whole text, as a signed long.
+    docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
+    more: tuple[str, ...] = (),
+) -> DataFrame:
+    """``(doc_id, fp)`` and the columns ``more``: the 64-bit SimHash of every whole text, as a signed long.
 
     A null, empty or blank text has fingerprint zero; a text of fewer words
     than a shingle is one shingle.
@@ -82,11 +83,10 @@ def fingerprints(
         for batch in batches:
             values = [fingerprint_of(t, shingle, lanes) for t in batch.column(1).to_pylist()]
             fps = pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), fps, *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    shape = ", ".join(["doc_id long", "fp long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in more)])
+    return docs.select(docs[id_col].cast("long"), docs[text_col], *more).mapInArrow(run, shape)
 
 
 def block_masks(free: int, radius: int = RADIUS) -> list[int]:
@@ -267,19 +267,53 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every document.
+    docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
+    more: tuple[str, ...] = (),
+) -> DataFrame:
+    """``(doc_id, fp, component_id)`` of every document, and its columns ``more``.
 
     ``component_id`` is the smallest id that links reach.  Equal fingerprints
     (all empty texts among them) are linked.  A row without an id is returned
     with its fingerprint and the component of equal fingerprints, if they have one.
+    Other columns are ignored, whatever their names.
     """
-    marked = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash")
+    marked = materialise(fingerprints(docs, shingle, id_col, text_col, more), "simhash")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     known = distinct.where("rep IS NOT NULL")
     found = connected(links(known))
     placed = distinct.join(found, F.col("rep") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
-    return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(placed, "fp").select("doc_id", "fp", "component_id", *more)
+
+
+def keep_one(
+    docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each component: that of the smallest id, all its columns.
+
+    Rows without an id come last; without any in the component, equal fingerprints
+    are a group.  An id names one document: of the rows that share an id a single one stays.
+    """
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.select(id_col, text_col, text.alias("_text_key"))
+    found = near_duplicates(keyed, shingle, id_col, text_col, ("_text_key",))
+    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    rows = found.withColumn("alone", alone).groupBy("component_id", "alone", "doc_id", "_text_key").agg(
+        F.count("*").alias("copies")
+    )
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text_key", "copies")
+    kept = rows.groupBy("component_id", "alone").agg(F.min(first).alias("first"))
+    kept = kept.select(
+        F.col("first.doc_id").alias("_kept_id"), F.col("first._text_key").alias("_kept_text"), "first.copies"
+    )
+    kept = materialise(kept, "simhash-kept")
+
+    def held(chosen: DataFrame) -> DataFrame:
+        same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (text == F.col("_kept_text"))
+        return docs.join(chosen, same, "left_semi")
+
+    single, several = kept.where("copies = 1"), kept.where("copies > 1")
+    if several.isEmpty():
+        return held(single)
+    return held(single).unionByName(held(several).dropDuplicates([id_col, text_col]))

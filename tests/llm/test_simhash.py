@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from corpusloom.llm import similar, simhash
+from corpusloom.llm import simhash
 from corpusloom.llm.components import connected
 
 
@@ -68,28 +68,22 @@ def test_bit_sliced_distances():
 
 def test_empty_table(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
-    assert similar.keep_one(nothing).count() == 0
+    assert simhash.keep_one(nothing).count() == 0
 
 
 def test_keep_one_of_each_group(docs, texts):
-    kept = similar.keep_one(docs)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x))
-    # 0, 1, 2 and the repeated row are one group; 5, 6, 7 have no words; 9 and 10 differ in case
-    # 11 and 12 are near copies; 4 holds 3 but is not similar to it; the row without id copies 3
-    assert ids == [0, 3, 4, 5, 8, 9, 11, 13, 14, 15, 16]
-
-
-def test_hot_bands_lose_no_near_copy(spark, monkeypatch):
-    monkeypatch.setattr(similar, "GROUP", 4)
-    base = [f"w{i}" for i in range(400)]
-    rows = []
-    for k in range(12):
-        copy = list(base)
-        copy[k * 30] = f"other{k}"
-        rows.append((k, " ".join(copy)))
-    found = similar.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len({r.component for r in found}) == 1
+    fps = [_fingerprint(t) for t in texts]
+    root = _reach(len(fps), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 3)
+    # the second row of id 0 is a copy of the first, the row without an id one of text 3
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+def test_keep_one_of_rows_without_ids(spark):
+    rows = [(None, "a b c d"), (None, "a b c d"), (None, "other words are here"), (7, "x y z"), (7, "x y z")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.text for r in kept)) == sorted({t for _, t in rows})
 
 
 def test_components_of_a_long_chain(spark):
