@@ -7,14 +7,13 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from corpusloom.bounded import join_checked
 from corpusloom.functions import keys, urls
+from corpusloom.operators import quantiles as exact
 from corpusloom.operators.joins import mentions_own_alias
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-QUANTILE_BUCKETS = 4096
 
 
 def topic_label_summary(
@@ -44,67 +43,12 @@ def value_counts(df: DataFrame, *columns: str, name: str = "n_rows") -> DataFram
     )
 
 
-def _long(df: DataFrame, group_col: str, metrics: Iterable[str]) -> DataFrame:
-    pairs = F.array(
-        *[
-            F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-            for m in metrics
-        ]
-    )
-    return (
-        df.filter(F.col(group_col).isNotNull())
-        .select(group_col, F.inline(pairs))
-        .filter(F.col("value").isNotNull())
-    )
-
-
 def exact_quantiles(
     df: DataFrame, group_col: str, metrics: list[str], quantiles: Mapping[str, float]
 ) -> DataFrame:
-    """Exact quantiles (linear) per group and metric without a per-group buffer.
-
-    Values are reduced to (value, count), spread over equal-width buckets of
-    the group's range, and positions follow from running totals: one over the
-    buckets, one over the values within a bucket.  A group that holds most of
-    the rows is thus worked on by many tasks.
-    """
-    on = [group_col, "metric"]
-    tallied = _long(df, group_col, metrics).groupBy(*on, "value").agg(F.count("*").alias("c"))
-    span = tallied.groupBy(*on).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n")
-    )
-    placed = join_checked(tallied, span, on).withColumn(
-        "bucket",
-        F.when(
-            F.col("hi") > F.col("lo"),
-            F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * QUANTILE_BUCKETS),
-        ).otherwise(F.lit(0)),
-    )
-    before = (
-        placed.groupBy(*on, "bucket")
-        .agg(F.sum("c").alias("in_bucket"))
-        .withColumn(
-            "offset",
-            F.sum("in_bucket").over(Window.partitionBy(*on).orderBy("bucket"))
-            - F.col("in_bucket"),
-        )
-    )
-    within = Window.partitionBy(*on, "bucket").orderBy("value")
-    ranked = placed.join(before, [*on, "bucket"]).withColumn(
-        "last", F.col("offset") + F.sum("c").over(within)
-    )
-    picks = []
-    for name, q in quantiles.items():
-        at = F.lit(q) * (F.col("n") - 1)
-
-        def value_at(position):
-            covers = (F.col("last") > position) & (F.col("last") - F.col("c") <= position)
-            return F.max(F.when(covers, F.col("value")))
-
-        low, high = value_at(F.floor(at)), value_at(F.ceil(at))
-        part = F.max(at - F.floor(at))
-        picks.append((low + (high - low) * part).alias(name))
-    return ranked.groupBy(*on).agg(*picks)
+    """Exact quantiles (linear) per group and metric; see ``quantiles``."""
+    found = exact.of_tally(exact.tally(df, group_col, metrics), quantiles)
+    return found.select(F.col(exact.GROUP).alias(group_col), F.col(exact.METRIC).alias("metric"), *quantiles)
 
 
 def describe(
@@ -117,34 +61,46 @@ def describe(
     """Count, mean, std, min, quantiles and max per group and metric.
 
     Whole-number metrics (text lengths) have few distinct values, so Spark's
-    ``percentile`` stays small.  Fractions go through ``exact_quantiles``;
-    ``approximate`` trades exactness for one pass.
+    ``percentile`` stays small.  Fractions are counted once by value, and all
+    is worked out from the counts; ``approximate`` trades exactness for one pass.
     """
     whole = all(
         isinstance(df.schema[m].dataType, (T.IntegerType, T.LongType, T.ShortType))
         for m in metrics
     )
-    on = [group_col, "metric"]
-    names = list(quantiles)
-    points = F.array(*[F.lit(float(q)) for q in quantiles.values()])
-    aggs = [
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ]
-    if approximate:
-        aggs.append(F.percentile_approx("value", points, 100_000).alias("_q"))
-    elif whole:
-        aggs.append(F.percentile("value", points).alias("_q"))
-    out = _long(df, group_col, metrics).groupBy(*on).agg(*aggs)
-    if approximate or whole:
+    on, names = [exact.GROUP, exact.METRIC], list(quantiles)
+    if not (whole or approximate):
+        tallied = exact.tally(df, group_col, metrics)
+        found = exact.of_tally(tallied, quantiles)
+        means = tallied.groupBy(*on).agg((F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"))
+        away = F.col("value") - F.col("mean")
+        spread = join_checked(tallied, means, on).groupBy(*on, "mean").agg(
+            F.sum(away * away * F.col("c")).alias("_square")
+        )
+        # one row has no deviation
+        std = F.when(F.col("n") > 1, F.sqrt(F.col("_square") / (F.col("n") - 1)))
+        out = found.join(spread, on).withColumn("std", std)
+    else:
+        points = F.array(*[F.lit(float(q)) for q in quantiles.values()])
+        of = F.percentile_approx("value", points, 100_000) if approximate else F.percentile("value", points)
+        out = (
+            exact.long_rows(df, group_col, metrics)
+            .groupBy(*on)
+            .agg(
+                F.count("value").alias("n"),
+                F.avg("value").alias("mean"),
+                F.stddev_samp("value").alias("std"),
+                F.min("value").alias("min"),
+                F.max("value").alias("max"),
+                of.alias("_q"),
+            )
+        )
         for i, name in enumerate(names):
             out = out.withColumn(name, F.col("_q")[i])
-    else:
-        out = out.join(exact_quantiles(df, group_col, metrics, quantiles), on)
-    return out.select(*on, "n", "mean", "std", "min", *names, "max")
+    return out.select(
+        F.col(exact.GROUP).alias(group_col), F.col(exact.METRIC).alias("metric"),
+        "n", "mean", "std", "min", *names, "max",
+    )
 
 
 def duplicate_count(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -247,20 +203,22 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 
 def box_stats(df: DataFrame, metric: str, group_col: str = "is_bs") -> DataFrame:
-    """Quartiles, whiskers within 1.5 IQR and the number of points outside."""
-    quartiles = describe(df, [metric], group_col).select(group_col, "q1", "median", "q3")
-    x = F.col(metric).cast("double")
-    reach = (F.col("q3") - F.col("q1")) * 1.5
+    """Quartiles, whiskers within 1.5 IQR and the number of points outside.
+
+    ``df`` is evaluated once; quartiles and whiskers come from its counted values.
+    """
+    tallied = exact.tally(df, group_col, [metric])
+    on = [exact.GROUP, exact.METRIC]
+    quartiles = exact.of_tally(tallied, QUARTILES).select(*on, *QUARTILES)
+    x, reach = F.col("value"), (F.col("q3") - F.col("q1")) * 1.5
     inside = x.between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        join_checked(
-            df.select(group_col, metric).filter(F.col(metric).isNotNull()), quartiles, group_col
-        )
-        .groupBy(group_col, "q1", "median", "q3")
+        join_checked(tallied, quartiles, on)
+        .groupBy(F.col(exact.GROUP).alias(group_col), *QUARTILES)
         .agg(
             F.min(F.when(inside, x)).alias("whisker_low"),
             F.max(F.when(inside, x)).alias("whisker_high"),
-            F.count_if(~inside).alias("n_outliers"),
+            F.sum(F.when(inside, 0).otherwise(F.col("c"))).alias("n_outliers"),
         )
     )
 
