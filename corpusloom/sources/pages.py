@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.bounded import checked, small_rows
+from corpusloom.bounded import join_checked
 from corpusloom.functions import references, text as tx, urls
 from corpusloom.operators import windows
 
@@ -70,84 +70,73 @@ def match_index(
     limit: int | None = 50,
     url_col: str = "url",
     id_col: str = "page_id",
+    crawl_col: str | None = None,
 ) -> DataFrame:
     """Pages that match ``domain/pattern`` entries, first ``limit`` each.
 
     All entries are tried in one pass; a page that fits several entries gives
-    a row for each, told apart by ``entry_no`` for a list.  ``entries`` is a list of mappings with ``domain``,
-    ``pattern`` and optionally ``label``, or a table of such columns for lists
-    too long for a query text.
+    a row for each, told apart by ``entry_no`` for a list.  ``entries`` is a list of
+    mappings with ``domain``, ``pattern`` and optionally ``label`` and ``index``, or a
+    table of such columns for lists too long for a query text.  A star in the domain
+    stays within the host.  With ``crawl_col`` an entry takes only pages of the crawl
+    that its ``index`` names, and pages of all crawls if it names none.
     """
     found = pages.filter(F.coalesce(F.col(url_col), F.lit("")) != "")
+    host, rest = urls.split_bare(urls.without_scheme(F.col(url_col)))
+    named = found.withColumn("_host", host).withColumn("_rest", rest)
     if isinstance(entries, DataFrame):
-        spelled = F.concat_ws("/", F.lower("domain"), "pattern")
-        like = F.regexp_replace(spelled, r"([\\%_])", r"\\$1")
-        table = entries.withColumn("_like", F.regexp_replace(like, r"\*", "%")).withColumn(
-            "_domain", F.lower("domain")
-        )
-        bare = _lower_host(urls.without_scheme(F.col(url_col)))
-        named = found.withColumn("_bare", bare).withColumn(
-            "_host", F.split_part("_bare", F.lit("/"), F.lit(1))
-        )
-        fits = F.expr("_bare like _like")
-        wild = table.where(F.contains("domain", F.lit("*")))
-        exact = table.where(~F.contains("domain", F.lit("*")))
-        found = (
-            named.join(checked(exact), (F.col("_host") == F.col("_domain")) & fits)
-            # hosts with a wildcard are few by nature; each is a pattern of its own
-            .unionByName(named.join(F.broadcast(_few(wild)), fits))
-            .drop("_bare", "_host", "_domain", "_like")
-        )
+        found = _matches_of_table(named, entries, crawl_col)
     else:
-        listed = [dict(e) for e in entries]
-        hosts = sorted({str(e["domain"]).strip() for e in listed})
-        bare = _lower_host(urls.without_scheme(F.col(url_col)))
-        tries = F.array(
-            *[
-                F.when(
-                    F.col("_bare").like(
-                        urls.like_pattern(str(e["domain"]).lower(), str(e.get("pattern", "*")))
-                    ),
-                    F.struct(
-                        F.lit(no).alias("entry_no"),
-                        F.lit(str(e["domain"]).strip()).alias("domain"),
-                        F.lit(str(e.get("pattern", "*"))).alias("pattern"),
-                        F.lit(e.get("label")).cast("int").alias("label"),
-                    ),
-                )
-                for no, e in enumerate(listed)
-            ]
-        )
-        found = (
-            found.withColumn("_bare", bare)
-            # one hash look-up spares most pages the patterns
-            .filter(
-                F.lit(True)
-                if any("*" in h for h in hosts)
-                else F.split_part("_bare", F.lit("/"), F.lit(1)).isin([h.lower() for h in hosts])
-            )
-            .withColumn("_entry", F.explode(F.array_compact(tries)))
-            .select("*", "_entry.*")
-            .drop("_entry", "_bare")
-        )
+        found = _matches_of_list(named, [dict(e) for e in entries], crawl_col)
+    found = found.drop("_host", "_rest")
     if limit is None:
         return found
     of_entry = ["entry_no"] if "entry_no" in found.columns else ["domain", "pattern"]
     return windows.first_n(found, of_entry, limit, id_col)
 
 
-# Wildcard hosts of an entry table, at most.
-MAX_WILD = 1000
-
-
-def _lower_host(bare):
-    """The URL without its scheme, the host in lower case."""
-    host = F.split_part(bare, F.lit("/"), F.lit(1))
-    return F.concat(F.lower(host), F.substr(bare, F.length(host) + 1))
-
-
-def _few(wild: DataFrame) -> DataFrame:
-    rows = small_rows(wild, MAX_WILD)
-    if rows is None:
-        raise ValueError(f"more than {MAX_WILD} entries with a wildcard in the host")
-    return wild.sparkSession.createDataFrame(rows, wild.schema)
+def _matches_of_list(named: DataFrame, listed: list[dict], crawl_col: str | None) -> DataFrame:
+    """Entries as conditions of the query."""
+    tries = []
+    for no, e in enumerate(listed):
+        domain, pattern = str(e["domain"]).strip(), str(e.get("pattern", "*"))
+        host_like, rest_like = urls.wildcard_parts(domain, pattern)
+        fits = F.col("_host").like(host_like) & F.col("_rest").like(rest_like)
+        if crawl_col and e.get("index") is not None:
+            fits &= F.col(crawl_col) == F.lit(str(e["index"]))
+        entry = F.struct(
+            F.lit(no).alias("entry_no"), F.lit(domain).alias("domain"), F.lit(pattern).alias("pattern"),
+            F.lit(e.get("label")).cast("int").alias("label"),
+        )
+        tries.append(F.when(fits, entry))
+    hosts = {str(e["domain"]).strip().lower().split("/")[0] for e in listed}
+    # one hash look-up spares most pages the patterns
+    some = F.lit(True) if any("*" in h for h in hosts) else F.col("_host").isin(sorted(hosts))
+    tried = named.filter(some).withColumn("_entry", F.explode(F.array_compact(F.array(*tries))))
+    return tried.select("*", "_entry.*").drop("_entry")
+
+
+def _matches_of_table(named: DataFrame, entries: DataFrame, crawl_col: str | None) -> DataFrame:
+    """Entries as a table, joined by the host.
+
+    Which hosts a star takes is found on the different hosts alone: each meets the
+    entries that end in the same labels, and the pattern decides among these.
+    """
+    host_like, rest_like = urls.wildcard_columns(F.col("domain"), F.col("pattern"))
+    table = entries.withColumn("_host_like", host_like).withColumn("_rest_like", rest_like)
+    starred = F.contains(F.split_part("domain", F.lit("/"), F.lit(1)), F.lit("*"))
+    own = F.split_part(F.lower(F.trim("domain")), F.lit("/"), F.lit(1)).alias("_host")
+    exact = table.where(~starred).select("*", own)
+    wild = table.where(starred).withColumn("_suffix", urls.literal_suffix(F.col("domain")))
+    if wild.isEmpty():
+        by_host = exact
+    else:
+        hosts = named.select("_host").distinct()
+        ends = hosts.select("_host", F.explode(urls.host_suffixes(F.col("_host"))).alias("_suffix"))
+        taken = join_checked(ends, wild, "_suffix").where(F.expr("_host like _host_like"))
+        by_host = exact.unionByName(taken.select(*exact.columns))
+    found = join_checked(named, by_host.drop("_host_like"), "_host")
+    found = found.where((F.col("_rest_like") == "/%") & F.startswith("_rest", F.lit("/")) | F.expr("_rest like _rest_like"))
+    if crawl_col and "index" in entries.columns:
+        found = found.where(F.col("index").isNull() | (F.col("index") == F.col(crawl_col)))
+    return found.drop("_rest_like", "index")

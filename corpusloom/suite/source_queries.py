@@ -130,6 +130,42 @@ def _(t):
     return pages.match_index(t.pages, table, limit=1000).drop("html")
 
 
+WILD_ENTRIES = [
+    ("*.example.com", "en/*", 1, None), ("www.*", "*", 0, "even"), ("*", "de/*", 0, "odd"),
+    ("*farm.example.org", "*", 1, "even"), ("blog.*.example.net", "*", 0, None), ("thther.example.org", "*", 0, "odd"),
+]
+
+
+def _wild_sql() -> str:
+    listed = ", ".join(
+        f"('{d}', '{p}', {n}, {'NULL' if c is None else repr(c)}, '{d.replace('*', '%')}', '/{p.replace('*', '%')}')"
+        for d, p, n, c in WILD_ENTRIES
+    )
+    bare = S.bare("url")
+    return f"""WITH b AS (SELECT page_id, url, {S.host('url')} AS host, {bare} AS bare,
+        CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS crawl FROM pages),
+      e AS (SELECT * FROM (VALUES {listed}) AS e(domain, pattern, label, idx, host_like, rest_like))
+    SELECT page_id, url, crawl, domain, pattern, label FROM b JOIN e ON host LIKE host_like
+      AND substr(bare, length(split_part(bare, '/', 1)) + 1) LIKE rest_like AND (idx IS NULL OR idx = crawl)
+    QUALIFY row_number() OVER (PARTITION BY domain, pattern ORDER BY page_id) <= 40"""
+
+
+def _crawled(t):
+    return t.pages.drop("html").withColumn("crawl", F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd"))
+
+
+@query("s05_url_index_wild_hosts", _wild_sql())
+def _(t):
+    table = t.spark.createDataFrame(WILD_ENTRIES, "domain string, pattern string, label int, index string")
+    return pages.match_index(_crawled(t), table, limit=40, crawl_col="crawl")
+
+
+@query("s05_url_index_wild_list", _wild_sql())
+def _(t):
+    listed = [dict(zip(("domain", "pattern", "label", "index"), e, strict=True)) for e in WILD_ENTRIES]
+    return pages.match_index(_crawled(t), listed, limit=40, crawl_col="crawl").drop("entry_no")
+
+
 _TAGS = "script style nav footer aside form noscript".split()
 _NOISE = "|".join(["<!--.*?-->"] + [rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in _TAGS])
 

@@ -177,3 +177,40 @@ def test_index_hosts_in_any_case_with_wildcards_and_quotas(spark):
         assert got == sorted([("*.a.com", 2)] + [("a.com", 1), ("a.com", 4)] * twice)
     one_each = pages.match_index(df, entries, 1).collect()
     assert sorted((r["entry_no"], r["page_id"]) for r in one_each) == [(0, 1), (1, 2), (2, 1)]
+
+
+def test_wildcard_hosts_join_by_their_last_labels(spark, monkeypatch):
+    import itertools
+    import re
+
+    from corpusloom import bounded
+
+    hosts = ["a.com", "www.a.com", "x.y.a.com", "aa.com", "com", "news.b.org", "newsb.org", "b.org:80", "c.net"]
+    rows = [(i, f"http://{h}/{p}", c) for i, (h, p, c) in enumerate(itertools.product(hosts, ["x", "n/a.com/q", ""], ["k", "l"]))]
+    df = spark.createDataFrame([*rows, (900, "http://a.com", "k"), (901, "", "k"), (902, None, "k")], "page_id long, url string, crawl string")
+    domains = ["*.a.com", "*a.com", "*", "news*", "*.b.org*", "www.*.com", "a.com", "A.com", "x.*.com", "*.*", "n%.org"]
+    entries = [(d, p, c) for d in domains for p, c in (("*", None), ("n/*", "k"))]
+    table = spark.createDataFrame(entries, "domain string, pattern string, index string")
+    listed = [dict(zip(("domain", "pattern", "index"), e, strict=True)) for e in entries]
+
+    def takes(star, text):
+        return re.fullmatch(".*".join(map(re.escape, star.split("*"))), text) is not None
+
+    want = []
+    for i, url, crawl in [tuple(r) for r in df.where("url <> ''").collect()]:
+        host, _, rest = url.removeprefix("http://").partition("/")
+        slash = "/" if url.count("/") > 2 else ""
+        for d, p, c in entries:
+            if takes(d.lower(), host) and takes("/" + p, slash + rest) and c in (None, crawl):
+                want.append((d, p, i))
+    want.sort()
+    assert len(want) > 150
+    in_list = pages.match_index(df, listed, None, crawl_col="crawl").collect()
+    assert sorted((r.domain, r.pattern, r.page_id) for r in in_list) == want
+    for rows_at_most in (100_000, 0):
+        monkeypatch.setattr(bounded, "MAX_ROWS", rows_at_most)
+        monkeypatch.setattr(bounded.join_checked, "__defaults__", ("inner", rows_at_most))
+        found = pages.match_index(df, table, None, crawl_col="crawl")
+        assert sorted((r.domain, r.pattern, r.page_id) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
