@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 from corpusloom.functions import urls
 from corpusloom.operators import filters, joins
 
-HOST = "host"
+HOST, BATCH = "host", "batch"
 
 
 def filter_hosts(stream: DataFrame, hosts: Iterable[str], url_col: str = "url") -> DataFrame:
@@ -105,13 +107,66 @@ def start_to_parquet(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def progress_counts(spark: SparkSession, path: str, schema: T.StructType, hosts) -> DataFrame:
-    """Rows collected so far per listed host, 0 for none."""
+def start_with_progress(
+    stream: DataFrame,
+    path: str,
+    progress: str,
+    checkpoint: str,
+    key: str = HOST,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Append a stream to a table, and the rows of each key in each micro-batch to another.
+
+    Both have a folder for each batch, named by its number and written over when a
+    batch is tried again, so a lost driver or executor leaves neither gaps nor
+    doubles, and the counts of all batches stay, over restarts as well.  Counts are
+    taken from the rows as they were written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = f"{path}/{BATCH}={number}"
+        batch.write.mode("overwrite").parquet(rows)
+        written = batch.sparkSession.read.schema(batch.schema).parquet(rows)
+        counts = written.groupBy(key).agg(F.count("*").alias("n_rows"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{progress}/{BATCH}={number}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def collected(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows that a stream has appended by batches."""
+    return _by_batch(spark, path, schema).drop(BATCH)
+
+
+def _by_batch(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table with a folder for each batch; empty as long as there is none."""
+    whole = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    try:
+        return spark.read.schema(whole).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], whole)
+
+
+def batch_counts(spark: SparkSession, progress: str, key: str = HOST) -> DataFrame:
+    """``(batch, <key>, n_rows)`` of every batch that had rows."""
+    return _by_batch(spark, progress, T.StructType().add(key, "string").add("n_rows", "long"))
+
+
+def progress_table(spark: SparkSession, progress: str, key: str = HOST) -> DataFrame:
+    """``(batch, n_rows, n_seen)`` of every batch that had rows; ``n_seen`` adds up to it."""
+    by_batch = batch_counts(spark, progress, key).groupBy(BATCH).agg(F.sum("n_rows").alias("n_rows"))
+    until = Window.orderBy(BATCH).rowsBetween(Window.unboundedPreceding, 0)
+    return by_batch.withColumn("n_seen", F.sum("n_rows").over(until))
+
+
+def progress_counts(spark: SparkSession, progress: str, hosts: Iterable[str]) -> DataFrame:
+    """Rows collected so far per listed host, 0 for none; reads the counts only."""
     listed = urls.normalise_hosts(hosts)
     table = spark.createDataFrame([(h,) for h in listed], f"{HOST} string")
-    found = (
-        spark.read.schema(schema).parquet(path).groupBy(HOST).agg(F.count("*").alias("n_rows"))
-    )
+    found = batch_counts(spark, progress).groupBy(HOST).agg(F.sum("n_rows").alias("n_rows"))
     return table.join(found, HOST, "left").select(
         HOST, F.coalesce("n_rows", F.lit(0)).alias("n_rows")
     )
@@ -127,38 +182,26 @@ def collect_until_full(
     url_col: str = "url",
     poll_seconds: float = 1.0,
     available_now: bool = True,
+    progress: str | None = None,
 ) -> DataFrame:
     """T01 + T02 + early stop: ends with the input or once every host has ``n`` rows.
 
-    Only one count per listed host comes to the driver.
+    Only one count per listed host comes to the driver.  Counts by batch are below
+    ``progress``, next to ``path`` if that is not given.
     """
     spark = stream.sparkSession
     listed = urls.normalise_hosts(hosts)
     sample = capped_sample(filter_hosts(stream, listed, url_col), n, HOST, order_col)
-    query = start_to_parquet(sample, path, checkpoint, available_now)
+    progress = progress or f"{path.rstrip('/')}-progress"
+    query = start_with_progress(sample, path, progress, checkpoint, HOST, available_now)
     seen = -1
     while not query.awaitTermination(poll_seconds):
-        progress = query.lastProgress
-        if progress is None or progress["batchId"] == seen:
+        last = query.lastProgress
+        if last is None or last["batchId"] == seen:
             continue
-        seen = progress["batchId"]
-        counts = progress_counts(spark, path, sample.schema, listed)
+        seen = last["batchId"]
+        counts = progress_counts(spark, progress, listed)
         if counts.filter(F.col("n_rows") < n).isEmpty():
             query.stop()
             break
-    return spark.read.schema(sample.schema).parquet(path)
-
-
-def progress_table(query: StreamingQuery) -> DataFrame:
-    """Rows read and batch number of the recent micro-batches."""
-    spark = SparkSession.getActiveSession()
-    rows = [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch long, n_input long").withColumn(
-        "n_seen", F.sum("n_input").over(_by_batch())
-    )
-
-
-def _by_batch():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    return collected(spark, path, sample.schema)

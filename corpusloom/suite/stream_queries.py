@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import urls
 from corpusloom.session import ROCKSDB_PROVIDER, work_path
 from corpusloom.sources import files
 from corpusloom.streaming import sample as st
@@ -76,11 +77,46 @@ def _(t):
     _rocksdb(t)
     path, checkpoint = work_path(t.spark, "counted"), work_path(t.spark, "counted-state")
     wanted = [*HOSTS, "never.example.com"]
-    found = st.collect_until_full(_stream(t), wanted, N, path, checkpoint)
-    return st.progress_counts(t.spark, path, found.schema, wanted)
+    st.collect_until_full(_stream(t), wanted, N, path, checkpoint, progress=f"{path}-counts")
+    return st.progress_counts(t.spark, f"{path}-counts", wanted)
 
 
-@query("t04_batches", "SELECT CAST(0 AS BIGINT) AS batch, count(*) AS n_seen FROM pages")
+def _several_batches(t, n: int):
+    """The pages as a stream of ``n`` micro-batches."""
+    folder = work_path(t.spark, "page-files")
+    t.pages.select("page_id", "url").repartition(n).write.parquet(folder)
+    pages = files.read_stream(t.spark, folder, t.pages.select("page_id", "url").schema)
+    return pages.withColumn("host", urls.url_host(F.col("url")))
+
+
+BATCHES = 4
+
+
+@query("t04_batches", f"SELECT CAST({BATCHES} AS BIGINT) AS n_batches, count(*) AS n_seen FROM pages")
+def _(t):
+    path, progress = work_path(t.spark, "rows"), work_path(t.spark, "progress")
+    st.start_with_progress(_several_batches(t, BATCHES), path, progress, work_path(t.spark, "offsets")).awaitTermination()
+    table = st.progress_table(t.spark, progress)
+    return table.agg(F.count("*").alias("n_batches"), F.max("n_seen").alias("n_seen"))
+
+
+@query(
+    "t04_seen_by_host",
+    f"SELECT {S.host('url')} AS host, count(*) AS n_rows FROM pages GROUP BY {S.host('url')}",
+)
+def _(t):
+    path, progress = work_path(t.spark, "rows"), work_path(t.spark, "progress")
+    st.start_with_progress(_several_batches(t, BATCHES), path, progress, work_path(t.spark, "offsets")).awaitTermination()
+    return st.batch_counts(t.spark, progress).groupBy("host").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query(
+    "t02_capped_sample_by_batches",
+    f"""SELECT {S.host('url')} AS host, least(count(*), {N}) AS n_rows FROM pages
+    WHERE {S.host('url')} IN ({_HOSTS_SQL}) GROUP BY {S.host('url')}""",
+)
 def _(t):
-    _rows, done = _drain(t, _stream(t).select("page_id"))
-    return st.progress_table(done).filter(F.col("n_input") > 0).select("batch", "n_seen")
+    _rocksdb(t)
+    path, checkpoint = work_path(t.spark, "sample"), work_path(t.spark, "sample-state")
+    found = st.collect_until_full(_several_batches(t, BATCHES), HOSTS, N, path, checkpoint)
+    return found.groupBy("host").agg(F.count("*").alias("n_rows"))

@@ -65,14 +65,50 @@ def test_labels_equal_batch(spark, tmp_path):
     write_batch(spark, folder, 0, ["a.com", "b.org", "c.net"])
     write_batch(spark, folder, 5, ["a.com"])
     labelled = st.label_stream(stream(spark, folder), ["a.com"], ["b.org"])
-    query = st.start_to_parquet(labelled, str(tmp_path / "out"), str(tmp_path / "ck"))
-    query.awaitTermination()
+    st.start_to_parquet(labelled, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     batch = st.label_stream(spark.read.parquet(str(folder)), ["a.com"], ["b.org"])
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(
         map(str, batch.collect())
     )
-    table = st.progress_table(query)
-    assert table.agg(F.max("n_seen")).first()[0] == 4
+
+
+def test_progress_of_more_than_a_hundred_batches_over_a_restart(spark, tmp_path):
+    """Spark itself remembers the last hundred batches of a running query only."""
+    folder, out = tmp_path / "in", [str(tmp_path / x) for x in ("out", "counts", "state")]
+    for first, last in ((0, 70), (70, 112)):
+        rows = [(i, f"http://h{i % 3}.com/p") for i in range(first * 2, last * 2)]
+        parts = spark.createDataFrame(rows, SCHEMA).repartitionByRange(last - first, "page_id")
+        parts.write.mode("append").parquet(str(folder))
+        hosted = stream(spark, folder).withColumn("host", F.split_part("url", F.lit("/"), F.lit(3)))
+        query = st.start_with_progress(hosted, *out)
+        query.awaitTermination()
+        assert len(query.recentProgress) <= 100
+    table = st.progress_table(spark, out[1]).orderBy("batch").collect()
+    assert [r.batch for r in table] == list(range(112))
+    assert table[-1].n_seen == 224 and [r.n_seen for r in table] == [sum(x.n_rows for x in table[: i + 1]) for i in range(112)]
+    counts = {r.host: r.n_rows for r in st.progress_counts(spark, out[1], ["h0.com", "h1.com", "H2.com", "none.com"]).collect()}
+    assert counts == {"h0.com": 75, "h1.com": 75, "h2.com": 74, "none.com": 0}
+    assert st.collected(spark, out[0], hosted.schema).select("page_id").distinct().count() == 224
+
+
+def test_a_batch_that_is_tried_again_writes_over_itself(spark, tmp_path):
+    folder, out, counts, state = (str(tmp_path / x) for x in ("in", "out", "counts", "state"))
+    for k in range(3):
+        write_batch(spark, folder, 10 * k, ["a.com", "b.org"])
+    hosted = stream(spark, folder).withColumn("host", F.split_part("url", F.lit("/"), F.lit(3)))
+    st.start_with_progress(hosted, out, counts, state).awaitTermination()
+    # as if the driver was lost behind the writes of the last batch and before its commit
+    for name in ("2", ".2.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    st.start_with_progress(hosted, out, counts, state).awaitTermination()
+    assert st.collected(spark, out, hosted.schema).count() == 6
+    assert [r.n_seen for r in st.progress_table(spark, counts).orderBy("batch").collect()] == [2, 4, 6]
+
+
+def test_no_input_at_all(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    got = st.collect_until_full(stream(spark, tmp_path / "in"), ["a.com"], 1, str(tmp_path / "o"), str(tmp_path / "s"))
+    assert got.collect() == [] and st.progress_table(spark, str(tmp_path / "o-progress")).collect() == []
 
 
 def test_queries_stream_over_a_table_that_is_a_folder(spark, tmp_path):
