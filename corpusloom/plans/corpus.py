@@ -77,10 +77,17 @@ def feed_rows(legit: DataFrame, bs: DataFrame, max_articles: int = 1000) -> Data
     )
 
 
-def build_corpus(spark, inputs: Mapping) -> tuple[DataFrame, dict[str, str]]:
-    """The union of the sources that can be read, and why others could not be.
+def build_corpus(
+    spark, inputs: Mapping, audit_path: str | None = None
+) -> tuple[DataFrame, dict[str, str]]:
+    """The union of the sources that can be read to their end, and why others could not be.
 
-    ``inputs`` maps a source name to a frame or to a function that makes one.
+    ``inputs`` maps a source name to a frame or to a function that makes one.  Rows and
+    errors of all sources are appended to the table at ``audit_path``, if given.
     """
     detailed = T.StructType([*CORPUS.fields, T.StructField("source_detail", T.StringType())])
-    return unions.union_available(spark, inputs, detailed)
+    merged, audit = unions.union_committed(spark, inputs, detailed)
+    if audit_path is not None:
+        audit.coalesce(1).write.mode("append").parquet(audit_path)
+    # a row for each source
+    return merged, {r["step"]: r["error"] for r in audit.where("error IS NOT NULL").collect()}

@@ -84,16 +84,6 @@ def log_params(spark: SparkSession, path: str, run: str, params: Mapping[str, ob
         spark.createDataFrame(rows, RUN_PARAM).coalesce(1).write.mode("append").parquet(path)
 
 
-def file_fingerprint(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Path, size and md5 of every file below ``path``."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(
-        "path", F.col("length").alias("size_bytes"), F.md5("content").alias("md5")
-    )
-
-
 def content_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Row count and a sum of row hashes, whatever the order of the rows."""
     spelled = F.concat_ws(

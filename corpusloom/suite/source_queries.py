@@ -11,7 +11,7 @@ from corpusloom.models import scoring
 from corpusloom.operators import evaluation, sampling
 from corpusloom.plans import process
 from corpusloom.session import materialise, work_path
-from corpusloom.sources import audit, feeds, files, pages, synthetic
+from corpusloom.sources import audit, feeds, files, fingerprint, pages, synthetic
 from corpusloom.suite import sqlparts as S
 from corpusloom.suite.aggregate_queries import logit_frame, logit_sql
 from corpusloom.suite.registry import CORPUS, query
@@ -322,9 +322,57 @@ def _(t):
 
 @query("k06_file_fingerprint")
 def _(t):
-    return audit.file_fingerprint(t.spark, t.folder, "*.parquet")
+    return fingerprint.file_fingerprint(t.spark, t.folder, "*.parquet")
 
 
+# Leaves and fan of a small tree, so that files of a few lines have several levels.
+_LEAF, _FAN, _LINES = 512, 3, 250
+
+
+def _line_files(t) -> str:
+    """Files of lines ``doc_id,lang,source``, one for each so many ids."""
+    path = work_path(t.spark, "lines")
+    rows = t.documents.select(
+        F.concat_ws(",", "doc_id", "lang", "source").alias("line"), "doc_id",
+        F.floor(F.col("doc_id") / _LINES).alias("part"),
+    )
+    rows = rows.repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id")
+    rows.write.partitionBy("part").text(path)
+    return path
+
+
+_PART = "cast(regexp_extract(path, 'part=([0-9]+)', 1) as bigint) AS part"
+_FILES = f"""f AS (SELECT doc_id // {_LINES} AS part, string_agg(concat_ws(',', doc_id, lang, source) || chr(10), ''
+      ORDER BY doc_id) AS whole FROM documents GROUP BY part)"""
+
+
+@query(
+    "k06_file_md5",
+    f"WITH {_FILES} SELECT part, strlen(whole) AS size_bytes, md5(whole) AS md5 FROM f",
+)
+def _(t):
+    found = fingerprint.file_fingerprint(t.spark, _line_files(t), "*.txt", _LEAF)
+    return found.selectExpr(_PART, "size_bytes", "md5")
+
+
+def _level(below: str, name: str) -> str:
+    return f"""{name} AS (SELECT part, i // {_FAN} AS i, CASE WHEN count(*) > 1
+        THEN sha256(unhex(string_agg(h, '' ORDER BY i))) ELSE any_value(h) END AS h
+      FROM {below} GROUP BY part, i // {_FAN})"""
+
+
+@query(
+    "k06_tree_hash",
+    f"""WITH {_FILES},
+    l AS (SELECT part, i, sha256(substr(whole, i * {_LEAF} + 1, {_LEAF})) AS h
+      FROM (SELECT part, whole, unnest(range(0, (strlen(whole) + {_LEAF - 1}) // {_LEAF})) AS i FROM f)),
+    {_level('l', 'a')}, {_level('a', 'b')}, {_level('b', 'c')}, {_level('c', 'd')}
+    SELECT part, h AS tree_sha256 FROM d""",
+)
+def _(t):
+    found = fingerprint.tree_hashes(t.spark, _line_files(t), "*.txt", _LEAF, _FAN)
+    return found.selectExpr(_PART, "tree_sha256")
+
 @query(
     "k06_content_fingerprint",
     """SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(doc_id || '|' || text || '|'

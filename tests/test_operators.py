@@ -198,3 +198,38 @@ def test_first_n_with_ties(spark):
     df = spark.createDataFrame(rows, "origin string, row_id long, text string")
     got = windows.first_n(df, "origin", 1).collect()
     assert sorted(r["origin"] for r in got) == ["a", "b"]
+
+
+def test_union_loses_only_the_source_that_fails_while_it_is_read(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    good = spark.range(10).select("id", F.col("id").cast("string").alias("label"))
+    good.write.parquet(str(tmp_path / "good"))
+    good.repartition(3).write.parquet(str(tmp_path / "corrupt"))
+    broken = sorted((tmp_path / "corrupt").glob("part-*.parquet"))[1]
+    broken.write_bytes(broken.read_bytes()[:-200] + bytes(200))
+    schema = T.StructType().add("id", T.LongType()).add("label", T.IntegerType()).add("more", T.StringType())
+    read = lambda name: lambda: spark.read.schema("id long, label string").parquet(str(tmp_path / name))
+
+    @F.udf("string")
+    def fails(x):
+        raise RuntimeError("no such page")
+
+    inputs = {
+        "good": read("good"),
+        "corrupt": read("corrupt"),
+        "gone": lambda: spark.read.parquet(str(tmp_path / "gone")),
+        "no number": good.withColumn("label", F.lit("many")),
+        "failing": good.withColumn("label", fails("label")),
+        "none": None,
+        "empty": good.limit(0),
+        "again": good,
+    }
+    merged, audit = unions.union_committed(spark, inputs, schema)
+    assert merged.schema == schema and sorted(r.id for r in merged.collect()) == sorted([*range(10)] * 2)
+    rows = {r.step: r for r in audit.collect()}
+    assert list(rows) == list(inputs)
+    assert {k: r.rows_out for k, r in rows.items() if r.error is None} == {"good": 10, "empty": 0, "again": 10}
+    assert all(rows[k].rows_out == 0 and rows[k].error for k in ("corrupt", "gone", "no number", "failing", "none"))
+    nothing, audit = unions.union_committed(spark, {"gone": inputs["gone"]}, schema)
+    assert nothing.collect() == [] and nothing.schema == schema and audit.count() == 1

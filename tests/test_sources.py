@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.models import scoring, sweep
-from corpusloom.sources import audit, feeds, files, pages, synthetic
+from corpusloom.sources import audit, fingerprint, feeds, files, pages, synthetic
 
 
 def test_csv_round_trip_awkward_text(spark, tmp_path):
@@ -108,7 +108,7 @@ def test_audit_tables(spark, tmp_path):
     got = sorted((r["run"], r["metric"], r["value"], r["step"]) for r in spark.read.parquet(path).collect())
     assert got == [("r1", "f1", 0.5, 2), ("r1", "n", 3.0, 2), ("r2", "f1", 0.7, 0)]
     (tmp_path / "one.bin").write_bytes(b"abc")
-    row = audit.file_fingerprint(spark, str(tmp_path), "*.bin").first()
+    row = fingerprint.file_fingerprint(spark, str(tmp_path), "*.bin").first()
     assert row["size_bytes"] == 3 and row["md5"] == "900150983cd24fb0d6963f7d28e17f72"
     df = spark.range(50).withColumn("t", F.lit("x"))
     assert (
@@ -214,3 +214,31 @@ def test_wildcard_hosts_join_by_their_last_labels(spark, monkeypatch):
         assert sorted((r.domain, r.pattern, r.page_id) for r in found.collect()) == want
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_tree_hash_of_files_by_ranges(spark, tmp_path, monkeypatch):
+    import hashlib
+    import random
+
+    monkeypatch.setattr(fingerprint, "LEAVES_IN_TASK", 3)
+    draw = random.Random(4)
+    (tmp_path / "deep").mkdir()
+    contents = {f"deep/f{n}.bin": draw.randbytes(n) for n in (0, 1, 99, 100, 101, 900, 3333, 12_345)}
+    contents |= {"other.txt": b"x", ".hidden.bin": b"y", "_SUCCESS": b""}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+
+    def root(content, leaf, fan):
+        level = [hashlib.sha256(content[i : i + leaf]).digest() for i in range(0, max(1, len(content)), leaf)]
+        while len(level) > 1:
+            groups = [level[i : i + fan] for i in range(0, len(level), fan)]
+            level = [hashlib.sha256(b"".join(g)).digest() if len(g) > 1 else g[0] for g in groups]
+        return level[0].hex()
+
+    for leaf, fan in ((100, 4), (1 << 20, 4), (64, 1024)):
+        found = fingerprint.tree_hashes(spark, str(tmp_path), "*.bin", leaf, fan).collect()
+        got = {r.path.removeprefix(f"{tmp_path}/"): (r.size_bytes, r.tree_sha256) for r in found}
+        assert got == {n: (len(c), root(c, leaf, fan)) for n, c in contents.items() if n.startswith("deep")}
+    one = fingerprint.file_fingerprint(spark, str(tmp_path / "deep/f3333.bin"), None, 100).collect()
+    assert [(r.size_bytes, r.md5) for r in one] == [(3333, hashlib.md5(contents["deep/f3333.bin"]).hexdigest())]
+    assert fingerprint.tree_hashes(spark, str(tmp_path), "*.none").collect() == []
