@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import math
+import zlib
+
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    IDF,
     CountVectorizerModel,
     ElementwiseProduct,
     Normalizer,
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.bounded import checked
+from corpusloom.bounded import small_rows
 from corpusloom.functions.lexical import run_lengths
 from corpusloom.functions.text import let
 from corpusloom.session import materialise
@@ -62,10 +65,10 @@ _TERMS_SQL = (
 )
 
 
-def term_counts(df: DataFrame, text_col: str = "text", id_col: str = "row_id") -> DataFrame:
-    """``(row_id, term, tf)``, counted within the row: no shuffle."""
+def _counted(text: Column) -> Column:
+    """An array of ``(term, tf)`` by term, counted within the row; null without terms."""
 
-    def counted(ordered: Column) -> Column:
+    def counts(ordered: Column) -> Column:
         return F.when(
             F.size(ordered) > 0,
             F.zip_with(
@@ -75,7 +78,12 @@ def term_counts(df: DataFrame, text_col: str = "text", id_col: str = "row_id") -
             ),
         )
 
-    return df.select(id_col, F.inline(let(F.array_sort(terms(F.col(text_col))), counted)))
+    return let(F.array_sort(terms(text)), counts)
+
+
+def term_counts(df: DataFrame, text_col: str = "text", id_col: str = "row_id") -> DataFrame:
+    """``(row_id, term, tf)``, counted within the row: no shuffle."""
+    return df.select(id_col, F.inline(_counted(F.col(text_col))))
 
 
 def vocabulary(counted: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -88,22 +96,60 @@ def vocabulary(counted: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     )
 
 
+def _smooth(df: Column | int, n: int) -> Column:
+    return F.ln(F.lit(n + 1.0) / (df + F.lit(1))) + 1
+
+
+def _look_up(idf: dict[str, float]):
+    """The weight of a term, by maps of a few terms each; null for other terms."""
+    maps: list[dict[str, float]] = [{} for _ in range(max(1, len(idf) // 2))]
+    for term, weight in idf.items():
+        maps[zlib.crc32(term.encode()) % len(maps)][term] = weight
+    # one literal, worked out once when the query is planned
+    table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,double>>")
+
+    def weight(term: Column) -> Column:
+        at = (F.crc32(term.cast("binary")) % len(maps)).cast("int")
+        return F.try_element_at(F.get(table, at), term)
+
+    return weight
+
+
 def tfidf_table(
     df: DataFrame, text_col: str = "text", id_col: str = "row_id", max_terms: int = MAX_TERMS
 ) -> DataFrame:
-    """M07 as relations: ``(row_id, term, tf, weight)`` with smooth idf, unit length."""
-    counted = term_counts(df, text_col, id_col)
-    chosen = checked(vocabulary(counted, max_terms).select("term", "df"))
-    n = df.agg(F.count("*")).scalar()
-    raw = counted.join(chosen, "term").select(
-        id_col,
-        "term",
-        "tf",
-        (F.col("tf") * (F.ln((n + F.lit(1.0)) / (F.col("df") + 1)) + 1)).alias("raw"),
-    )
-    # a row's terms meet in one group, which is as large as the row's text
-    squares = F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col))
-    return raw.select(id_col, "term", "tf", (F.col("raw") / F.sqrt(squares)).alias("weight"))
+    """M07 as relations: ``(row_id, term, tf, weight)`` with smooth idf, unit length.
+
+    Texts are taken apart once, into a written array of counts for each row.  Weights and
+    their length are worked out within the row from one vocabulary, so what is shuffled
+    is the vocabulary alone.  A vocabulary beyond the bound of ``bounded`` is joined.
+    """
+    rows = materialise(df.select(id_col, _counted(F.col(text_col)).alias("_counts")), "term-counts")
+    postings = rows.select(id_col, F.inline("_counts"))
+    n = rows.count()
+    chosen = materialise(vocabulary(postings, max_terms).select("term", _smooth(F.col("df"), n).alias("idf")), "terms")
+    few = small_rows(chosen)
+    if few is None:
+        raw = postings.join(chosen, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+        # a row's terms meet in one group, which is as large as the row's text
+        squares = F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col))
+        return raw.select(id_col, "term", "tf", (F.col("raw") / F.sqrt(squares)).alias("weight"))
+    weight = _look_up({r["term"]: r["idf"] for r in few})
+
+    def raw_weight(c: Column) -> Column:
+        return F.struct(c["term"].alias("term"), c["tf"].alias("tf"), (c["tf"] * weight(c["term"])).alias("raw"))
+
+    def scaled(found: Column) -> Column:
+        length = F.sqrt(F.aggregate(found, F.lit(0.0), lambda total, x: total + x["raw"] * x["raw"]))
+        return let(
+            length,
+            lambda v: F.transform(
+                found, lambda x: F.struct(x["term"].alias("term"), x["tf"].alias("tf"), (x["raw"] / v).alias("weight"))
+            ),
+        )
+
+    known = F.filter(F.transform("_counts", raw_weight), lambda x: x["raw"].isNotNull())
+    return rows.select(id_col, F.inline(let(known, scaled)))
 
 
 def fit_features(
@@ -111,20 +157,20 @@ def fit_features(
 ) -> PipelineModel:
     """M07 as Spark ML stages: counts, idf + 1, unit length."""
     split_terms = SQLTransformer(statement=_TERMS_SQL.format(text=text_col))
-    termed = split_terms.transform(df)
     if max_terms < 1:
         raise ValueError("max_terms must be positive")
     # one vocabulary for the table and the model: ties go to the smaller term
     numbered = df.select(F.monotonically_increasing_id().alias("row_id"), text_col)
-    listed = vocabulary(term_counts(numbered, text_col), max_terms).select("term").collect()
+    listed = vocabulary(term_counts(numbered, text_col), max_terms).collect()
     counter = CountVectorizerModel.from_vocabulary(
         [r["term"] for r in listed], inputCol="_terms", outputCol="_tf"
     )
-    counts = counter.transform(termed).select("_tf")
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts)
+    # the vocabulary knows in how many rows its terms are
+    n = df.count()
     scale = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_tf", outputCol="_tfidf"
-    )
+        scalingVec=Vectors.dense([math.log((n + 1) / (r["df"] + 1)) + 1 for r in listed]),
+        inputCol="_tf", outputCol="_tfidf",
+    )
     unit = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
     return PipelineModel(stages=[split_terms, counter, scale, unit])
 

@@ -9,20 +9,33 @@ from pyspark.sql.window import Window
 from corpusloom.bounded import join_checked
 from corpusloom.functions import keys
 from corpusloom.operators.joins import align_counts
+from corpusloom.session import materialise
 
 FIRST_N_SALTS = 64
 
 
+def repeated(df: DataFrame, text_col: str = "text", id_col: str = "row_id") -> DataFrame:
+    """The ids of rows whose text a row of a smaller id has; nulls are one text.
+
+    Hashes and ids are written once; only texts that occur several times go further.
+    """
+    hashed = materialise(
+        df.select(id_col, keys.text_identity(F.col(text_col)).alias("_k")), "text-hashes"
+    )
+    several = hashed.groupBy("_k").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    rest = hashed.join(several, hashed["_k"].eqNullSafe(several["_k"]))
+    return rest.where(F.col(id_col) != F.col("_first")).select(id_col)
+
+
 def keep_first(df: DataFrame, text_col: str = "text", id_col: str = "row_id") -> DataFrame:
     """The row with the smallest id of each exact text; nulls are one text.
 
     Only (hash, id) pairs are grouped, with a map-side minimum, so a text that
-    fills a third of the corpus costs no more than any other.
+    fills a third of the corpus costs no more than any other.  The wide rows meet the
+    ids that go, not those that stay: a broadcast while these are few, else a join
+    that leaves a table in buckets of the id (see ``session.bucketed``) where it is.
     """
-    first = df.groupBy(keys.text_identity(F.col(text_col)).alias("_k")).agg(
-        F.min(id_col).alias(id_col)
-    )
-    return df.join(first.select(id_col), id_col, "left_semi")
+    return join_checked(df, repeated(df, text_col, id_col), id_col, "left_anti")
 
 
 def first_n(df: DataFrame, origin: str | list[str], n: int, order_col: str = "row_id") -> DataFrame:

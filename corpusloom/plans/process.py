@@ -7,9 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.bounded import checked
+from corpusloom.bounded import checked, join_checked
 from corpusloom.functions import entities as ent, keys, lexical, text as tx
-from corpusloom.operators import sampling
+from corpusloom.operators import sampling, windows
 from corpusloom.schemas import require
 from corpusloom.session import materialise, spread
 from corpusloom.sources import audit, files
@@ -116,14 +116,8 @@ def staged(df: DataFrame, steps: Mapping, text_col: str = "text", id_col: str =
     stages = []
     out = df.withColumn("_text0", F.col(text_col))
     if _enabled(steps.get("remove_duplicates", False)):
-        first = (
-            df.groupBy(keys.text_identity(F.col(text_col)).alias("_k"))
-            .agg(F.min(id_col).alias(id_col))
-            .select(id_col, F.lit(True).alias("_first"))
-        )
-        out = out.join(first, id_col, "left").withColumn(
-            "_first", F.coalesce("_first", F.lit(False))
-        )
+        later = windows.repeated(df, text_col, id_col).withColumn("_later", F.lit(True))
+        out = join_checked(out, later, id_col, "left").withColumn("_first", F.col("_later").isNull()).drop("_later")
         stages.append(("remove_duplicates", alive, F.col("_first"), never))
         alive = F.col("_first")
     length = steps.get("normalize_text_length", {})

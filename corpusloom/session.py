@@ -65,6 +65,21 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once in buckets of ``key``, and read it back.
+
+    One shuffle of the wide rows, after which every join of them on ``key`` (ids that
+    go, topics, splits, scores) moves the other side alone.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = work_path(spark, name)
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path)
+    writer.format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a freshly read table enough tasks for heavy per-row work.
 

@@ -7,7 +7,7 @@ from corpusloom.functions import keys, lexical
 from corpusloom.functions import text as tx
 from corpusloom.models import baseline, topics, vectors
 from corpusloom.operators import aggregates, filters, joins, sampling, windows
-from corpusloom.plans import eda, prepare
+from corpusloom.plans import eda, prepare, process
 from corpusloom.session import spread, work_root
 from corpusloom.suite.registry import Tables
 
@@ -201,3 +201,57 @@ def test_worker_code_travels_by_value():
     from pyspark import cloudpickle
 
     assert "corpusloom" in cloudpickle.list_registry_pickle_by_value()
+
+
+def _exchanged_columns(df) -> set[str]:
+    """Names of the columns that any shuffle of the plan moves."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan()
+    found, open_ = set(), [plan]
+    while open_:
+        node = open_.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            open_.append(node.inputPlan())
+            continue
+        if "Exchange" in node.nodeName() and "Broadcast" not in node.nodeName():
+            found |= set(re.findall(r"(\w+)#\d+", node.output().mkString(",")))
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_row_joins_leave_texts_where_they_are(spark, monkeypatch):
+    """With broadcasts off, a corpus in buckets of its ids is not moved by joins on them."""
+    from corpusloom import bounded
+    from corpusloom.operators import windows
+    from corpusloom.session import bucketed
+
+    rows = [(i, f"text {i % 37}", i % 2) for i in range(200)] + [(900, None, 0), (901, None, 1)]
+    corpus = bucketed(spark.createDataFrame(rows, "row_id long, text string, is_bs int"), "corpus", "row_id")
+    monkeypatch.setattr(bounded.join_checked, "__defaults__", ("inner", 0))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = windows.keep_first(corpus)
+        staged, _, alive = process.staged(corpus, {"remove_duplicates": True})
+        topics = corpus.join(corpus.select("row_id", "is_bs").groupBy("row_id").count(), "row_id", "left")
+        for found in (kept, staged, topics):
+            assert "text" not in _exchanged_columns(found)
+        assert sorted(r.row_id for r in kept.collect()) == [*range(37), 900]
+        assert sorted(r.row_id for r in staged.where(alive).collect()) == [*range(37), 900]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_weights_within_the_row_equal_those_by_joins(spark, monkeypatch):
+    from corpusloom.models import baseline
+
+    texts = ["a cat sat on the mat", "the cat the cat", "", None, "dogs eat meat on mats", "zz", "über cat naïve"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    within = baseline.tfidf_table(df, max_terms=9)
+    assert "Exchange" not in within._jdf.queryExecution().executedPlan().toString()
+    got = {(r.row_id, r.term): (r.tf, round(r.weight, 9)) for r in within.collect()}
+    monkeypatch.setattr(baseline, "small_rows", lambda table: None)
+    joined = {(r.row_id, r.term): (r.tf, round(r.weight, 9)) for r in baseline.tfidf_table(df, max_terms=9).collect()}
+    assert got == joined and len(got) > 8
