@@ -28,6 +28,8 @@ from corpusloom.session import materialise
 # ---- fixed values -------------------------------------------------------
 TERM_WORD = r"[\p{L}\p{N}_]{2,}"
 MAX_TERMS = 10_000
+# Vectors that a task of the optimiser takes at least.
+ROWS_IN_TASK = 1000
 # ---- end of fixed values ------------------------------------------------
 
 
@@ -78,7 +80,7 @@ def _counted(text: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(terms(text)), counts)
+    return let(F.sort_array(terms(text)), counts)
 
 
 def term_counts(df: DataFrame, text_col: str = "text", id_col: str = "row_id") -> DataFrame:
@@ -180,6 +182,8 @@ def fit_classifier(
 ) -> Transformer:
     """M08 on vectors: L2 with strength 1 / (n * c), no standardisation."""
     n = featured.count()
+    # a pass for each iteration: tasks of a few rows cost more than they save
+    featured = featured.coalesce(max(1, math.ceil(n / ROWS_IN_TASK)))
     return LogisticRegression(
         featuresCol="features",
         labelCol=label_col,

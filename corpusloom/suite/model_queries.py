@@ -1,41 +1,77 @@
-"""M02-M13.  Iterative fits have no SQL twin; their relational parts have one."""
+"""M02-M13.
 
-from pyspark.ml.functions import vector_to_array
+The numbers of an iterative fit have no SQL twin.  What must hold of any right fit has
+one: the query works it out from the model, the twin states it of the tables.
+"""
+
+from functools import reduce
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.bounded import checked
 from corpusloom.functions import keys
+from corpusloom.functions.lexical import letter_runs
 from corpusloom.models import baseline, scoring, sweep, topics, vectors
 from corpusloom.operators import aggregates, evaluation, windows
 from corpusloom.plans import process
 from corpusloom.session import materialise, spread, work_path
+from corpusloom.suite import sqlparts as S
 from corpusloom.suite.aggregate_queries import logit_frame, logit_sql, rounded
 from corpusloom.suite.registry import CORPUS, query
+from corpusloom.suite.sample_queries import split_sql
 
 # Labelled rows that a registered fit looks at, at most; every held-out row is scored.
 FIT_ROWS = 20_000
 
 
-@query("m02_document_vectors", heavy=True)
+@query(
+    "m02_document_vectors",
+    r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\p{L}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm,
+      CAST(1 AS BIGINT) AS n_vectors_of_words FROM documents""",
+    heavy=True,
+)
 def _(t):
+    """Vectors of unit length, zero without words; texts of the same words have one vector."""
     made = vectors.document_vectors(t.documents, "text", "vector", 256)
     values = vector_to_array("vector")
-    return made.select(
+    words = F.sort_array(letter_runs(F.col("text")))
+    rows = made.select(
         "doc_id",
-        F.size(F.filter(values, lambda v: v != 0)).alias("n_nonzero"),
-        F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v), 6).alias("norm"),
+        F.round(F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v)), 6).alias("norm"),
+        F.sha2(F.array_join(words, " "), 256).alias("words"),
+        # sums over the words in another order may differ in the last digits
+        F.sha2(F.array_join(F.transform(values, lambda v: F.round(v, 6).cast("string")), " "), 256).alias("v"),
     )
+    each = rows.groupBy("words").agg(F.count_distinct("v").alias("n_vectors_of_words"))
+    return rows.join(each, "words").select("doc_id", "norm", "n_vectors_of_words")
 
 
-@query("m03_reduced_vectors")
+@query(
+    "m03_reduced_vectors",
+    """SELECT CAST(i AS INTEGER) AS component, 0.0::DOUBLE AS mean, true AS falls, true AS uncorrelated
+    FROM (SELECT unnest(range(0, least(150, max(len(embedding))))) AS i FROM embeddings)""",
+)
 def _(t):
+    """Components have mean zero on centred vectors, fall in variance and do not correlate."""
+    whole = t.embeddings.select(F.posexplode("embedding").alias("i", "v"))
+    means = [r.m for r in whole.groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()]
+    centred = F.zip_with(F.col("embedding").cast("array<double>"), F.lit(means), lambda v, m: v - m)
     reduced = vectors.reduce_dimensions(
-        vectors.as_vector(t.embeddings, "embedding"), 150, "vector", "reduced"
-    )
-    parts = vectors.components(reduced).select(F.posexplode("reduced").alias("component", "x"))
-    return parts.groupBy("component").agg(
-        F.round(F.var_samp("x"), 6).alias("variance"), F.round(F.avg("x"), 6).alias("mean")
+        t.embeddings.select(array_to_vector(centred).alias("vector")), 150, "vector", "reduced"
     )
+    reduced = materialise(vectors.components(reduced).select("reduced"), "reduced")
+    matrix = Correlation.corr(reduced.select(array_to_vector("reduced").alias("v")), "v").first()[0].toArray()
+    worst = [max(abs(x) for j, x in enumerate(row) if j != i) for i, row in enumerate(matrix.tolist())]
+    by_component = reduced.select(F.posexplode("reduced").alias("component", "x")).groupBy("component")
+    parts = by_component.agg(F.var_samp("x").alias("s"), F.round(F.abs(F.round(F.avg("x"), 6)), 6).alias("mean"))
+    before = F.lag("s").over(Window.orderBy("component"))
+    return parts.select(
+        "component", "mean", F.coalesce(F.col("s") <= before + 1e-12, F.lit(True)).alias("falls"),
+        (F.get(F.lit(worst), F.col("component")) < 1e-6).alias("uncorrelated"),
+    )
 
 
 @query(
@@ -56,25 +92,63 @@ def _(t):
     )
 
 
-@query("m04_kmeans_label_counts")
+_LABELS = """SELECT label, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_nearer_elsewhere,
+    CAST(2 AS BIGINT) AS n_clusters, true AS centres_are_means FROM embeddings GROUP BY label"""
+
+
+def _clusters(vectored, in_col: str):
+    """Rows by label, rows nearer to another centre than their own, and whether centres are means."""
+    clustered, model = vectors.kmeans(vectored, 2, in_col, "cluster")
+    counted = aggregates.cluster_label_counts(clustered, "cluster", "label")
+    centres = F.lit([[float(x) for x in c] for c in model.clusterCenters()])
+    point = vector_to_array(in_col)
+
+    def away(centre):
+        return F.aggregate(F.zip_with(point, centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
+
+    apart = F.transform(centres, away)
+    placed = clustered.select("label", "cluster", point.alias("p"), apart.alias("d"))
+    rows = placed.groupBy("label").agg(
+        F.count_if(F.get("d", F.col("cluster")) > F.array_min("d") + 1e-9).alias("n_nearer_elsewhere")
+    )
+    means = placed.select("cluster", F.posexplode("p").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("m"))
+    off = F.abs(F.col("m") - F.get(F.get(centres, F.col("cluster")), F.col("i")))
+    # the fit ends when centres move by less than its tolerance
+    fits = means.agg((F.max(off) < 0.01).alias("centres_are_means"), F.count_distinct("cluster").alias("n_clusters"))
+    sizes = counted.groupBy("label").agg(F.sum("n_rows").alias("n_rows"))
+    return sizes.join(rows, "label").crossJoin(F.broadcast(fits))
+
+
+@query("m04_kmeans_label_counts", _LABELS)
 def _(t):
-    vectored = vectors.as_vector(t.embeddings, "embedding")
-    clustered, _model = vectors.kmeans(vectored, 2, "vector", "cluster")
-    return aggregates.cluster_label_counts(clustered, "cluster", "label")
+    return _clusters(vectors.as_vector(t.embeddings, "embedding"), "vector")
 
 
-@query("m04_kmeans_after_reduction")
+@query("m04_kmeans_after_reduction", _LABELS)
 def _(t):
-    reduced = vectors.reduce_dimensions(vectors.as_vector(t.embeddings, "embedding"), 3)
-    clustered, _model = vectors.kmeans(reduced, 2, "reduced", "cluster")
-    return aggregates.cluster_label_counts(clustered, "cluster", "label")
+    return _clusters(vectors.reduce_dimensions(vectors.as_vector(t.embeddings, "embedding"), 3), "reduced")
 
 
-@query("m05_topics", heavy=True)
+@query(
+    "m05_topics",
+    """SELECT count(*) AS n_rows, true AS numbered_by_size, true AS none_too_small,
+      true AS far_rows_are_outliers FROM documents""",
+    heavy=True,
+)
 def _(t):
+    """Every row has a topic; topics are numbered by falling size, and the furthest rows have none."""
     docs = t.documents.select(F.col("doc_id").alias("row_id"), "text")
-    placed = topics.assign_topics(docs, n_topics=8, min_cluster_size=30)
-    return placed.groupBy("topic").agg(F.count("*").alias("n_rows"))
+    sizes = topics.assign_topics(docs, n_topics=8, min_cluster_size=30).groupBy("topic").agg(F.count("*").alias("n"))
+    named = F.filter("s", lambda x: x["topic"] >= 0)
+    listed = sizes.agg(F.sum("n").alias("n_rows"), F.array_sort(F.collect_list(F.struct("topic", "n"))).alias("s"))
+    counts = F.transform(named, lambda x: x["n"])
+    outliers = F.coalesce(F.aggregate(F.filter("s", lambda x: x["topic"] < 0), F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0))
+    return listed.select(
+        "n_rows",
+        ((counts == F.reverse(F.array_sort(counts))) & (F.transform(named, lambda x: x["topic"].cast("long")) == F.sequence(F.lit(0).cast("long"), F.size(named).cast("long") - 1))).alias("numbered_by_size"),
+        (F.array_min(counts) >= 30).alias("none_too_small"),
+        (outliers >= F.floor(F.col("n_rows") * 0.05)).alias("far_rows_are_outliers"),
+    )
 
 
 STOP = ["the", "of", "and", "to", "in", "de", "la", "le", "et", "der", "die", "und", "en", "el"]
@@ -143,29 +217,81 @@ def _fitted(t):
     return baseline.fit_baseline(train), test
 
 
-@query("m08_logistic_regression", heavy=True)
-def _(t):
-    model, test = _fitted(t)
-    return rounded(
-        evaluation.logit_metrics(baseline.predict(model, test), "logits", "is_bs")
+_SIDES = f"""{CORPUS}, {split_sql('corpus', 'is_bs', '0.2')},
+    fit AS (SELECT * FROM sp WHERE split = 'train' ORDER BY {S.ranked()}, row_id LIMIT {FIT_ROWS})"""
+
+
+def steepest(model, train) -> float:
+    """The largest absolute entry of the gradient of the fitted objective, intercept included."""
+    *features, classifier = model.stages
+    rows = train
+    for stage in features:
+        rows = stage.transform(rows)
+    scored = classifier.transform(rows).select(
+        "features", vector_to_array("probability")[1].alias("p"), F.col("is_bs").cast("double").alias("y")
     )
+    total = Summarizer.metrics("sum")
+    sums = scored.agg(
+        total.summary(F.col("features"), F.col("p")).alias("p"), total.summary(F.col("features"), F.col("y")).alias("y"),
+        F.sum(F.col("p") - F.col("y")).alias("b"), F.count("*").alias("n"),
+    ).first()
+    weights = classifier.coefficients.toArray()
+    slope = (sums["p"]["sum"].toArray() - sums["y"]["sum"].toArray()) / sums["n"] + classifier.getRegParam() * weights
+    return max(float(abs(slope).max()), abs(sums["b"] / sums["n"]))
 
 
-@query("m09_term_weights", heavy=True)
+@query(
+    "m08_logistic_regression",
+    f"""WITH {_SIDES} SELECT is_bs, count(*) AS n_scored, (SELECT count(*) FROM fit) AS n_fitted,
+      true AS at_minimum, true AS better_than_chance FROM sp WHERE split = 'test' GROUP BY is_bs""",
+    heavy=True,
+)
 def _(t):
-    model, test = _fitted(t)
-    top, bottom = windows.extremes(baseline.term_weights(model, test))
-    return top.withColumn("side", F.lit("top")).unionByName(
-        bottom.withColumn("side", F.lit("bottom"))
-    )
+    """The fit is at the minimum of its objective, which has one only."""
+    train, test = _split_corpus(t)
+    train = materialise(train, "m08-train")
+    model = baseline.fit_baseline(train)
+    scored = materialise(baseline.predict(model, test).select("is_bs", "logits"), "m08-scored")
+    loss = evaluation.logit_metrics(scored, "logits", "is_bs").first()["log_loss"]
+    return scored.groupBy("is_bs").agg(F.count("*").alias("n_scored")).select(
+        "is_bs", "n_scored", F.lit(train.count()).cast("long").alias("n_fitted"),
+        F.lit(steepest(model, train) < 1e-3).alias("at_minimum"), F.lit(loss < 0.7).alias("better_than_chance"),
+    )
+
+
+@query(
+    "m09_term_weights",
+    rf"""WITH {_SIDES}, t AS (SELECT row_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS ws FROM fit),
+    g AS (SELECT row_id, unnest(ws) AS term FROM t UNION ALL SELECT row_id, unnest(list_transform(range(1, len(ws)),
+      lambda i: ws[i] || ' ' || ws[i + 1])) FROM t)
+    SELECT term, true AS has_weight FROM g GROUP BY term ORDER BY count(*) DESC, term LIMIT 10000""",
+    heavy=True,
+)
+def _(t):
+    """Every term of the vocabulary has a weight; the extremes are its ends."""
+    train, _test = _split_corpus(t)
+    weights = materialise(baseline.term_weights(baseline.fit_baseline(train), train), "term-weights")
+    top, bottom = windows.extremes(weights)
+    ends = top.agg(F.min("weight").alias("hi")).crossJoin(bottom.agg(F.max("weight").alias("lo")))
+    beyond = weights.crossJoin(F.broadcast(ends)).agg(
+        (F.count_if(F.col("weight") > F.col("hi")) < 30) & (F.count_if(F.col("weight") < F.col("lo")) < 30)
+    ).first()[0]
+    return weights.select("term", (F.col("weight").isNotNull() & ~F.isnan("weight") & F.lit(beyond)).alias("has_weight"))
 
 
-@query("m10_batch_scoring", heavy=True)
+@query(
+    "m10_batch_scoring",
+    "SELECT doc_id AS row_id, true AS in_domain, true AS of_the_likelier FROM documents",
+    heavy=True,
+)
 def _(t):
+    """One label for every row, with the score of the likelier of two."""
     model, _test = _fitted(t)
     docs = t.documents.select(F.col("doc_id").alias("row_id"), "text")
     _minimal, full = scoring.label_outputs(scoring.score_with_model(model, docs))
-    return full.select("row_id", "is_bs", F.round("score", 6).alias("score"))
+    return full.select(
+        "row_id", F.col("is_bs").isin("0", "1").alias("in_domain"), F.col("score").between(0.5, 1).alias("of_the_likelier")
+    )
 
 
 def _length_model():
@@ -197,20 +323,31 @@ def _(t):
     return rounded(full.drop("text"))
 
 
-@query("m11_sweep", heavy=True)
+_METRICS = ", ".join(f"('{m}')" for m in evaluation.METRICS)
+
+
+@query(
+    "m11_sweep",
+    f"""WITH {_SIDES} SELECT run, dataset, metric, true AS in_range
+    FROM (VALUES ('plain'), ('strong')) AS r(run),
+      (SELECT 'held_out' AS dataset UNION SELECT lang FROM sp WHERE split = 'test'), (VALUES {_METRICS}) AS m(metric)
+    UNION ALL SELECT 'broken', NULL, 'failed', true""",
+    heavy=True,
+)
 def _(t):
+    """All metrics of each run that finished on the held-out rows and on each named set."""
     train, test = _split_corpus(t)
-    experiments = {
-        "plain": {"c": 1.0},
-        "broken": {"max_terms": -1},
-        "strong": {"c": 0.1},
-    }
-    return sweep.run_experiments(
-        t.spark,
-        experiments,
-        work_path(t.spark, "runs"),
-        lambda config: sweep.train_and_evaluate(train, test, config),
-    ).drop("message")
+    test = materialise(test, "sweep-test")
+    sets = {"held_out": test} | {r.lang: test.where(F.col("lang") == r.lang) for r in test.select("lang").distinct().collect()}
+    shared = sweep.SharedFeatures(train, sets)
+    experiments = {"plain": {"c": 1.0, "max_iter": 50}, "broken": {"max_terms": -1}, "strong": {"c": 0.1, "max_iter": 50}}
+    path = work_path(t.spark, "runs")
+    status = sweep.run_experiments(t.spark, experiments, path, shared.train_and_evaluate)
+    found = sweep.run_metrics(t.spark, path).select(
+        "run", "dataset", "metric", (F.col("value") >= 0) & ((F.col("value") <= 1) | (F.col("metric") == "log_loss"))
+    )
+    failed = status.where("status = 'failed'").select("run", F.lit(None).cast("string").alias("dataset"), F.lit("failed").alias("metric"), F.lit(True).alias("in_range"))
+    return found.toDF("run", "dataset", "metric", "in_range").unionByName(failed)
 
 
 @query(
@@ -227,11 +364,23 @@ def _(t):
     return rounded(evaluation.metrics_long(measured))
 
 
-@query("m12_model_on_named_sets", heavy=True)
+@query(
+    "m12_model_on_named_sets",
+    f"""WITH {CORPUS} SELECT lang AS dataset, count(*) AS n_rows, true AS whole_hits FROM corpus
+    WHERE lang IN ('en', 'de', 'fr', 'es') GROUP BY lang""",
+    heavy=True,
+)
 def _(t):
+    """The accuracy of each set is a whole number of its rows, and all measures are shares."""
     model, _test = _fitted(t)
     sets = {lang: t.corpus.filter(F.col("lang") == lang) for lang in ("en", "de", "fr", "es")}
-    return rounded(sweep.external_evaluation(model, sets))
+    measured = sweep.external_evaluation(model, sets)
+    sizes = t.corpus.groupBy(F.col("lang").alias("dataset")).agg(F.count("*").alias("n_rows"))
+    hits = F.col("accuracy") * F.col("n_rows")
+    shares = reduce(lambda a, b: a & b, [F.col(m).between(0, 1) for m in evaluation.METRICS if m != "log_loss"])
+    return measured.join(sizes, "dataset").select(
+        "dataset", "n_rows", (shares & (F.abs(hits - F.round(hits)) < 1e-6)).alias("whole_hits")
+    )
 
 
 _STEPS = """st AS (SELECT lang AS run, CAST(substr(source, 4) AS INTEGER) AS step,
@@ -257,10 +406,22 @@ def _(t):
     return evaluation.best_run(steps)
 
 
-@query("m13_iteration_ladder", heavy=True)
+@query(
+    "m13_iteration_ladder",
+    "SELECT 'ladder' AS run, true AS stops_by_rule, true AS steps_of_the_ladder FROM documents LIMIT 1",
+    heavy=True,
+)
 def _(t):
+    """It ends after two steps without a gain, not before and not later, or with the ladder."""
     train, test = _split_corpus(t)
-    _best, steps = sweep.iteration_ladder(train, test, [1, 2, 4, 8, 16])
-    return rounded(steps)
-
-
+    ladder = [1, 2, 4, 8, 16]
+    _best, steps = sweep.iteration_ladder(train, test, ladder)
+    best = evaluation.best_run(steps)
+    done = steps.groupBy("run").agg(
+        F.max("step").alias("last"), F.array_sort(F.collect_list(F.struct("step", "max_iter"))).alias("tried")
+    )
+    by_rule = (F.col("last") == F.col("last_step")) & (
+        (F.col("last") == len(ladder) - 1) | (F.col("last") - F.col("best_step") == 2)
+    )
+    tried = F.transform("tried", lambda x: x["max_iter"]) == F.slice(F.lit(ladder), F.lit(1), F.col("last") + 1)
+    return done.join(best, "run").select("run", by_rule.alias("stops_by_rule"), tried.alias("steps_of_the_ladder"))

@@ -68,11 +68,18 @@ def _(t):
     return made
 
 
-@query("x02_enrich", heavy=True)
+@query(
+    "x02_enrich",
+    f"""WITH {CORPUS} SELECT row_id, is_bs, source, CAST(len({S.entity_list('text')}) AS INTEGER) AS n_entities,
+      true AS has_topic FROM corpus""",
+    heavy=True,
+)
 def _(t):
     docs = t.corpus.drop("topic")
     made = enrich.enrich(docs, S.GAZETTEER, n_topics=8, min_cluster_size=15)
-    return rounded(enrich.topic_summary(made))
+    return made.select(
+        "row_id", "is_bs", "source", F.size("entities").alias("n_entities"), F.col("topic").between(-1, 7).alias("has_topic")
+    )
 
 
 @query(
@@ -259,14 +266,70 @@ def _(t):
     return rounded(aggregates.describe(measured, ["ttr", "hdd"]))
 
 
-@query("x06_eda_report_sizes", heavy=True)
+def _box_sql(metric: str) -> str:
+    q = f"(SELECT is_bs AS g, quantile_cont(CAST({metric} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({metric} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({metric} AS DOUBLE), 0.75) AS q3 FROM lens GROUP BY is_bs)"
+    return f"""SELECT 'box_{metric}' AS report, CAST(g AS VARCHAR) AS item, unnest(['q1', 'median', 'q3', 'whisker_low',
+        'whisker_high', 'n_outliers']) AS measure, unnest([q1, median, q3,
+        min({metric}) FILTER ({metric} >= q1 - 1.5 * (q3 - q1)), max({metric}) FILTER ({metric} <= q3 + 1.5 * (q3 - q1)),
+        count(*) FILTER ({metric} < q1 - 1.5 * (q3 - q1) OR {metric} > q3 + 1.5 * (q3 - q1))]) AS value
+      FROM lens JOIN {q} q ON lens.is_bs = q.g GROUP BY g, q1, median, q3"""
+
+
+_COLUMNS = ("row_id", "text", "source", "lang", "n_chars", "is_bs", "toxic", "topic")
+_MEASURES = ("n", "mean", "std", "min", "q1", "median", "q3", "max")
+
+
+def _report_sql() -> str:
+    described = _describe_sql("lens", ["chars_length", "words_length", "tokens_length"])
+    nulls = " UNION ALL ".join(
+        f"SELECT 'nulls', '{c}', unnest(['n_nulls', 'n_rows']), unnest([CAST(count(*) - count({c}) AS DOUBLE), count(*)]) FROM corpus"
+        for c in _COLUMNS
+    )
+    bands = "['n_topics', 'only_1', 'above_half', 'below_half', 'only_0', 'in_band']"
+    return f"""WITH {CORPUS}, {SUMMARY}, {LENGTH_CTE}, dsc AS ({described}),
+    b AS (SELECT count(*) AS a, count(*) FILTER (fake_ratio = 1) AS b, count(*) FILTER (fake_ratio > 0.5) AS c,
+      count(*) FILTER (fake_ratio < 0.5) AS d, count(*) FILTER (fake_ratio = 0) AS e,
+      count(*) FILTER (fake_ratio > 0.4 AND fake_ratio < 0.6) AS f FROM s),
+    m AS (SELECT topic, CAST(2 * sum(is_bs) > count(*) AS INTEGER) AS pred FROM corpus GROUP BY topic),
+    lk AS (SELECT is_bs, count(*) FILTER (pred = 0) AS p0, count(*) FILTER (pred = 1) AS p1
+      FROM corpus c JOIN m ON c.topic = m.topic GROUP BY is_bs),
+    r AS (SELECT 'lengths' AS report, is_bs || '/' || metric AS item, unnest({list(_MEASURES)}) AS measure,
+        unnest([CAST(n AS DOUBLE), mean, std, min, q1, median, q3, max]) AS value FROM dsc
+      UNION ALL {nulls}
+      UNION ALL SELECT 'duplicates', '', 'n_duplicates', count(*) - count(DISTINCT text) FROM corpus
+      UNION ALL SELECT 'classes', CAST(is_bs AS VARCHAR), 'n_rows', count(*) FROM corpus GROUP BY is_bs
+      UNION ALL SELECT 'topics', CAST(topic AS VARCHAR), unnest(['n_label_0', 'n_label_1', 'total', 'fake_ratio']),
+        unnest([CAST(n_label_0 AS DOUBLE), n_label_1, total, fake_ratio]) FROM s
+      UNION ALL SELECT 'topic_bands', '', unnest({bands}), unnest([CAST(a AS DOUBLE), b, c, d, e, f]) FROM b
+      UNION ALL SELECT 'balanced_rows', '', 'n_rows', count(*) FROM corpus WHERE topic <> -1 AND topic IN
+        (SELECT topic FROM s WHERE fake_ratio BETWEEN 0.4 AND 0.6)
+      UNION ALL SELECT 'topic_leakage', CAST(is_bs AS VARCHAR), unnest(['pred_0', 'pred_1']), unnest([CAST(p0 AS DOUBLE), p1]) FROM lk
+      UNION ALL {' UNION ALL '.join(_box_sql(m) for m in ('chars_length', 'words_length', 'tokens_length'))})
+    SELECT report, item, measure, round(value, 6) AS value FROM r"""
+
+
+# Key columns of the tables of the report; those that SQL has twins for.
+_REPORT = {
+    "nulls": ["column_name"], "duplicates": [], "classes": ["is_bs"], "lengths": ["is_bs", "metric"], "topics": ["topic"],
+    "topic_bands": [], "balanced_rows": [], "topic_leakage": ["actual"], "box_chars_length": ["is_bs"],
+    "box_words_length": ["is_bs"], "box_tokens_length": ["is_bs"],
+}
+
+
+def _melted(frame: DataFrame, name: str, key: list[str]) -> DataFrame:
+    pairs = [
+        F.struct(F.lit(c).alias("measure"), F.round(F.col(c).cast("double"), 6).alias("value"))
+        for c in frame.columns if c not in key
+    ]
+    item = F.concat_ws("/", *[F.col(c).cast("string") for c in key]) if key else F.lit("")
+    return frame.select(F.lit(name).alias("report"), item.alias("item"), F.inline(F.array(*pairs)))
+
+
+@query("x06_eda_report", _report_sql(), heavy=True)
 def _(t):
+    """All numbers of the report's tables in long form."""
     tables = eda.report(t.corpus)
-    parts = [
-        frame.agg(F.count("*").alias("n_rows")).withColumn("table", F.lit(name))
-        for name, frame in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [_melted(tables[name], name, key) for name, key in _REPORT.items()])
 
 
 @query(
@@ -280,7 +343,15 @@ def _(t):
     return eda.topic_leakage(t.corpus)
 
 
-@query("x08_baseline_report", heavy=True)
+@query(
+    "x08_baseline_report",
+    f"""WITH {CORPUS}, {split_sql('corpus', 'is_bs', '0.2')}, n AS (SELECT count(*) AS n FROM sp WHERE split = 'test')
+    SELECT CAST(is_bs AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS support, true AS shares FROM sp WHERE split = 'test' GROUP BY is_bs
+    UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), n, true FROM n""",
+    heavy=True,
+)
 def _(t):
-    made = baseline_report.baseline_report(t.corpus)
-    return made["report"]
+    """The support of every line of the report, and shares within 0 and 1."""
+    found = baseline_report.baseline_report(t.corpus)["report"]
+    shares = reduce(lambda a, b: a & b, [F.col(c).between(0, 1) for c in ("precision", "recall", "f1")])
+    return found.select("name", F.col("support").cast("double").alias("support"), shares.alias("shares"))
