@@ -108,7 +108,14 @@ def load_encoder(path: str | None):
 
         path = public_tokenizers.path(VOCABULARY)
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        whole = json.load(file)
+    model = whole["model"]
+    # added tokens are found in a text before anything else
+    added = {}
+    for token in whole.get("added_tokens") or []:
+        if token.get("lstrip") or token.get("rstrip") or token.get("single_word"):
+            raise ValueError(f"added token {token['content']!r} takes its surroundings, which is not supported")
+        added[token["content"]] = token["id"]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -118,12 +125,12 @@ def load_encoder(path: str | None):
     ranks = {
         bytes(byte_of[c] for c in token): number
         for token, number in model["vocab"].items()
-        if len(token) == 1 or token in merged
+        if token not in added and (len(token) == 1 or token in merged)
     }
     encoding = tiktoken.Encoding(
-        "packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added
     )
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
 
 
 class Block:

@@ -10,7 +10,6 @@ def test_pieces_against_the_tokenizer(docs, texts):
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(docs).collect()
     by_doc = {}
     for r in rows:
@@ -33,9 +32,17 @@ def test_pieces_against_the_tokenizer(docs, texts):
     assert zlib.crc32(b"") == 0
 
 
-def test_special_strings_are_ordinary_text():
+def test_added_tokens_within_texts():
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = packing.load_encoder(None)
-    assert 50256 not in encode("<|endoftext|>").tolist()
+    draw = np.random.default_rng(6)
+    parts = ["<|endoftext|>", "<|endoftext|", "|endoftext|>", "<|", " ", "  ", "\n", "a", "the end", "don't", "12", "é", "<", ">"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts, draw.integers(1, 9)))
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert 50256 in encode("a<|endoftext|>b").tolist()
 
 
 def test_best_fit_takes_the_tightest_window():
