@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import materialise
+
 # Labelled rows that the fit looks at, at most.
 FIT_ROWS = 20_000
 GRAMS = (5, 6, 7)
@@ -420,8 +422,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .join(few, "doc_id")
         .select("text", "toxic")
-        .coalesce(12)
     )
+    # the scan has all its tasks; the rows it finds are few and the restoring of each is long
+    labelled = materialise(labelled, "toxicity-labelled").repartition(12)
     n_pos = sum(r.toxic for r in chosen)
     model["rate"] = n_pos / len(chosen)
     if n_pos in (0, len(chosen)):
