@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.bounded import checked
+from corpusloom.functions import text as tx, urls
 from corpusloom.operators import filters, windows
-from corpusloom.functions import text as tx
+from corpusloom.sources import pages as web
 
 _ITEM = "link string, title string, pubDate string, description string, guid string"
 _ENTRY = (
@@ -71,14 +73,43 @@ def read_atom(spark: SparkSession, path: str | list[str], feed_by: str = "file")
     )
 
 
+def article_texts(entries: DataFrame, pages: DataFrame | None = None, page_url_col: str = "url") -> DataFrame:
+    """Entries with the plain text of the article in ``text``: that of the stored page
+    behind the link, else that of the entry's own markup.
+
+    Links and URLs are compared without scheme, fragment and closing slash; the host
+    in any case.  Of pages with one URL the longest article counts.
+    """
+    own = entries.withColumn("text", web.article_text(F.col("text")))
+    if pages is None:
+        return own
+
+    def place(url):
+        host, rest = urls.split_bare(urls.without_scheme(F.regexp_replace(url, "#.*$", "")))
+        return F.regexp_replace(F.concat(host, rest), "/$", "")
+
+    linked = own.withColumn("_place", place(F.col("url")))
+    # only pages behind a link are read for their text
+    wanted = pages.select(place(F.col(page_url_col)).alias("_place"), "html").join(
+        checked(linked.select("_place").where("_place IS NOT NULL").distinct()), "_place", "left_semi"
+    )
+    text = web.article_text(F.col("html"))
+    read = wanted.select("_place", text.alias("_article")).where("_article <> ''")
+    best = read.groupBy("_place").agg(F.max_by("_article", F.struct(F.length("_article"), "_article")).alias("_article"))
+    joined = linked.join(best, "_place", "left")
+    return joined.withColumn("text", F.coalesce("_article", "text")).drop("_place", "_article")
+
+
 def feed_articles(
-    entries: DataFrame, max_articles: int = 1000, min_chars: int = 200, max_chars: int = 1000
-) -> DataFrame:
-    """First entries of each feed, then the longer ones, cut to an excerpt.
+    entries: DataFrame, max_articles: int = 1000, min_chars: int = 200, max_chars: int = 1000,
+    pages: DataFrame | None = None,
+) -> DataFrame:
+    """First entries of each feed, then those of longer articles, cut to an excerpt.
 
     The cap comes before the length filter.  The newest entries come first, as
     they stand in a feed; entries of one moment follow their id (a number before
-    a text), and entries without a readable date come last.
+    a text), and entries without a readable date come last.  The article is that of
+    ``article_texts``: of the stored ``pages`` where one is behind the link.
     """
     newest = -F.unix_micros(entry_time(F.col("date")))
     number = F.expr("try_cast(entry_id as bigint)")
@@ -87,6 +118,5 @@ def feed_articles(
         number.alias("number"), "entry_id", "url",
     )
     capped = windows.first_n(entries.withColumn("_order", order), "feed", max_articles, "_order")
-    return filters.longer_than(capped.drop("_order"), min_chars).withColumn(
-        "text", tx.excerpt(F.col("text"), max_chars)
-    )
+    found = article_texts(capped.drop("_order"), pages)
+    return filters.longer_than(found, min_chars).withColumn("text", tx.excerpt(F.col("text"), max_chars))

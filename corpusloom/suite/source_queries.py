@@ -44,6 +44,17 @@ def _(t):
     )
 
 
+_TAGS = "script style nav footer aside form noscript".split()
+_NOISE = "|".join(["<!--.*?-->"] + [rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in _TAGS])
+
+
+def _text_of(markup: str) -> str:
+    out = rf"regexp_replace({markup}, '(?i)<(br|/p|/h[1-6]|/li|/div|p)\b[^>]*>', ' ', 'g')"
+    out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
+    out = rf"regexp_replace({S.unescaped(out)}, '&amp;?', '&', 'g')"
+    return f"array_to_string({S.word_list(out)}, ' ')"
+
+
 def write_feeds(t, tag: str):
     """RSS items of all documents, one folder per source."""
     path = work_path(t.spark, tag)
@@ -65,11 +76,17 @@ def write_feeds(t, tag: str):
     return path
 
 
-FEED_TEXT = r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\r]', '', 'g')"
+_CARRIED = r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\r]', '', 'g')"
+
+
+def entry_text(x: str) -> str:
+    """Plain text of an entry's markup; the given texts have no article or body element."""
+    clean = f"regexp_replace({x}, '(?is){_NOISE}', ' ', 'g')"
+    return _text_of(clean)
 
 
 def feed_sql(cap: int) -> str:
-    return f"""fd AS (SELECT doc_id, source, {FEED_TEXT} AS text FROM documents),
+    return f"""fd AS (SELECT doc_id, source, {entry_text(_CARRIED)} AS text FROM documents),
     fc AS (SELECT * FROM fd QUALIFY row_number() OVER (PARTITION BY source
       ORDER BY doc_id * 7 % 300 DESC, doc_id) <= {cap}),
     feed AS (SELECT 'source=' || source AS feed, doc_id AS entry_id,
@@ -166,17 +183,6 @@ def _(t):
     return pages.match_index(_crawled(t), listed, limit=40, crawl_col="crawl").drop("entry_no")
 
 
-_TAGS = "script style nav footer aside form noscript".split()
-_NOISE = "|".join(["<!--.*?-->"] + [rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in _TAGS])
-
-
-def _text_of(markup: str) -> str:
-    out = rf"regexp_replace({markup}, '(?i)<(br|/p|/h[1-6]|/li|/div|p)\b[^>]*>', ' ', 'g')"
-    out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
-    out = rf"regexp_replace({S.unescaped(out)}, '&amp;?', '&', 'g')"
-    return f"array_to_string({S.word_list(out)}, ' ')"
-
-
 def article_sql(source: str, max_words: int) -> str:
     """CTE ``art`` with title and text of the pages in ``source``."""
     return rf"""cln AS (SELECT *, regexp_replace(html, '(?is){_NOISE}', ' ', 'g') AS clean,
@@ -217,6 +223,46 @@ def _(t):
     return pages.extract_articles(t.pages.withColumn("html", written))
 
 
+def _atom_feeds(t) -> str:
+    """Atom entries that link to the pages, one file folder per hundred of ids."""
+    path = work_path(t.spark, "atom")
+    entries = t.pages.select(
+        F.array(
+            F.struct(F.lit("self").alias("_rel"), F.lit("https://feeds.example.com/self").alias("_href")),
+            # another scheme, a fragment and a closing slash lead to the same page
+            F.struct(
+                F.lit("alternate").alias("_rel"),
+                F.concat(F.regexp_replace("url", "^[a-z]+://", "ftp://"), F.lit("#top")).alias("_href"),
+            ),
+        ).alias("link"),
+        F.concat(F.lit("Page "), "page_id").alias("title"),
+        F.date_format(
+            F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 61), "yyyy-MM-dd'T'HH:mm:ss'Z'"
+        ).alias("published"),
+        F.lit("<p>only a summary</p>").alias("summary"),
+        F.col("page_id").cast("string").alias("id"),
+        (F.col("page_id") % 3).alias("feed"),
+    )
+    entries.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").partitionBy("feed").save(path)
+    return path
+
+
+@query(
+    "s04_atom_entries",
+    f"""WITH c AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id DESC) <= 400),
+    {article_sql('c', 10**9)},
+    l AS (SELECT regexp_replace({S.bare('url')}, '/$', '') AS place, arg_max(whole, length(whole)) AS whole
+      FROM (SELECT c.url, a.whole FROM c JOIN art a ON a.page_id = c.page_id) GROUP BY place)
+    SELECT 'feed=' || (page_id % 3) AS feed, CAST(page_id AS VARCHAR) AS entry_id,
+      regexp_replace(url, '^[a-z]+://', 'ftp://') || '#top' AS url, 'Page ' || page_id AS title, left(whole, 1000) AS text
+    FROM c JOIN l ON l.place = regexp_replace({S.bare('c.url')}, '/$', '') WHERE length(whole) > 200""",
+    heavy=True,
+)
+def _(t):
+    entries = feeds.read_atom(t.spark, _atom_feeds(t), feed_by="folder")
+    return feeds.feed_articles(entries, max_articles=400, pages=t.pages).drop("date")
+
+
 def _drawn(role: str) -> str:
     return f"CAST('0x' || substr(md5('42:{role}:' || row_id), 1, 8) AS BIGINT)"
 

@@ -242,3 +242,19 @@ def test_tree_hash_of_files_by_ranges(spark, tmp_path, monkeypatch):
     one = fingerprint.file_fingerprint(spark, str(tmp_path / "deep/f3333.bin"), None, 100).collect()
     assert [(r.size_bytes, r.md5) for r in one] == [(3333, hashlib.md5(contents["deep/f3333.bin"]).hexdigest())]
     assert fingerprint.tree_hashes(spark, str(tmp_path), "*.none").collect() == []
+
+
+def test_feed_text_is_that_of_the_page_behind_the_link(spark):
+    shape = "feed string, entry_id string, url string, title string, date string, text string"
+    rows = [
+        ("f", "1", "http://A.com/x/#c", "t", None, "<p>short</p>"),
+        ("f", "2", "http://b.org/none", "t", None, "<b>R&amp;D</b><script>x()</script> of &#8220;own&#8221;<br>words"),
+        ("f", "3", None, "t", None, None),
+    ]
+    page = "<html><body><nav>menu</nav><article><p>The {}</p></article></body></html>"
+    pages_ = [("https://a.com/x", page.format("long article")), ("http://a.com/x", page.format("tale")), ("http://c.net/", None)]
+    entries = spark.createDataFrame(rows, shape)
+    stored = spark.createDataFrame(pages_, "url string, html string")
+    got = {r.entry_id: r.text for r in feeds.article_texts(entries, stored).collect()}
+    assert got == {"1": "The long article", "2": "R&D of \u201cown\u201d words", "3": None}
+    assert {r.entry_id: r.text for r in feeds.article_texts(entries).collect()}["1"] == "short"
