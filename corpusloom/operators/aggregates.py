@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from corpusloom.bounded import join_checked
 from corpusloom.functions import keys, urls
 from corpusloom.operators import quantiles as exact
-from corpusloom.operators.joins import mentions_own_alias
+from corpusloom.operators.joins import mentions_own_alias, own_alias_hits
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -156,6 +156,18 @@ def alias_leakage(
     )
 
 
+def alias_table_leakage(
+    df: DataFrame,
+    aliases: DataFrame,
+    text_col: str = "text",
+    label_col: str = "is_bs",
+    row_col: str = "row_id",
+) -> DataFrame:
+    """A11 with a table ``label, alias`` of any length; no hits, no row."""
+    hits = own_alias_hits(df, aliases, text_col, label_col, row_col)
+    return hits.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n_hits"))
+
+
 def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
     """Distinct keys."""
     return df.select(*columns).distinct()

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.bounded import join_checked
 from corpusloom.functions import urls
+from corpusloom.session import materialise
 
 _WORD = r"[\p{L}\p{N}_]"
+# Keys of aliases that are broadcast at most; a key takes 16 bytes, about 50 in the hash table.
+MAX_ALIAS_KEYS = 2_000_000
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
@@ -71,6 +74,80 @@ def mentions_own_alias(
     return F.coalesce(hit, F.lit(False))
 
 
+def _pieces(text: Column) -> Column:
+    """Words and what stands between them, in turn, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"{_WORD}+|[^{_WORD[1:]}+"), F.lit(0))
+
+
+def own_alias_hits(
+    df: DataFrame,
+    aliases: DataFrame,
+    text_col: str = "text",
+    label_col: str = "is_bs",
+    row_col: str = "row_id",
+    alias_label_col: str = "label",
+    alias_col: str = "alias",
+    max_keys: int = MAX_ALIAS_KEYS,
+) -> DataFrame:
+    """J06 with a table of aliases: per row the leftmost, then longest alias of its own label.
+
+    Finds what ``mentions_own_alias`` finds (whose pattern does not see letters beyond U+FFFF
+    in front of an alias, while these are letters here). As a boundary is between a word and another
+    sign, an alias occurs where its pieces (words, and what stands between them) equal
+    pieces of the text, end to end; so aliases and stretches of as many pieces meet by
+    equal hashes of 128 bits, and texts are not moved. Keys are 16 bytes wide: up to
+    ``max_keys`` of them are broadcast, more are joined by shuffle.
+
+    Rows without an alias, with a null text or label, and null or empty aliases give
+    nothing; repeated aliases count once. ``place`` is the first piece, from 1 at the
+    first word of the text; ``alias`` is in lower case. A long text costs 40 bytes a
+    piece and different alias length while its row is worked on.
+    """
+    kind = df.schema[label_col].dataType
+
+    def keys(label: Column, pieces: Column) -> list[Column]:
+        return [F.xxhash64(label, pieces).alias("h1"), F.xxhash64(F.lit(1), label, pieces).alias("h2")]
+
+    named = aliases.select(
+        F.col(alias_label_col).cast(kind).alias("label"), F.lower(alias_col).alias("alias")
+    ).filter(F.col("label").isNotNull() & (F.col("alias") != ""))
+    pieces = _pieces(F.col("alias"))
+    named = materialise(
+        named.distinct().select("alias", F.size(pieces).alias("n"), *keys(F.col("label"), pieces)), "aliases"
+    )
+    lengths = sorted(r["n"] for r in named.select("n").distinct().collect()) or [1]
+
+    every = df.filter(F.col(label_col).isNotNull()).select(
+        F.col(row_col).alias("row"), F.col(label_col).alias("own"), _pieces(F.col(text_col)).alias("e")
+    )
+    wordless = rf"^[^{_WORD[1:]}"
+    before = F.get("e", F.lit(0)).rlike(wordless).cast("int")
+    behind = F.get("e", F.size("e") - 1).rlike(wordless).cast("int")
+    # what stands before the first and behind the last word is next to one word only
+    inner = F.when(F.size("e") > 1, F.slice("e", before + 1, F.size("e") - before - behind)).otherwise(
+        F.filter("e", lambda p: ~p.rlike(wordless))
+    )
+    texts = every.select("row", "own", inner.alias("p"))
+
+    def stretches(n: int) -> Column:
+        last = F.size("p") - n + 1
+        places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            places,
+            lambda i: F.struct(i.alias("place"), F.lit(n).alias("n"), *keys(F.col("own"), F.slice("p", i, n))),
+        )
+
+    # an outer generator: for an inner one Spark would make the arrays twice, to filter by their size
+    rows = texts.select("row", "own", F.explode_outer(F.concat(*[stretches(n) for n in lengths])).alias("s"))
+    wanted = named.select("h1", "h2")
+    if named.count() <= max_keys:
+        wanted = F.broadcast(wanted)
+    hits = rows.select("row", "own", "s.*").join(wanted, ["h1", "h2"], "left_semi")
+    first = hits.groupBy("row", "own").agg(F.min(F.struct("place", -F.col("n"), "h1", "h2")).alias("s"))
+    found = first.select("row", "own", "s.place", "s.h1", "s.h2").join(named.select("h1", "h2", "alias"), ["h1", "h2"])
+    return found.select(F.col("row").alias(row_col), F.col("own").alias(label_col), "place", "alias")
+
+
 def label_by_host(
     df: DataFrame,
     bs_hosts: Iterable[str],

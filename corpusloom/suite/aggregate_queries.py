@@ -6,7 +6,7 @@ from corpusloom.functions import lexical, scores, text as tx
 from corpusloom.operators import aggregates, evaluation, filters, windows
 from corpusloom.functions import entities as ent
 from corpusloom.suite import sqlparts as S
-from corpusloom.suite.filter_queries import ALIASES, _whole
+from corpusloom.suite.filter_queries import ALIAS_TABLE, ALIASES, _whole, alias_table
 from corpusloom.suite.registry import CORPUS, query
 
 SUMMARY = """s AS (SELECT topic, count(*) FILTER (is_bs = 0) AS n_label_0,
@@ -213,6 +213,16 @@ def _(t):
     return aggregates.alias_leakage(t.corpus, ALIASES)
 
 
+@query(
+    "a11_alias_table_leakage",
+    f"""WITH {CORPUS}, {ALIAS_TABLE}
+    SELECT is_bs AS label, count(DISTINCT row_id) AS n_hits FROM hits GROUP BY is_bs""",
+    heavy=True,
+)
+def _(t):
+    return aggregates.alias_table_leakage(t.corpus, alias_table(t))
+
+
 @query("a12_distinct", "SELECT DISTINCT lang, source FROM documents")
 def _(t):
     return aggregates.distinct_values(t.documents, "lang", "source")

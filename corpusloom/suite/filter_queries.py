@@ -261,6 +261,34 @@ def _(t):
     return t.corpus.select("row_id", hit.alias("hit"))
 
 
+# Aliases are words and pairs of words; pieces are words and what stands between them.
+ALIAS_TABLE = r"""names AS (SELECT DISTINCT item_id % 2 AS label,
+      unnest([w[1], w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS alias
+    FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark)),
+  pieces AS (SELECT row_id, is_bs, unnest(p) AS one, unnest(range(len(p))) AS place FROM (SELECT row_id, is_bs,
+      regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS p FROM corpus)),
+  stretches AS (SELECT *, one || lead(one) OVER r || lead(one, 2) OVER r AS three FROM pieces
+    WINDOW r AS (PARTITION BY row_id ORDER BY place)),
+  hits AS (SELECT row_id, is_bs, place, alias FROM stretches JOIN names ON is_bs = label AND alias = one
+    UNION ALL SELECT row_id, is_bs, place, alias FROM stretches JOIN names ON is_bs = label AND alias = three)"""
+
+@query(
+    "j06_alias_table",
+    f"""WITH {CORPUS}, {ALIAS_TABLE} SELECT row_id, is_bs,
+      arg_min(alias, place * 1000 - length(alias)) AS alias FROM hits GROUP BY row_id, is_bs""",
+    heavy=True,
+)
+def _(t):
+    return joins.own_alias_hits(t.corpus, alias_table(t)).drop("place")
+
+
+def alias_table(t):
+    """Names for both labels: the first word and the first pairs of words of benchmark items."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    pairs = [F.get(words, F.lit(0)), *(F.concat_ws(" ", F.get(words, F.lit(i)), F.get(words, F.lit(i + 1))) for i in (0, 1))]
+    return t.benchmark.select((F.col("item_id") % 2).alias("label"), F.explode(F.array(*pairs)).alias("alias"))
+
+
 BS_HOSTS = ["spam-farm.example.org", "www.cheap-pills.example.com"]
 LEGIT_HOSTS = ["blog.ththan.example.net", "thther.example.org", "spam-farm.example.org"]
 LABEL_CASE = f"""CASE WHEN {S.host('url')} IN

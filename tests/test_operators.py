@@ -84,6 +84,36 @@ def test_aliases(spark):
     assert rows(hits, "label", "n_hits") == [("x", 2)]
 
 
+def test_alias_table_finds_what_the_pattern_finds(spark):
+    names = ["Ann", "J.R", "'s", "...", "de la", "de", "La", "é", "x_1", "a-b", "(q)", "-", " of the", "ann  lee"]
+    parts = [*names, "annabel", " ", "  ", "-", ".", "É", "_", "ANN Lee", "de  la", "x"]
+    texts = [
+        "".join(parts[(i * k + i // 7 * j) % len(parts)] + (" " if (i + j) % 3 else "") for j, k in enumerate((1, 3, 5, 7, 11)))
+        for i in range(400)
+    ]
+    rows_ = [(i, i % 2, text) for i, text in enumerate(texts)] + [(900, 0, ""), (901, 0, None), (902, None, "ann")]
+    df = spark.createDataFrame([*rows_, (903, 1, "..."), (904, 1, "x" * 100_000 + " ann")], "row_id long, is_bs int, text string")
+    by_label = {0: names[:9], 1: names[6:] + ["ann"]}
+    table = [(label, name) for label, of in by_label.items() for name in of]
+    aliases = spark.createDataFrame([*table, table[0], (0, None), (None, "x"), (1, "")], "label long, alias string")
+    expected = rows(df.filter(joins.mentions_own_alias(F.col("text"), F.col("is_bs"), by_label)), "row_id")
+    for bound in (100, 0):
+        hits = joins.own_alias_hits(df, aliases, max_keys=bound)
+        assert rows(hits, "row_id") == expected and 100 < len(expected) < 400
+    counts = rows(aggregates.alias_table_leakage(df, aliases), "label", "n_hits")
+    assert counts == rows(aggregates.alias_leakage(df, by_label), "label", "n_hits")
+    assert joins.own_alias_hits(df, aliases.limit(0)).count() == 0
+    assert joins.own_alias_hits(df.limit(0), aliases).count() == 0
+
+
+def test_alias_table_takes_the_leftmost_then_longest(spark):
+    texts = [(1, 0, "- El de la Rosa, Ann"), (2, 0, "la ann"), (3, 0, "\U0001d4d0ann")]
+    df = spark.createDataFrame(texts, "row_id long, is_bs int, text string")
+    aliases = spark.createDataFrame([(0, a) for a in ("Ann", "de", "DE LA", "la rosa", "rosa")], "label int, alias string")
+    got = joins.own_alias_hits(df, aliases)
+    assert rows(got, "row_id", "place", "alias") == [(1, 3, "de la"), (2, 3, "ann")]
+
+
 def test_topic_summary_one_class(spark):
     df = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (None, 0)], "topic int, is_bs int")
     got = aggregates.topic_label_summary(df)
