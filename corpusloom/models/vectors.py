@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.lexical import letter_runs
+from corpusloom.models import wide
 
 SEED = 42
-# PCA builds a width x width matrix on the driver; wider input must be hashed down.
+# PCA builds a width x width matrix on the driver; wider input goes through ``wide``.
 MAX_PCA_WIDTH = 4096
 
 
@@ -37,12 +38,17 @@ def reduce_dimensions(
     in_col: str = "vector",
     out_col: str = "reduced",
 ) -> DataFrame:
-    """Principal components; never more than the vectors are wide."""
-    first = df.select(F.size(vector_to_array(in_col)).alias("w")).first()
+    """Principal components; never more than the vectors are wide.
+
+    Beyond ``MAX_PCA_WIDTH`` they are found by ``wide.principal_directions``, whose
+    memory grows with the width, not with its square.
+    """
+    first = df.filter(F.col(in_col).isNotNull()).select(F.size(vector_to_array(in_col)).alias("w")).first()
     if first is None:
         raise ValueError("no rows to reduce")
     if first["w"] > MAX_PCA_WIDTH:
-        raise ValueError(f"vectors of width {first['w']} exceed {MAX_PCA_WIDTH}; hash them down")
+        directions, _, _ = wide.principal_directions(df, n_components, in_col)
+        return wide.project(df, directions, in_col, out_col)
     pca = PCA(k=min(n_components, first["w"]), inputCol=in_col, outputCol=out_col)
     return pca.fit(df).transform(df)
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from corpusloom.bounded import checked
 from corpusloom.functions import keys
 from corpusloom.functions.lexical import letter_runs
-from corpusloom.models import baseline, scoring, sweep, topics, vectors
+from corpusloom.models import baseline, scoring, sweep, topics, vectors, wide
 from corpusloom.operators import aggregates, evaluation, windows
 from corpusloom.plans import process
 from corpusloom.session import materialise, spread, work_path
@@ -74,6 +74,45 @@ def _(t):
     )
 
 
+@query(
+    "m03_wide_reduction",
+    r"""SELECT CAST(i AS INTEGER) AS component, (SELECT count(*) FROM documents) AS n_rows,
+      true AS falls, true AS is_unit, true AS variance_holds, true AS is_eigenvector FROM range(3) r(i)""",
+    heavy=True,
+)
+def _(t):
+    """Vectors of 16 384 hashed words: directions are units, eigenvectors, and the reduced rows show it.
+
+    The covariance times each direction is worked out anew, from the stored entries of the vectors.
+    """
+    made = materialise(vectors.document_vectors(t.documents, "text", "vector", 1 << 14).select("vector"), "wide")
+    directions, variances, _ = wide.principal_directions(made, 3, tolerance=1e-4)
+    reduced = vectors.components(wide.project(made, directions))
+    reduced = materialise(reduced.select("reduced", F.unwrap_udt("vector").alias("v")), "reduced")
+    each = reduced.select(F.posexplode("reduced").alias("component", "x")).groupBy("component")
+    seen = each.agg(F.count("*").alias("n_rows"), F.var_samp("x").alias("s"), F.avg("x").alias("mean"))
+
+    entries = reduced.select("reduced", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
+    by_column = entries.select("reduced", F.col("e.indices").alias("j"), F.col("e.values").alias("v")).groupBy("j")
+    parts = by_column.agg(F.sum("v").alias("t"), *[F.sum(F.col("v") * F.get("reduced", F.lit(i))).alias(f"s{i}") for i in range(3)])
+    products = parts.select("j", "t", F.posexplode(F.array("s0", "s1", "s2")).alias("component", "xz"))
+    given = [(j, i, float(x), float(variances[i])) for j, row in enumerate(directions) for i, x in enumerate(row)]
+    given = checked(t.spark.createDataFrame(given, "j int, component int, d double, variance double"))
+    off = products.join(F.broadcast(seen), "component").join(given, ["j", "component"], "right")
+    moved = F.coalesce(F.col("xz") - F.col("t") * F.col("mean"), F.lit(0.0)) / (F.col("n_rows") - 1)
+    miss = F.coalesce(moved, F.lit(0.0)) - F.col("variance") * F.col("d")
+    judged = off.groupBy("component").agg(
+        F.sqrt(F.sum(miss * miss)).alias("miss"), F.sum(F.col("d") * F.col("d")).alias("unit"), F.max("variance").alias("variance")
+    )
+    before = F.lag("s").over(Window.orderBy("component"))
+    return seen.join(F.broadcast(judged), "component").select(
+        "component", "n_rows", F.coalesce(F.col("s") <= before + 1e-12, F.lit(True)).alias("falls"),
+        (F.abs(F.col("unit") - 1) < 1e-9).alias("is_unit"),
+        (F.abs(F.col("s") / F.col("variance") - 1) < 1e-6).alias("variance_holds"),
+        (F.col("miss") < 1.1e-4 * float(variances[0])).alias("is_eigenvector"),
+    )
+
+
 @query(
     "m03_total_variance",
     """WITH x AS (SELECT generate_subscripts(embedding, 1) AS i,

@@ -1,11 +1,14 @@
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom import bounded
 from corpusloom.functions import entities as ent
 from corpusloom.functions import keys, lexical
 from corpusloom.functions import text as tx
-from corpusloom.models import baseline, topics, vectors
+from corpusloom.models import baseline, topics, vectors, wide
 from corpusloom.operators import aggregates, filters, joins, sampling, windows
 from corpusloom.plans import eda, prepare, process
 from corpusloom.session import spread, work_root
@@ -123,6 +126,40 @@ def test_reduced_vectors_are_ordered_and_centred(t):
     assert var == sorted(var, reverse=True)
 
 
+def test_wide_reduction_equals_the_exact_one(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.standard_normal((300, 40)) * np.linspace(6, 0.2, 40) ** 2 + 5
+    data[rng.random(data.shape) < 0.3] = 0
+    rows = [(i, Vectors.sparse(40, list(np.flatnonzero(r)), r[r != 0]) if i % 2 else Vectors.dense(r)) for i, r in enumerate(data)]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vector", VectorUDT())])
+    df = spark.createDataFrame([*rows, (300, Vectors.sparse(40, [], [])), (301, Vectors.dense(data[0]))], schema)
+    exact = np.array([r["reduced"] for r in vectors.reduce_dimensions(df, 3).orderBy("id").collect()])
+    monkeypatch.setattr(vectors, "MAX_PCA_WIDTH", 39)
+    got = np.array([r["reduced"] for r in vectors.reduce_dimensions(df, 3).orderBy("id").collect()])
+    assert np.allclose(abs(got), abs(exact), atol=1e-3)
+    _, variances, passes = wide.principal_directions(df, 3)
+    assert np.allclose(variances, exact.var(axis=0, ddof=1)) and passes < 30
+    nulls = spark.createDataFrame([*rows, (400, None)], schema)
+    assert [r["reduced"] is None for r in vectors.reduce_dimensions(nulls, 2).orderBy("id").collect()].count(True) == 1
+
+
+def test_wide_reduction_of_sparse_vectors_of_width_20000(spark):
+    rng = np.random.default_rng(4)
+    # two planted directions on columns of their own, and little noise elsewhere
+    drawn = rng.standard_normal((200, 2))
+    strong, rows = np.linalg.qr(drawn - drawn.mean(axis=0))[0] * [120, 50], []
+    for i, (a, b) in enumerate(strong):
+        rest = np.unique(rng.integers(4, 20_000, 20))
+        rows.append((i, Vectors.sparse(20_000, [0, 1, 2, 3, *rest], [a, -a, b, b, *rng.random(len(rest)) * 0.1])))
+    directions, variances, passes = wide.principal_directions(spark.createDataFrame(rows, ["id", "vector"]), 2)
+    planted = np.zeros((20_000, 2))
+    planted[[0, 1], 0], planted[[2, 3], 1] = [0.5**0.5, -(0.5**0.5)], 0.5**0.5
+    assert np.allclose(abs((directions * planted).sum(axis=0)), 1, atol=1e-3) and passes <= 6
+    assert np.allclose(variances, strong.var(axis=0, ddof=1) * 2, rtol=0.05)
+    with pytest.raises(ValueError, match="exceed"):
+        wide.principal_directions(spark.createDataFrame(rows[:2], ["id", "vector"]), 20_000)
+
+
 def test_topics_cover_all_rows(t):
     docs = t.documents.select(F.col("doc_id").alias("row_id"), "text")
     got = topics.assign_topics(docs, n_topics=4, min_cluster_size=20).groupBy("topic").count().collect()
