@@ -20,14 +20,18 @@ from pyspark.sql import functions as F
 from corpusloom.session import materialise
 
 MAX_ATTEMPTS = 50
+# From this attempt on, addresses and the names of mailboxes may change their length.
+WIDER = 3
 
 # A match starts where a run of its signs starts, so that no run is tried from its middle.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
 PHONE = (
-    r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w])"
+    r"(?<![\w.])\+\d{7,15}(?!\w)"
+    r"|(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w])"
 )
-IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
+# Four numbers behind a v or the word are a version.
+IP = r"(?<![\d.])(?<!(?<![A-Za-z])[vV]\.? ?)(?<!(?i:version|ver\.?) )(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 KEY_ID = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z])(?i:password|passwd|secret|token|api_?key)\s*[=:]\s*\"?[A-Za-z0-9_+/-]{8,}\"?"
@@ -36,6 +40,7 @@ FEMALE = r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme\.?|Señora|Sra\.|Г-жа"
 OPEN = r"Dr\.?|Prof\.?"
 PERSON = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{OPEN})[  ]\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 ENTITY = "|".join([EMAIL, KEY_ID, SECRET, PERSON, SSN, CARD, IP, PHONE])
+TITLED = rf"^(?:{MALE}|{FEMALE}|{OPEN})[  ]\p{{Lu}}"
 # What every entity has: a digit, a sign or a title; texts without are left alone at once.
 HINT = rf"[0-9@=:]|(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{OPEN})[  ]\p{{Lu}}"
 
@@ -162,12 +167,13 @@ def _is_luhn(number: Column) -> Column:
 
 
 def _octets(ip: Column, stream: Column) -> Column:
-    """As many digits in each part as before, within the range of addresses."""
+    """As many digits in each part as before, within the range of addresses; any after some attempts."""
 
     def one(part, i):
         by = _byte(stream, i + 1)
         return (
-            F.when(F.length(part) == 1, 1 + by % 9)
+            F.when(F.col("attempt") >= WIDER, 1 + by % 254)
+            .when(F.length(part) == 1, 1 + by % 9)
             .when(F.length(part) == 2, 10 + by % 90)
             .otherwise(100 + by % 155)
             .cast("string")
@@ -222,7 +228,9 @@ def surrogate(kind: str, key: str) -> Column:
         new_domain = F.when(
             domain.rlike(r"(^|\.)example\.(com|org|net)$"), domain
         ).otherwise(F.concat(_shaped(host, own), F.lit("."), F.substring_index(domain, ".", -1)))
-        return F.concat(_shaped(F.substring_index(canonical, "@", 1), stream), F.lit("@"), new_domain)
+        more = F.translate(F.left(stream, F.lit(4)), "0123456789", "ghijklmnop")
+        longer = F.when(F.col("attempt") >= WIDER, more).otherwise("")
+        return F.concat(_shaped(F.substring_index(canonical, "@", 1), stream), longer, F.lit("@"), new_domain)
     if kind == "ip":
         return _octets(canonical, stream)
     if kind == "card":
@@ -266,12 +274,40 @@ def _hits(text_col: str) -> Column:
     return F.regexp_extract_all(text_col, F.lit(f"({ENTITY})"), F.lit(0))
 
 
+def _name_of(hit: Column) -> Column:
+    """The name behind a title, without an ending that belongs to the sentence."""
+    return F.regexp_replace(F.regexp_replace(hit, r"^[^  ]+[  ]", ""), r"(?:'s|['-]+)$", "")
+
+
+def _titled_names(hits: Column) -> Column:
+    """Names that stand behind a title, and their last words, the longest first."""
+    whole = F.transform(F.filter(hits, lambda h: h.rlike(TITLED)), _name_of)
+    both = F.flatten(F.transform(whole, lambda n: F.array(n, F.substring_index(n, " ", -1))))
+    kept = F.filter(F.array_distinct(both), lambda n: n.rlike(r"^\p{Lu}['\p{L}]"))
+    by_length = F.array_sort(F.transform(kept, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n"))))
+    return F.transform(by_length, lambda s: s["n"])
+
+
+def _pattern(names: Column) -> Column:
+    """Entities, and names known from a title, of one text."""
+    bare = F.array_join(F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
+    return F.concat(F.lit(rf"(?:{ENTITY}|(?<![\p{{L}}-])(?:"), bare, F.lit(r")(?![\p{L}-]))"))
+
+
+def _bare(hit: Column, hits: Column, new_of: Column) -> Column:
+    """The stand-in of a name without a title: that of the first titled mention of it."""
+    tail = F.concat(F.lit(" "), hit)
+    same = F.get(F.filter(hits, lambda h: h.rlike(TITLED) & ((_name_of(h) == hit) | _name_of(h).endswith(tail))), F.lit(0))
+    new = F.regexp_replace(F.element_at(new_of, same), r"^[^  ]+[  ]", "")
+    return F.coalesce(F.when(_name_of(same) == hit, new).otherwise(F.substring_index(new, " ", -1)), hit)
+
+
 def mentions(marked: DataFrame) -> DataFrame:
-    """``(hit, kind, canonical)`` of every different mention in ``_pii_hits``.
+    """``(hit, kind, canonical)`` of every different mention in ``_pii_hits`` but names without a title.
 
     Equal mentions are brought together before anything is told of them.
     """
-    hits = marked.select(F.explode("_pii_hits").alias("hit"))
+    hits = marked.select(F.explode(F.array_except("_pii_hits", "_pii_names")).alias("hit"))
     hits = materialise(hits.groupBy("hit").agg(F.count("*").alias("n")), "pii-hits")
     kinds = materialise(hits.select("hit", kind_of(F.col("hit")).alias("kind")), "pii-kinds")
     return kinds.select("hit", "kind", canonical_of(F.col("kind"), F.col("hit")).alias("canonical"))
@@ -341,12 +377,18 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Null, empty and entity-free texts stay as they are; repeated rows are
     changed alike.  A column named ``n_entities`` is replaced; names that begin
     with ``_pii`` are kept for the work.  Texts are searched once, and only those
-    with entities are moved.
+    with entities are moved; texts with a titled name are searched once more for
+    the same name, or its last word, without a title.  A given name alone, and names
+    that no title goes with in the same text, are not found.  Very long texts are
+    searched whole; their hits are held as one array.
     """
     columns = [c for c in docs.columns if c != "n_entities"]
     none = F.array().cast("array<string>")
     hits = F.when(F.col(text_col).rlike(HINT), _hits(text_col)).otherwise(none)
     docs = docs.select(*[F.col(f"`{c}`") for c in columns], hits.alias("_pii_hits"))
+    docs = docs.withColumn("_pii_names", _titled_names(F.col("_pii_hits")))
+    again = F.regexp_extract_all(text_col, _pattern(F.col("_pii_names")), F.lit(0))
+    docs = docs.withColumn("_pii_hits", F.when(F.size("_pii_names") > 0, again).otherwise(F.col("_pii_hits")))
     docs = materialise(docs, "pii-marked")
     found = materialise(mentions(docs), "pii-mentions")
     assigned = assign(found, key).select("kind", "canonical", "surrogate")
@@ -354,18 +396,25 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         "hit", _dressed(F.col("kind"), F.col("hit"), F.col("surrogate")).alias("new")
     )
     dressed = materialise(dressed, "pii-replacements")
-    plain = docs.where("size(_pii_hits) = 0").drop("_pii_hits").withColumn("n_entities", F.lit(0))
+    plain = docs.where("size(_pii_hits) = 0").drop("_pii_hits", "_pii_names").withColumn("n_entities", F.lit(0))
     digest = F.sha2(text_col, 256).alias("_pii_digest")
     marked = docs.where("size(_pii_hits) > 0").select("*", digest)
-    per_text = marked.select("_pii_digest", F.explode("_pii_hits").alias("hit")).distinct()
+    per_text = marked.select("_pii_digest", F.explode(F.array_except("_pii_hits", "_pii_names")).alias("hit")).distinct()
     new_of = (
         per_text.join(dressed, "hit")
         .groupBy("_pii_digest")
         .agg(F.map_from_entries(F.collect_list(F.struct("hit", "new"))).alias("_pii_new"))
     )
     joined = marked.join(new_of, "_pii_digest")
-    pieces = F.split(text_col, f"(?:{ENTITY})", -1)
-    news = F.transform("_pii_hits", lambda h: F.element_at("_pii_new", h))
+    pieces = F.when(F.size("_pii_names") > 0, F.split(text_col, _pattern(F.col("_pii_names")), -1)).otherwise(
+        F.split(text_col, f"(?:{ENTITY})", -1)
+    )
+    news = F.transform(
+        "_pii_hits",
+        lambda h: F.when(
+            F.array_contains("_pii_names", h), _bare(h, F.col("_pii_hits"), F.col("_pii_new"))
+        ).otherwise(F.element_at("_pii_new", h)),
+    )
     padded = F.concat(news, F.array(F.lit("")))
     text = F.array_join(F.flatten(F.zip_with(pieces, padded, lambda a, b: F.array(a, b))), "")
     changed = joined.select(

@@ -56,6 +56,39 @@ def test_no_two_values_share_a_surrogate_and_none_is_real(spark):
     assert max(r.attempt for r in found) > 0
 
 
+def test_a_crowded_shape_gets_wider(spark):
+    # 4500 of the 6561 addresses of one digit a part, and all mailboxes of one letter
+    ips = spark.range(4500).select(
+        F.lit("ip").alias("kind"),
+        F.concat_ws(".", *[(F.floor(F.col("id") / 9**k) % 9 + 1).cast("string") for k in range(4)]).alias("canonical"),
+    )
+    mails = spark.range(26).select(F.lit("email"), F.concat(F.char(F.col("id") + 97), F.lit("@example.com")))
+    found = surrogates.assign(ips.union(mails), "k").collect()
+    assert len(found) == 4526 and len({r.surrogate for r in found} | {r.canonical for r in found}) == 2 * 4526
+    assert all(re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}|[a-z]{1,5}@example\.com", r.surrogate) for r in found)
+
+
+def test_names_without_title_compact_numbers_and_versions(spark):
+    texts = [
+        "Mr. John Smith met John Smith; Smith's dog, Smithson and Black-Smith. Call +442079460958.",
+        "Smith came. Mrs. Ann Smith said so, then Mr. Bob O'Neil (O'Neil, Bob O'Neil).",
+        "John Smith came without a title.",
+        "v1.2.3.4, version 1.2.3.4 and V 1.2.3.4, but 1.2.3.4 and rev1.2.3.4",
+        "Mr. Smith's car, and Smith.", None, "",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in surrogates.pseudonymise(rows, "k").collect()}
+    found = re.fullmatch(r"Mr\. (\w+ \w+) met (.*); (\w+)'s dog, Smithson and Black-Smith\. Call (\+\d{12})\.", out[0].text)
+    assert found and found[1] == found[2] and found[1].split()[1] == found[3] and found[4] != "+442079460958"
+    assert "Smith" not in out[0].text.replace("Smithson", "").replace("Black-Smith", "") and out[0].n_entities == 4
+    assert not re.search("Smith|Neil", out[1].text) and out[1].n_entities == 5
+    first, second, third = re.fullmatch(r"(\w+) came\. Mrs\. \w+ (\w+) said so, then Mr\. \w+ (\w+) .*", out[1].text).groups()
+    assert first == second != third and f"({third}, " in out[1].text
+    assert out[2].text == texts[2]
+    assert re.fullmatch(r"v1\.2\.3\.4, version 1\.2\.3\.4 and V 1\.2\.3\.4, but (?!1\.2\.3\.4)[\d.]+ and rev(?!1\.2\.3\.4)[\d.]+", out[3].text)
+    assert "Smith" not in out[4].text and out[5].text is None and out[6].text == ""
+
+
 def test_rows_and_columns_stay(docs, nothing):
     out = surrogates.pseudonymise(docs, "k")
     assert out.columns == [*docs.columns, "n_entities"]
