@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it
 kept, and is written before the next one reads it.  All but the last return
-the columns of ``documents``.
+the columns of ``documents``.  Stages with Python workers lower the session's
+number of rows in an Arrow batch, as stages share the memory of their executors.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, packing, simhash, surrogates, toxicity
+from corpusloom.llm.batches import few_rows_at_once
 from corpusloom.session import materialise
 
 # A fixed key makes runs repeatable; a real run brings a secret of its own.
@@ -22,11 +24,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_rows_at_once(spark)
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_rows_at_once(spark)
     return simhash.keep_one(docs)
 
 
@@ -39,6 +43,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_rows_at_once(spark)
     pieces = packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
     return pieces.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from corpusloom.llm.batches import parts
+
 WINDOW = 1024
 CLOSING_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
@@ -185,7 +187,7 @@ def pack(
         encode = load_encoder(vocabulary)
         block = Block(window, TaskContext.get().partitionId() << 36)
         closing = np.array([CLOSING_ID], dtype=np.uint32)
-        for batch in batches:
+        for batch in parts(batches):
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 block.add(doc_id, np.concatenate([encode(text or ""), closing]))
                 if block.ready():

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import parts
 from corpusloom.llm.components import connected
 from corpusloom.session import materialise
 
@@ -80,7 +81,7 @@ def fingerprints(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes = _lanes()
-        for batch in batches:
+        for batch in parts(batches):
             values = [fingerprint_of(t, shingle, lanes) for t in batch.column(1).to_pylist()]
             fps = pa.array(np.array(values, np.uint64).view(np.int64))
             yield pa.record_batch([batch.column(0), fps, *batch.columns[2:]], names=["doc_id", "fp", *more])

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import parts
 from corpusloom.session import materialise
 
 # Labelled rows that the fit looks at, at most.
@@ -81,7 +82,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     s = (b" " + text.encode("utf-8", "replace") + b" ").translate(CLASSES)
@@ -277,7 +278,7 @@ def class_counts(labelled: DataFrame, lm: np.ndarray) -> tuple[np.ndarray, np.nd
         restore = restorer(lm)
         total = np.zeros((len(GRAMS), 2, 2, 1 << BITS), np.int32)
         length = np.zeros((len(GRAMS), 2), np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 restored = restore(text)
                 for k, g in enumerate(_grams(restored)):
@@ -285,9 +286,9 @@ def class_counts(labelled: DataFrame, lm: np.ndarray) -> tuple[np.ndarray, np.nd
                     total[k, toxic, 0, found] += 1
                     total[k, toxic, 1, found[times > 1]] += 1
                     length[k, toxic] += len(g)
-        parts = [*total.reshape(-1, width), length]
+        sums = [*total.reshape(-1, width), length]
         yield pa.record_batch(
-            [pa.array(range(len(parts))), pa.array([_packed(p) for p in parts])],
+            [pa.array(range(len(sums))), pa.array([_packed(p) for p in sums])],
             names=["part", "sums"],
         )
 
@@ -437,7 +438,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = restorer(lm)
-        for batch in batches:
+        for batch in parts(batches):
             texts, toxic = (c.to_pylist() for c in batch.columns)
             x = [own_features(restore(t), *shared.value, y) for t, y in zip(texts, toxic, strict=True)]
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
@@ -477,7 +478,7 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = THRESHOLD, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = _scorer(small, weights)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([score_of(t)[0] < threshold for t in texts], pa.bool_()))
 
@@ -496,7 +497,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = _scorer(small, weights)
-        for batch in batches:
+        for batch in parts(batches):
             found = [score_of(t) for t in batch.column(1).to_pylist()]
             scores, changed = zip(*found, strict=True) if found else ((), ())
             yield pa.record_batch(
