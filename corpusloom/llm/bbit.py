@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import parts
 from corpusloom.llm.components import connected
 from corpusloom.session import materialise
 
@@ -47,8 +48,8 @@ FEW = 16
 HUB_TURNS = 2
 # Comparisons handled together.
 CHUNK = 1 << 17
-# Different words whose hashes a task remembers.
-WORDS_HELD = 1 << 19
+# Different words whose hashes a task remembers, besides those of one text.
+WORDS_HELD = 1 << 16
 SEED = 42
 SHAPE = "doc_id long, text_key long, text_size int, tx binary, n_shingles long, signature binary, bands array<long>"
 
@@ -110,8 +111,8 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
-def marked(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document; ``tx`` names its set of shingles, and is null where that is empty."""
+def _marks(shingle: int):
+    """Signatures and bands of texts beside their ids and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -119,7 +120,7 @@ def marked(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text
         factors = np.random.default_rng(SEED).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         mix = np.uint64(0x9E3779B97F4A7C15)
         shingles_of = Shingles(shingle)
-        for batch in batches:
+        for batch in parts(batches):
             tx, size, signature, bands = [], [], [], []
             for text in batch.column(3).cast(pa.binary()).fill_null(b"").to_pylist():
                 found = shingles_of(text)
@@ -144,10 +145,15 @@ def marked(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text
                 names=["doc_id", "text_key", "text_size", "tx", "n_shingles", "signature", "bands"],
             )
 
+    return run
+
+
+def marked(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document; ``tx`` names its set of shingles, and is null where that is empty."""
     text = F.col(text_col).cast("string")
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), *_text_key(text), text.alias("text")
-    ).mapInArrow(run, SHAPE)
+    ).mapInArrow(_marks(shingle), SHAPE)
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -162,18 +168,19 @@ class Tile:
         self.size = sum(b.num_rows for b in held)
         if not self.size:
             return
-        table = pa.Table.from_batches(held)
+        # one piece for each column, whatever the size of a batch
+        table = pa.Table.from_batches(held).combine_chunks()
+        del held
         order = np.lexsort([table.column(c).to_numpy() for c in ("side", "j", "i", "key", "band")])
         self.table = table.take(pa.array(order))
         for c in ("band", "key", "i", "j", "side", "node", "n_shingles", "component"):
             setattr(self, c, self.table.column(c).to_numpy())
-        self.signature = self._matrix("signature", np.uint64)
+        values = self.table.column("signature").to_pylist()
+        self.signature = np.frombuffer(b"".join(values), np.uint64).reshape(self.size, -1)
 
-    def _matrix(self, name: str, kind) -> np.ndarray:
-        """A column of equally long values as one array."""
-        values = self.table.column(name).to_pylist()
-        flat = np.frombuffer(b"".join(values), kind) if kind == np.uint64 else np.array(values, kind)
-        return flat.reshape(self.size, -1)
+    def _bands(self) -> np.ndarray:
+        """Their bands, a row each."""
+        return self.table.column("bands").combine_chunks().flatten().to_numpy().reshape(self.size, -1)
 
     def met(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of rows of side 0 and of rows of side 1 that they meet, some at a time."""
@@ -205,7 +212,7 @@ class Tile:
         Sizes that alone rule out the similarity do so.  Where rows have their bands, a
         pair counts in the first band that it shares only.
         """
-        bands = self._matrix("bands", np.int64) if self.size and "bands" in self.table.column_names else None
+        bands = self._bands() if self.size and "bands" in self.table.column_names else None
         for rows, others in self.met():
             small = np.minimum(self.n_shingles[rows], self.n_shingles[others])
             large = np.maximum(self.n_shingles[rows], self.n_shingles[others])
@@ -338,7 +345,7 @@ def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of = Shingles(shingle)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
             sets = [shingles_of(t).view(np.int64) for t in texts]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
@@ -401,10 +408,11 @@ def near_duplicates(
     )
     classes = classes.select("tx", "first_id", "one.*", F.monotonically_increasing_id().alias("node"))
     classes = materialise(classes, "bbit-classes")
-    keyed = classes.select("node", "n_shingles", "signature", "bands", F.posexplode("bands").alias("band", "key"))
-    # most texts meet no other one
+    # most texts meet no other one, so signatures go only to bands that are shared
+    keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialise(keyed.join(shared, ["band", "key"]), "bbit-met")
+    met = keyed.join(shared, ["band", "key"])
+    rows = materialise(met.join(classes.select("node", "n_shingles", "signature", "bands"), "node"), "bbit-met")
     placed, links = rows.withColumn("component", F.col("node")), None
     least = percent / 100 - MARGIN
     for turn in range(HUB_TURNS):

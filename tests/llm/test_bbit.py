@@ -1,9 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from corpusloom.llm import bbit
+from corpusloom.llm import batches, bbit, queries
 
 
 def _set(text):
@@ -148,3 +149,34 @@ def test_a_tile_compares_its_sides_only():
     pairs = {(u, v) for b in found for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
     # 5 is too small for 1 and 4; 3 and 4 are of one component
     assert pairs == {(0, 1), (1, 2), (1, 3), (0, 4), (2, 4)}
+
+
+def test_a_worker_holds_little_at_once():
+    """A batch of many texts whose words are all different."""
+    import pyarrow as pa
+
+    n = 4000
+    texts = [" ".join(f"word{i}x{k}" for k in range(100)) for i in range(n)]
+    ids, size = pa.array(range(n), pa.int64()), pa.array(map(len, texts), pa.int32())
+    batch = pa.record_batch([ids, ids, size, pa.array(texts)], names=["doc_id", "text_key", "text_size", "text"])
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in bbit._marks(4)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert found == n and most < 12
+
+
+def test_the_query_sends_few_rows_at_once(spark, docs, tmp_path):
+    docs.drop("score").write.parquet(f"{tmp_path}/documents.parquet")
+    was, found = spark.conf.get(batches.ROWS_CONF), []
+    try:
+        for before, after in (("10000", "500"), ("2", "2")):
+            spark.conf.set(batches.ROWS_CONF, before)
+            rows = queries.QUERIES["op13_bbit_near_duplicates"](spark, str(tmp_path))
+            found.append(sorted(map(str, rows.collect())))
+            assert spark.conf.get(batches.ROWS_CONF) == after
+    finally:
+        spark.conf.set(batches.ROWS_CONF, was)
+    assert found[0] == found[1] and len(found[0]) == docs.count()
