@@ -1,10 +1,13 @@
 import hashlib
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from corpusloom.llm import suffixes
+from corpusloom import session
+from corpusloom.llm import batches, queries, suffixes
 
 
 def _brute(texts, length):
@@ -54,3 +57,82 @@ def test_equal_strings_have_equal_anchors():
 
 def test_empty_table(nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
+
+
+def _bucket(n):
+    """Surroundings of ``n`` anchors, four of each key, which differ in front or behind."""
+    import pyarrow as pa
+
+    raw = np.repeat(np.random.default_rng(3).integers(97, 123, (n // 4, 656)).astype(np.uint8), 4, axis=0)
+    raw[::2, :100], raw[1::4, 500:] = 32, 33
+    columns = {
+        "doc_id": np.arange(n), "tx": np.arange(n), "pos": np.full(n, 300), "alone": np.full(n, True),
+        "key": np.repeat(np.arange(n // 4), 4), "ctx": np.arange(n),
+        "before": [r[:256].tobytes() for r in raw], "behind": [r[256:].tobytes() for r in raw],
+    }
+    return pa.record_batch([pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def _most_held(work, batch):
+    """Rows that ``work`` returns, and the bytes it holds at once for each row it gets."""
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in work(400, 256)(iter([batch])))
+        return found, tracemalloc.get_traced_memory()[1] / batch.num_rows
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_bucket_takes_little_memory():
+    rows, held = _most_held(suffixes._sort_bucket, _bucket(20_000))
+    assert rows == 20_000 and held < 3000
+
+
+def test_strings_of_many_surroundings_take_little_memory():
+    rows, held = _most_held(suffixes._all_strings, _bucket(8_000))
+    assert rows == 257 * 8_000 and held < 3000
+
+
+def test_rows_of_equal_leading_bytes_go_to_several_buckets(spark):
+    rows = spark.range(4000).selectExpr(
+        "id div 4 AS key", "id AS ctx", "CAST('' AS binary) AS before", "CAST(concat(repeat(' ', 40), id div 4) AS binary) AS behind"
+    )
+    held = suffixes._dealt(rows, 8).selectExpr("spark_partition_id() AS at", "key").groupBy("at", "key").count().collect()
+    assert len(held) == 1000 and all(r["count"] == 4 for r in held)
+    assert max(Counter(r["at"] for r in held).values()) < 300
+
+
+def test_small_buckets_and_batches_give_the_same_rows(spark, texts, tmp_path, monkeypatch):
+    rows = spark.createDataFrame(list(enumerate(_texts(texts))), "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    was, found = spark.conf.get(batches.ROWS_CONF), []
+    try:
+        for before, after, bucket in (("10000", "500", suffixes.BUCKET), ("2", "2", 4)):
+            spark.conf.set(batches.ROWS_CONF, before)
+            monkeypatch.setattr(suffixes, "BUCKET", bucket)
+            monkeypatch.setattr(suffixes, "SLICE", bucket)
+            found.append(sorted(map(str, queries.QUERIES["op2_repeated_strings"](spark, str(tmp_path)).collect())))
+            assert spark.conf.get(batches.ROWS_CONF) == after
+    finally:
+        spark.conf.set(batches.ROWS_CONF, was)
+    assert found[0] == found[1] and len(found[0]) == rows.count()
+
+
+def _shuffle_files(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    return {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    was = spark.conf.get(session.SHUFFLE_CLEANUP_CONF)
+    for keep in (True, False):
+        before = _shuffle_files(spark)
+        rows = spark.range(3000).selectExpr("id % 700 AS id").groupBy("id").count()
+        found = session.materialise(rows, "test-shuffles", keep_shuffles=keep)
+        for _ in range(50):
+            left = _shuffle_files(spark) - before
+            if bool(left) == keep:
+                break
+            time.sleep(0.2)
+        assert bool(left) == keep and found.count() == 700
+        assert spark.conf.get(session.SHUFFLE_CLEANUP_CONF) == was
