@@ -136,3 +136,27 @@ def test_shuffle_files_go_with_the_write(spark):
             time.sleep(0.2)
         assert bool(left) == keep and found.count() == 700
         assert spark.conf.get(session.SHUFFLE_CLEANUP_CONF) == was
+
+
+def test_query_marks_documents_that_lose_bytes(spark, tmp_path):
+    draw = np.random.default_rng(8)
+    # words of five letters behind a space, so 51 of them are 306 bytes and 67 are 402
+    words = ["".join(map(chr, w)) for w in draw.integers(97, 123, (2000, 5)).tolist()]
+    short, long, own = " ".join(words[:51]), " ".join(words[51:118]), " ".join(words[118:185])
+    rest = [" ".join(words[k : k + 100]) for k in range(200, 1200, 100)]
+    every = [
+        f"{rest[0]} {short} {rest[1]}", f"{rest[2]} {short} {rest[3]}", f"{rest[4]} {long} {rest[5]}",
+        f"{rest[6]} {long}", f"{own} {rest[7]} {own}", rest[8], "", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    was = spark.conf.get(batches.ROWS_CONF)
+    try:
+        found = queries.QUERIES["op2_repeated_strings"](spark, str(tmp_path))
+        assert found.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        marked = {r.doc_id: r.repeated for r in found.collect()}
+    finally:
+        spark.conf.set(batches.ROWS_CONF, was)
+    # 51 words that two documents share are no string of 400 bytes
+    assert marked == {0: False, 1: False, 2: True, 3: True, 4: True, 5: False, 6: False, 7: False}
+    assert marked == {i: b[1] > 0 for i, b in enumerate(_brute(every, 400))}
