@@ -73,6 +73,14 @@ def scaled(recipe: Mapping, min_topic_size: int, sample_n: int, **lengths) -> di
     return {"splitting": split, "processing": steps}
 
 
+def unsampled(recipe: Mapping) -> dict:
+    """A recipe whose split deals out every row; its ratios, strata and processing stay."""
+    split = dict(recipe["splitting"])
+    for step in ("sample_by_topic_parity", "stratified_sample"):
+        split[step] = dict(split[step], enabled=False)
+    return dict(recipe, splitting=split)
+
+
 def split_corpus(df: DataFrame, recipe: Mapping, seed: int = keys.SEED) -> DataFrame:
     """Topic parity, balanced sample, stratified split: adds ``split``.
 

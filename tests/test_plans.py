@@ -1,3 +1,6 @@
+import hashlib
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -12,6 +15,7 @@ from corpusloom.models import baseline, topics, vectors, wide
 from corpusloom.operators import aggregates, filters, joins, sampling, windows
 from corpusloom.plans import eda, prepare, process
 from corpusloom.session import spread, work_root
+from corpusloom.suite import ORACLES, QUERIES
 from corpusloom.suite.registry import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -201,6 +205,53 @@ def test_recipe_keys(spark):
             process.process_train(df, steps)
 
 
+@pytest.mark.parametrize(
+    ("n", "bad", "topics"),
+    [(200, 10, 1), (200, 2, 20), (36_000, 2, 1)],
+    ids=["unequal classes", "small and missing topics", "more rows than a sample"],
+)
+def test_shared_texts_are_those_of_all_rows(spark, tmp_path, n, bad, topics):
+    """Every row has a side: against a split worked out here, by the query and its twin."""
+    docs = [
+        (i, f"text {i * 7 % n // 3}", "en", None if topics > 1 and i % topics == 0 else f"src{i % topics}", 9)
+        for i in range(n)
+    ]
+    labels = [(i, int(i // topics % bad > 0), 0) for i in range(n)]
+    for name, rows, kind in (
+        ("documents", docs, "doc_id long, text string, lang string, source string, n_chars int"),
+        ("labels", labels, "doc_id long, quality int, toxic int"),
+    ):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    sides = {"train": set(), "test": set()}
+    for quality in (0, 1):
+        ids = sorted(
+            (i for i, q, _ in labels if q == quality),
+            key=lambda i: hashlib.md5(f"{keys.SEED}:{i}".encode()).hexdigest(),
+        )
+        assert len(ids) % 10 == 0
+        for place, i in enumerate(ids):
+            sides["test" if place < len(ids) // 10 else "train"].add(docs[i][1])
+    shared = len(sides["train"] & sides["test"])
+    assert QUERIES["x03_shared_texts"](spark, str(tmp_path)).collect() == [(shared,)]
+    db = duckdb.connect()
+    for name in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert db.execute(ORACLES["x03_shared_texts"]).fetchall() == [(shared,)]
+
+
+def test_an_unsampled_recipe_keeps_the_rest(spark):
+    whole = process.unsampled(process.RECIPE_2)
+    assert whole["processing"] == process.RECIPE_2["processing"]
+    assert whole["splitting"]["stratified_sample"]["stratify_by"] == ["is_bs"]
+    assert process.RECIPE_2["splitting"]["stratified_sample"]["enabled"]
+    rows = spark.range(40).select(
+        F.col("id").alias("row_id"), F.lit("a").alias("text"), (F.col("id") % 4 == 0).cast("int").alias("is_bs"),
+        F.lit(None).cast("int").alias("topic"),
+    )
+    found = process.split_corpus(rows, whole).groupBy("is_bs", "split").count().collect()
+    assert {tuple(r) for r in found} == {(0, "train", 27), (0, "test", 3), (1, "train", 9), (1, "test", 1)}
+
+
 def test_baseline_separates(spark, tmp_path):
     data = [(i, ("storm rain wind " if i % 2 else "bread cake flour ") + f"w{i % 7}", i % 2) for i in range(60)]
     df = spark.createDataFrame(data, "row_id long, text string, is_bs int")
